@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxmill.llm.chat_format import OP5_SQL, op5_chat_format
+from boxmill.llm.line_dedup import OP6_SQL, op6_line_dedup
+from boxmill.llm.mixing import op7_source_mixing
+from boxmill.llm.near_dedup import op2_minhash_near_dedup
 from boxmill.llm.token_count import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_chat_format": op5_chat_format,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from boxmill.llm.tables import table
 
 #: The GPT-2 pattern that cuts a text before merging, with \s spelled out as Unicode's White_Space.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
