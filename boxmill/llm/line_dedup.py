@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boxmill.llm.scratch import Scratch
 from boxmill.llm.tables import SPACES, ascii_lower, table
 
 #: Keys shorter than this stay wherever they are.
@@ -35,14 +36,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.where(F.length("line") >= min_chars).select("doc_id", "text_hash", "pos", key.alias("key")).where(F.length("key") >= min_chars)
     # A document's equal lines share their fate: one row, with a bit for each line.
     block = F.shiftright("pos", 6)
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     rows = rows.select("doc_id", "text_hash", block.alias("block"), bit.alias("bit"), F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("h2"), salt.alias("salt"))
     run = W.partitionBy("h", "h2", "salt").orderBy("doc_id")
     rows = rows.repartitionByRange("h", "h2", "salt").withColumn("first", F.first("doc_id").over(run))
+    rows = Scratch(docs.sparkSession, "line-dedup").save(rows.drop("salt"), "runs")
     later = rows.where("doc_id > first").select("doc_id", "text_hash", "block", "bit")
-    firsts = rows.where("doc_id = first").groupBy("h", "h2", "doc_id", "text_hash", "block").agg(F.bit_or("bit").alias("bit"))
-    firsts = firsts.withColumn("first", F.first("doc_id").over(W.partitionBy("h", "h2").orderBy("doc_id")))
+    firsts = rows.where("doc_id = first").withColumn("first", F.first("doc_id").over(W.partitionBy("h", "h2").orderBy("doc_id")))
     dropped = later.union(firsts.where("doc_id > first").select("doc_id", "text_hash", "block", "bit"))
     blocks = dropped.groupBy("doc_id", "text_hash", "block").agg(F.bit_or("bit").alias("bits"))
     return blocks.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("dropped"))
@@ -52,7 +53,7 @@ def kept_text(text: Column, dropped: Column) -> Column:
     """The lines that a bitmap of keep_bitmaps() leaves, joined by newlines; all of them for null."""
     def stays(_: Column, i: Column) -> Column:
         bits = F.coalesce(F.try_element_at(dropped, F.shiftright(i, 6)), F.lit(0).cast("long"))
-        return F.shiftrightunsigned(bits, i.bitwiseAND(63)).bitwiseAND(1) == 0
+        return F.call_function("shiftrightunsigned", bits, i.bitwiseAND(63)).bitwiseAND(1) == 0
 
     return F.when(dropped.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(_lines(text), stays), "\n"))
 
