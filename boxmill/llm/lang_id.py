@@ -236,6 +236,30 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long, spans array<struct<start:long,end:long,lang:string>>")
 
 
+def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text is in a language that the model knows with a score of at least `least`.
+
+    Works on the rows where they are: texts are not shuffled to be joined with what was found about them.
+    """
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, GROUP_BYTES):
+                m = shared.value
+                w = _concat([split_words(x.column(text_col)) for x in slices(part, text_col)])
+                if not m.langs or not len(w.starts):
+                    continue
+                labels, count = viterbi(scores(w, m), w.first, SWITCH), part.num_rows
+                text_of = np.repeat(np.arange(count), np.diff(w.first))
+                usable = w.lengths * m.uses[w.script].any(axis=1)
+                letters = np.bincount(text_of * len(m.langs) + labels, usable, count * len(m.langs)).reshape(count, -1)
+                share = letters.max(axis=1) / np.maximum(np.bincount(text_of, w.lengths, count), 1)
+                yield part.filter(pa.array((share >= least) & (share > 0)))
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept out of training. A null id is."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0)) == 0

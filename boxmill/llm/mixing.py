@@ -122,6 +122,19 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return taken.alias("a").join(size_of.alias("b"), keys).select("a.doc_id", "a.row_key", "a.source", "size", "source_size", "target", "copies")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, all columns, each as many times as copies() takes it.
+
+    The joined table has a row for each document without its text; Spark broadcasts it only while its measured size is
+    under the session's limit.
+    """
+    taken = copies(docs, id_col, text_col, source_col, **options).where("copies > 0")
+    taken = taken.groupBy("doc_id", "row_key", "source").agg(F.max("copies").alias("_copies"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("source").alias("_source"), "_copies")
+    keys = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key")) & F.col(source_col).eqNullSafe(F.col("_source"))
+    return docs.join(taken, keys).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of every document."""
     mixed = copies(table(spark, sf_dir, "documents"))

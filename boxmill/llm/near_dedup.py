@@ -20,6 +20,8 @@ BANDS, ROWS = 24, 8
 BINS = BANDS * ROWS
 #: Words in a shingle; links need 100 * intersection >= SHARE * union.
 WIDTH, SHARE = 5, 85
+#: Hubs that a bucket gives at most in each round; from the last on, the number grows by that factor.
+HUBS = (1, 1, 16)
 #: A pair is tested on full sets unless its signature's estimate is this many standard deviations short.
 SLACK = 6.0
 
@@ -137,9 +139,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal shingle sets count as one, the smallest id, from the start. The others meet in banded
     buckets. In each bucket one member, the hub, is paired with all members outside its component: a star.
     Pairs that pass the signature test are confirmed on full sets and joined into components. A hub has then been
-    compared with everything it could add, and leaves its bucket; the next round takes new hubs, linked ones first
-    and twice as many, in buckets that still hold more than one component. So no link between
-    two texts of a bucket can be lost, while a group of copies costs about one pair for each copy.
+    compared with everything it could add, and leaves its bucket. The next round takes hubs that are linked already, which
+    gathers copies around their original; later ones take more hubs at once, for the few texts
+    that share buckets and are no copies. It ends when no bucket holds two components with a hub to go. So no link between
+    two texts of a bucket is lost, while a group of copies costs about one pair for each copy.
 
     Null or empty texts, and texts of white space, have no shingles and link with nothing. Repeated rows of a
     doc_id are members of its set; a repeated doc_id with different texts links both. Other columns don't matter;
@@ -165,23 +168,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     same_id = members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = scratch.save(same_id.join(members.groupBy("doc_id").agg((F.min("rep") != F.max("rep")).alias("two")).where("two").select(F.col("doc_id").alias("a")), "a", "left_semi"), "links")
-    comps, hubs_each = spark.createDataFrame([], "node long, component long"), 1
+    comps, hubs_each = spark.createDataFrame([], "node long, component long"), iter([*HUBS, *(HUBS[-1] ** k for k in range(2, 9))])
     while not buckets.isEmpty():
         at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.col("component").isNull().alias("alone"))
         at = scratch.save(at, "at")
         unfinished = at.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
         open_ = scratch.save(at.join(unfinished, "key", "left_semi"), "open")
-        slot = F.pmod(F.xxhash64("rep"), F.lit(hubs_each))
+        slot = F.pmod(F.xxhash64("rep"), F.lit(next(hubs_each)))
         hub = F.min(F.struct("alone", "rep", "component")).alias("hub")
         hubs = scratch.save(open_.groupBy("key", slot.alias("slot")).agg(hub).select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of_hub")), "hubs")
         pairs = open_.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         near = scratch.save(_alike(pairs, sigs), "near")
-        found = scratch.save(links.select("a", "b").union(_confirmed(near, texts)), "links")
-        comps = components(found, scratch)
+        new = scratch.save(_confirmed(near, texts), "new")
+        found = links
+        if not new.isEmpty():
+            found = scratch.save(links.union(new), "links")
+            comps = components(found, scratch)
         rest = open_.select("key", "rep").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        old, buckets, links = (buckets, at, open_, links), scratch.save(rest, "buckets"), found
+        old, buckets, links = (buckets, at, open_, hubs, near), scratch.save(rest, "buckets"), found
         scratch.drop(*old)
-        hubs_each *= 2
     out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

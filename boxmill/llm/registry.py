@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boxmill.llm.chat_format import OP5_SQL, op5_chat_format
+from boxmill.llm.decontamination import op10_benchmark_decontamination
+from boxmill.llm.embedding_dedup import op3_embedding_near_dedup
+from boxmill.llm.html_extract import op8_html_extraction
+from boxmill.llm.lang_id import op4_language_id
 from boxmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from boxmill.llm.mixing import op7_source_mixing
 from boxmill.llm.near_dedup import op2_minhash_near_dedup
 from boxmill.llm.token_count import op9_token_counts
+from boxmill.llm.token_packing import op1_token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_packing": op1_token_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_language_id": op4_language_id,
     "op5_chat_format": op5_chat_format,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
