@@ -27,9 +27,9 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gt.select("image_id", "box_idx", "cls", b.xc.alias("xc"), b.yc.alias("yc"), b.w.alias("w"), b.h.alias("h"))
 
 
-@query("corners_to_yolo", f"WITH {sql()}, {_LABELS} SELECT image_id, box_idx, cls, round(xc, 9) AS xc, round(yc, 9) AS yc, round(w, 9) AS w, round(h, 9) AS h FROM labels")
+@query("corners_to_yolo", f"WITH {sql()}, {_LABELS} SELECT image_id, box_idx, cls, round(xc, 10) AS xc, round(yc, 10) AS yc, round(w, 10) AS w, round(h, 10) AS h FROM labels")
 def corners_to_yolo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("xc", "yc", "w", "h")})
+    return labels(spark, sf_dir).withColumns({c: F.round(c, 10) for c in ("xc", "yc", "w", "h")})
 
 
 @query(
@@ -56,10 +56,10 @@ def yolo_to_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir).select("image_id", "box_idx", "cls", *[c.alias(n) for n, c in b._asdict().items()])
 
 
-@query("rotate180", f"WITH {sql()}, {_LABELS} SELECT image_id, box_idx, cls, round(1 - xc, 9) AS xc, round(1 - yc, 9) AS yc, round(w, 9) AS w, round(h, 9) AS h FROM labels")
+@query("rotate180", f"WITH {sql()}, {_LABELS} SELECT image_id, box_idx, cls, round(1 - xc, 10) AS xc, round(1 - yc, 10) AS yc, round(w, 10) AS w, round(h, 10) AS h FROM labels")
 def rotate180(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.rotated_half_turn(B.label())
-    return labels(spark, sf_dir).select("image_id", "box_idx", "cls", *[F.round(c, 9).alias(n) for n, c in b._asdict().items()])
+    return labels(spark, sf_dir).select("image_id", "box_idx", "cls", *[F.round(c, 10).alias(n) for n, c in b._asdict().items()])
 
 
 #: Crops follow the image: origin and size from p_size.
