@@ -107,8 +107,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     with np.errstate(over="ignore"):
         rolled = np.zeros(n, U)
         for k in range(width):
-            part = rolled[: n - k] if k else rolled
-            part += own[k:] * U(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64))
+            rolled[: max(0, n - k)] += own[k:] * U(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64))
         rolled = mix(rolled + U(width))
     keep = np.arange(n) + width <= np.repeat(first[1:], counts)
     for d in np.flatnonzero((counts > 0) & (counts < width)):

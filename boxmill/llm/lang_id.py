@@ -135,7 +135,7 @@ def scores(w: Words, model: Model) -> np.ndarray:
     if not len(w.starts):
         return np.zeros((0, len(model.langs)), np.float32)
     s = np.add.reduceat(model.log_p[w.bucket], w.starts, axis=0)
-    s[~model.uses[w.script]] = -1e6
+    s[~model.uses[w.script]] = -1e30
     s -= s.max(axis=1, keepdims=True)
     s[~model.uses[w.script].any(axis=1)] = 0
     return s

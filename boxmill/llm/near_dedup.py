@@ -20,10 +20,12 @@ BANDS, ROWS = 24, 8
 BINS = BANDS * ROWS
 #: Words in a shingle; links need 100 * intersection >= SHARE * union.
 WIDTH, SHARE = 5, 85
-#: Hubs that a bucket gives at most in each round; from the last on, the number grows by that factor.
-HUBS = (1, 1, 16)
+#: Rounds of stars before what is left in the buckets is compared in blocks.
+STAR_ROUNDS = 2
+#: Members of a bucket that one task compares, and hashes of a set that it has for that; smaller sets are there in full.
+BLOCK, LOWEST = 1024, 512
 #: A pair is tested on full sets unless its signature's estimate is this many standard deviations short.
-SLACK = 6.0
+SLACK = 4.5
 
 
 @cache
@@ -133,16 +135,83 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(run, "a long, b long")
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(rep, n, sig, lowest): the signature and the smallest hashes of the set of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, bounds = shingle_sets(part.column("text"), WIDTH)
+                low = (signatures(sets, bounds) & U(0xFFFF)).astype("<u2")
+                first = [sets[a : min(b, a + LOWEST)].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(first, pa.binary())], ["rep", "n", "sig", "lowest"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, n long, sig binary, lowest binary")
+
+
+def _cross_pairs(group: pa.Table) -> pa.Table:
+    """Pairs of a block, or across two blocks of a bucket, that may link two of its components.
+
+    Sets that are there in full are compared exactly, and a link found so makes its components one at once; of larger sets
+    the pairs whose smallest hashes don't rule a link out are returned for confirmation.
+    """
+    m = group.num_rows
+    rep, comp, n, block = (group[c].to_numpy().copy() for c in ("rep", "component", "n", "block"))
+    across = block.min() != block.max() or group["other"][0].as_py() != block[0]
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(m, BINS)
+    lowest = [np.frombuffer(x, "<u8") for x in group["lowest"].to_pylist()]
+    share, found = SHARE / 100, []
+    for i in range(m - 1):
+        may = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * SHARE)
+        if across:
+            may &= block[i + 1 :] != block[i]
+        j = i + 1 + np.flatnonzero(may)
+        if len(j):
+            seen = np.minimum(np.minimum(n[j], n[i]), BINS)
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= share - SLACK * np.sqrt(share * (1 - share) / seen)]
+        for k in j:
+            if comp[k] == comp[i]:
+                continue
+            p, q = lowest[i], lowest[k]
+            both = np.intersect1d(p, q, assume_unique=True)
+            if n[i] <= LOWEST and n[k] <= LOWEST:
+                if 100 * len(both) >= SHARE * (len(p) + len(q) - len(both)):
+                    found.append((rep[i], rep[k]))
+                    comp[comp == comp[k]] = comp[i]
+                continue
+            size = min(len(p), len(q))
+            last = np.union1d(p, q)[size - 1]
+            if np.searchsorted(both, last, "right") / size >= share - SLACK * np.sqrt(share * (1 - share) / size):
+                found.append((rep[i], rep[k]))
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+
+def _left_over(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs to confirm from all buckets (key, rep, component) that still hold several components.
+
+    Buckets of the same members count once. One of more than BLOCK members is cut into blocks, and every two of them
+    are compared in a task of their own, so no task holds more than two blocks.
+    """
+    alike = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("size")]
+    once = open_.groupBy("key").agg(*alike).groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
+    rows = open_.join(once, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    wanted = open_.select("rep").distinct()
+    rows = rows.join(_sketches(texts.join(wanted, "rep", "left_semi")), "rep")
+    return rows.groupBy("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).applyInArrow(_cross_pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Documents with equal shingle sets count as one, the smallest id, from the start. The others meet in banded
     buckets. In each bucket one member, the hub, is paired with all members outside its component: a star.
     Pairs that pass the signature test are confirmed on full sets and joined into components. A hub has then been
-    compared with everything it could add, and leaves its bucket. The next round takes hubs that are linked already, which
-    gathers copies around their original; later ones take more hubs at once, for the few texts
-    that share buckets and are no copies. It ends when no bucket holds two components with a hub to go. So no link between
-    two texts of a bucket is lost, while a group of copies costs about one pair for each copy.
+    compared with everything it could add, and leaves its bucket; the second round takes hubs that are linked already, which
+    gathers copies around their original. So a group of copies costs about one pair for each copy. Members
+    of different components that are left in a bucket are compared within tasks, block by block, and only pairs that
+    may be links leave them. So no link between two texts of a bucket is lost.
 
     Null or empty texts, and texts of white space, have no shingles and link with nothing. Repeated rows of a
     doc_id are members of its set; a repeated doc_id with different texts links both. Other columns don't matter;
@@ -153,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = scratch.save(features(docs), "features")
     sets = ["set_a", "set_b", "n_shingles"]
-    groups = feats.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"))
+    groups = scratch.save(feats.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "groups")
     members = scratch.save(feats.select("doc_id", *sets).join(groups, sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     # A doc_id repeated with another text may stand for two sets; each keeps its own signature.
     reps = feats.join(groups.select(*sets, F.col("rep").alias("doc_id")), [*sets, "doc_id"], "left_semi")
@@ -168,25 +237,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     same_id = members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = scratch.save(same_id.join(members.groupBy("doc_id").agg((F.min("rep") != F.max("rep")).alias("two")).where("two").select(F.col("doc_id").alias("a")), "a", "left_semi"), "links")
-    comps, hubs_each = spark.createDataFrame([], "node long, component long"), iter([*HUBS, *(HUBS[-1] ** k for k in range(2, 9))])
-    while not buckets.isEmpty():
+    comps = spark.createDataFrame([], "node long, component long")
+    for number in range(STAR_ROUNDS + 1):
         at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.col("component").isNull().alias("alone"))
         at = scratch.save(at, "at")
         unfinished = at.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
         open_ = scratch.save(at.join(unfinished, "key", "left_semi"), "open")
-        slot = F.pmod(F.xxhash64("rep"), F.lit(next(hubs_each)))
-        hub = F.min(F.struct("alone", "rep", "component")).alias("hub")
-        hubs = scratch.save(open_.groupBy("key", slot.alias("slot")).agg(hub).select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of_hub")), "hubs")
-        pairs = open_.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        near = scratch.save(_alike(pairs, sigs), "near")
+        if open_.isEmpty():
+            break
+        if number < STAR_ROUNDS:
+            hub = F.min(F.struct("alone", "rep", "component")).alias("hub")
+            hubs = scratch.save(open_.groupBy("key").agg(hub).select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of_hub")), "hubs")
+            pairs = open_.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+            near = scratch.save(_alike(pairs, sigs), "near")
+            buckets = open_.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
+        else:
+            near = scratch.save(_left_over(open_, texts), "near")
         new = scratch.save(_confirmed(near, texts), "new")
-        found = links
         if not new.isEmpty():
-            found = scratch.save(links.union(new), "links")
-            comps = components(found, scratch)
-        rest = open_.select("key", "rep").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        old, buckets, links = (buckets, at, open_, hubs, near), scratch.save(rest, "buckets"), found
-        scratch.drop(*old)
+            links = scratch.save(links.union(new), "links")
+            comps = components(links, scratch)
+        scratch.drop(at, near)
     out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
