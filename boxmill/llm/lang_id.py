@@ -132,8 +132,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 def scores(w: Words, model: Model) -> np.ndarray:
     """Of each word for each language, relative to the best: 0 or less. Languages that don't use a word's script are out,
     unless none does; such a word is equal for all."""
-    if not len(w.starts):
-        return np.zeros((0, len(model.langs)), np.float32)
+    if not len(w.starts) or not model.langs:
+        return np.zeros((len(w.starts), len(model.langs)), np.float32)
     s = np.add.reduceat(model.log_p[w.bucket], w.starts, axis=0)
     s[~model.uses[w.script]] = -1e30
     s -= s.max(axis=1, keepdims=True)
