@@ -30,13 +30,22 @@ def _sentence(rnd: random.Random, low: int = 3, high: int = 16) -> str:
     return " ".join(words).capitalize() + rnd.choice("....?!")
 
 
+def _varied(rnd: random.Random, attributes: str) -> str:
+    """Some of the class and id words in compounds, as pages have them."""
+    if not attributes or rnd.random() < 0.5:
+        return attributes
+    key, _, value = attributes.partition("=")
+    add = lambda w: rnd.choice([w + x for x in ("list", "box", "area", "wrap", "-inner", "_1", "Block", "s")] + ["my" + w, rnd.choice(_SYLLABLES) + "-" + w]) if len(w) > 3 and rnd.random() < 0.6 else w
+    return f'{key}="' + " ".join(add(w) for w in value.strip('"').split()) + '"'
+
+
 def _links(rnd: random.Random) -> str:
     return "".join(f'<li><a href="/{i}">{_sentence(rnd, 1, 3)[:-1]}</a></li>' for i in range(rnd.randint(2, 8)))
 
 
 def _aside(rnd: random.Random, kind: str) -> str:
     """Some piece of a kind, in its own element or in a plain one with telling attributes."""
-    attributes = rnd.choice(_KINDS[kind])
+    attributes = _varied(rnd, rnd.choice(_KINDS[kind]))
     element = _ELEMENTS.get(kind, "div")
     if kind in ("ad", "notice", "comment", "share", "aside") and rnd.random() < 0.3:
         element = rnd.choice(["section", "aside", "div"])
@@ -83,13 +92,14 @@ def labelled_page(rnd: random.Random) -> list[tuple[str, bool]]:
     if rnd.random() < 0.3:
         page.append((_aside(rnd, "aside"), False))
     element, attributes = rnd.choice(_MAIN)
+    attributes = _varied(rnd, attributes)
     page.append((f"<{element} {attributes}>", False))
     if rnd.random() < 0.8:
         page.append((f"<h1>{title}</h1>", True))
     for _ in range(rnd.randint(1, 14)):
         page.append((_main_piece(rnd), True))
         if rnd.random() < 0.12:
-            page.append((_aside(rnd, rnd.choice(["ad", "aside", "form", "notice", "share"])), False))
+            page.append((_aside(rnd, rnd.choice(["ad", "aside", "form", "notice", "share", "comment"])), False))
     if rnd.random() < 0.15:
         page.append((_aside(rnd, "comment"), False))
     page.append((f"</{element}>", False))
