@@ -24,6 +24,8 @@ WIDTH, SHARE = 5, 85
 STAR_ROUNDS = 2
 #: Members of a bucket that one task compares, and hashes of a set that it has for that; smaller sets are there in full.
 BLOCK, LOWEST = 1024, 512
+#: Bits of the bitmap that keeps texts without candidates from being shuffled: 1 MB.
+SIEVE_BITS = 1 << 23
 #: A pair is tested on full sets unless its signature's estimate is this many standard deviations short.
 SLACK = 4.5
 
@@ -69,31 +71,29 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sig, bands) of each row; set_a and set_b identify the shingle set."""
+    """(doc_id, n_shingles, set_a, set_b, bands) of each row; set_a and set_b identify the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 sets, bounds = shingle_sets(part.column("t"), WIDTH)
-                sig = signatures(sets, bounds)
+                bands = _bands(signatures(sets, bounds))
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (mix(sets), mix(sets ^ U(0x5851F42D4C957F2D)))]
                     a, b = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
-                low = (sig & U(0xFFFF)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(np.diff(bounds)),
                         pa.array(a),
                         pa.array(b),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
-                        pa.FixedSizeListArray.from_arrays(pa.array(_bands(sig).ravel()), BANDS).cast(pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             keep = (x == y).mean(axis=1) >= share - SLACK * np.sqrt(share * (1 - share) / seen)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    of_a = sigs.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
-    of_b = sigs.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
+    of_a = sigs.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    of_b = sigs.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     near = pairs.join(of_a, "a").join(of_b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SHARE)
     return near.mapInArrow(run, "a long, b long")
 
@@ -187,7 +187,7 @@ def _cross_pairs(group: pa.Table) -> pa.Table:
     return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
 
-def _left_over(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _left_over(open_: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs to confirm from all buckets (key, rep, component) that still hold several components.
 
     Buckets of the same members count once. One of more than BLOCK members is cut into blocks, and every two of them
@@ -197,11 +197,24 @@ def _left_over(open_: DataFrame, texts: DataFrame) -> DataFrame:
     once = open_.groupBy("key").agg(*alike).groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
     rows = open_.join(once, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    wanted = open_.select("rep").distinct()
-    rows = rows.join(_sketches(texts.join(wanted, "rep", "left_semi")), "rep")
+    rows = rows.join(sketches, "rep")
     return rows.groupBy("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).applyInArrow(_cross_pairs, "a long, b long").distinct()
 
 
+def _texts_of(docs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, text) of the rows of docs whose id is in reps.
+
+    Most documents are in no bucket with others. A bitmap of SIEVE_BITS hashed ids, of bounded size whatever the
+    number of ids, drops most of them where they are read; the join that follows is exact.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place("rep") % 64).cast("int"))
+    sieve = reps.groupBy(F.floor(place("rep") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    sieve = F.broadcast(scratch.save(sieve, "sieve"))
+    passed = docs.join(sieve, F.floor(place("doc_id") / 64) == F.col("word")).where(F.call_function("shiftrightunsigned", F.col("bits"), (place("doc_id") % 64).cast("int")).bitwiseAND(1) == 1)
+    return passed.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -224,15 +237,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = ["set_a", "set_b", "n_shingles"]
     groups = scratch.save(feats.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "groups")
     members = scratch.save(feats.select("doc_id", *sets).join(groups, sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    # A doc_id repeated with another text may stand for two sets; each keeps its own signature.
-    reps = feats.join(groups.select(*sets, F.col("rep").alias("doc_id")), [*sets, "doc_id"], "left_semi")
-    keys = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg((F.min("rep") != F.max("rep")).alias("more")).where("more").select("key")
-    buckets = scratch.save(keys.join(shared, "key", "left_semi"), "buckets")
-    sigs = scratch.save(reps.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sig"), "signatures")
-    # One text for each set: the rows whose id and set are those of a representative.
-    texts = docs.join(sigs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()
-    texts = scratch.save(texts, "texts")
+    # Copies of a set have the same buckets, where their smallest id stands for them.
+    keys = feats.where("n_shingles > 0").select(F.explode("bands").alias("key"), "set_a", "doc_id")
+    shared = keys.groupBy("key").agg((F.min("set_a") != F.max("set_a")).alias("more")).where("more").select("key")
+    shared = scratch.save(shared, "shared")  # so that a key of very many copies can be split in the join
+    buckets = keys.join(shared, "key", "left_semi").groupBy("key", "set_a").agg(F.min("doc_id").alias("rep")).select("key", "rep")
+    buckets = scratch.save(buckets, "buckets")
+    texts = scratch.save(_texts_of(docs, scratch.save(buckets.select("rep").distinct(), "reps"), scratch), "texts")
+    sketches = scratch.save(_sketches(texts), "sketches")
     scratch.drop(feats)
 
     same_id = members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -249,10 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             hub = F.min(F.struct("alone", "rep", "component")).alias("hub")
             hubs = scratch.save(open_.groupBy("key").agg(hub).select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of_hub")), "hubs")
             pairs = open_.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-            near = scratch.save(_alike(pairs, sigs), "near")
+            near = scratch.save(_alike(pairs, sketches), "near")
             buckets = open_.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
         else:
-            near = scratch.save(_left_over(open_, texts), "near")
+            near = scratch.save(_left_over(open_, sketches), "near")
         new = scratch.save(_confirmed(near, texts), "new")
         if not new.isEmpty():
             links = scratch.save(links.union(new), "links")
