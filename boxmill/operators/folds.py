@@ -1,40 +1,48 @@
-"""Greedy per-image operators as ordered folds: one shuffle by image, then higher-order functions, no Python workers.
+"""Greedy per-image operators: geometry as joins, order as folds over what the joins leave.
 
-A fold costs the square of an image's boxes. Images are bounded things (tens of boxes, some thousands at most);
-for more, cut them into tiles first (boxmill.operators.tiling).
+The join on the image finds the pairs that matter inside generated code; they are few. Only boxes in such a pair go through
+a fold, by higher-order functions over one array for each image. No Python workers. An image's pairs grow with the square of its
+boxes (tens, some thousands at most); for more, cut images into tiles first (boxmill.operators.tiling).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.boxes import Corners, area, containment, intersection, iou
+from boxmill.functions.boxes import Corners, area, containment, corners, intersection, iou
 
 BOX = ("x1", "y1", "x2", "y2")
+KEY = ["image_id", "box_idx"]
+#: Whether a prediction fits a box, from both boxes and both classes.
+Fits = Callable[[Corners, Corners, Column, Column], Column]
 
 
 def _corners(box: Column) -> Corners:
     return Corners(*(box[c] for c in BOX))
 
 
-def _by_score(df: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each image with its boxes, best score first and then by box_idx."""
-    fields = [(-F.col("score")).alias("rank"), F.col("box_idx"), *[F.col(c) for c in (*BOX, "cls", "score", *more)]]
-    return df.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes"))
-
-
 def suppress(pred: DataFrame, threshold: float) -> DataFrame:
     """Non-maximum suppression across classes: a box goes if it overlaps a better kept one by IoU above the threshold.
 
     Equal scores go by box_idx. Input and output: (image_id, box_idx, cls, x1, y1, x2, y2, score).
     """
-    def keep(kept: Column, b: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: iou(_corners(k), _corners(b)) > threshold), kept).otherwise(F.concat(kept, F.array(b)))
+    rank = F.struct((-F.col("score")).alias("s"), "box_idx")
+    a = pred.select("image_id", "box_idx", rank.alias("rank"), *BOX)
+    better = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.rank") < F.col("a.rank")) & (iou(corners("a."), corners("b.")) > threshold)
+    pairs = a.alias("a").join(a.alias("b"), better).select("a.image_id", "a.rank", F.col("b.box_idx").alias("by"))
+    rivals = pairs.groupBy("image_id", "rank").agg(F.collect_list("by").alias("by"))
+    images = rivals.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "by"))).alias("boxes"))
+
+    def fall(gone: Column, b: Column) -> Column:
+        """A box goes if one of its betters stays."""
+        return F.when(F.exists(b["by"], lambda i: ~F.array_contains(gone, i)), F.concat(gone, F.array(b["rank"]["box_idx"]))).otherwise(gone)
 
-    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), keep)
-    out = _by_score(pred).select("image_id", F.explode(kept).alias("b"))
-    return out.select("image_id", "b.box_idx", "b.cls", *[f"b.{c}" for c in BOX], "b.score")
+    none = F.array_repeat(F.lit(0).cast("long"), F.lit(0))
+    gone = images.select("image_id", F.explode(F.aggregate("boxes", none, fall)).alias("box_idx"))
+    return pred.join(gone, KEY, "left_anti").select("image_id", "box_idx", "cls", *BOX, "score")
 
 
 def suppress_contained(pred: DataFrame, threshold: float) -> DataFrame:
@@ -54,39 +62,38 @@ def suppress_contained(pred: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, covers, "left_anti")
 
 
-def match(pred: DataFrame, gt: DataFrame, fits, name: str = "outcome") -> DataFrame:
+def match(pred: DataFrame, gt: DataFrame, fits: Fits, name: str = "outcome") -> DataFrame:
     """Greedy one-to-one matching: predictions in order of score each take the first free box of gt that fits.
 
-    `fits(prediction, box)` gives the condition from two structs. Returns (image_id, cls, box_idx, outcome): TP and FP for
-    predictions, with the prediction's class, FN for boxes of gt that stay free, with their own.
+    Returns (image_id, cls, box_idx, outcome): TP and FP for predictions, with the prediction's class, FN for boxes of gt
+    that stay free, with their own.
     """
-    g = F.struct("box_idx", *BOX, "cls")
-    images = _by_score(pred).join(gt.groupBy("image_id").agg(F.array_sort(F.collect_list(g)).alias("gts")), "image_id", "full_outer")
-    images = images.withColumns({"boxes": F.coalesce("boxes", F.slice("boxes", 1, 0), F.array()), "gts": F.coalesce("gts", F.array())})
-    # The taken boxes, in the order of the predictions; 0 for a prediction that takes none.
+    p, g = corners("p."), corners("g.")
+    near = (F.col("p.image_id") == F.col("g.image_id")) & fits(p, g, F.col("p.cls"), F.col("g.cls"))
+    rank = F.struct((-F.col("p.score")).alias("s"), F.col("p.box_idx").alias("box_idx"))
+    pairs = pred.alias("p").join(gt.alias("g"), near).select("p.image_id", rank.alias("rank"), F.col("g.box_idx").alias("gt_idx"))
+    choices = pairs.groupBy("image_id", "rank").agg(F.array_sort(F.collect_list("gt_idx")).alias("may"))
+    images = choices.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "may"))).alias("boxes"))
+
     def take(taken: Column, q: Column) -> Column:
-        free = F.filter("gts", lambda h: fits(q, h) & ~F.array_contains(taken, h["box_idx"]))
-        return F.concat(taken, F.array(F.coalesce(F.get(free, F.lit(0))["box_idx"], F.lit(0).cast("long"))))
+        free = F.get(F.filter(q["may"], lambda i: ~F.exists(taken, lambda t: t["gt_idx"] == i)), F.lit(0))
+        return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(q["rank"]["box_idx"].alias("box_idx"), free.alias("gt_idx")))))
 
-    none = F.array_repeat(F.lit(0).cast("long"), F.lit(0))
-    images = images.withColumn("taken", F.aggregate("boxes", none, take))
-    of_pred = F.transform("boxes", lambda b, i: F.struct(b["cls"].alias("cls"), b["box_idx"].alias("box_idx"), F.when(F.get("taken", i) > 0, "TP").otherwise("FP").alias(name)))
-    of_gt = F.transform(F.filter("gts", lambda h: ~F.array_contains("taken", h["box_idx"])), lambda h: F.struct(h["cls"].alias("cls"), h["box_idx"].alias("box_idx"), F.lit("FN").alias(name)))
-    return images.select("image_id", F.explode(F.concat(of_pred, of_gt)).alias("o")).select("image_id", "o.*")
+    none = F.from_json(F.lit("[]"), "array<struct<box_idx:bigint,gt_idx:bigint>>")
+    taken = images.select("image_id", F.explode(F.aggregate("boxes", none, take)).alias("t")).select("image_id", "t.*")
+    of_pred = pred.join(taken.select("image_id", "box_idx", F.lit(True).alias("hit")), KEY, "left").select("image_id", "cls", "box_idx", F.when(F.col("hit"), "TP").otherwise("FP").alias(name))
+    of_gt = gt.join(taken.select("image_id", F.col("gt_idx").alias("box_idx")), KEY, "left_anti").select("image_id", "cls", "box_idx", F.lit("FN").alias(name))
+    return of_pred.union(of_gt)
 
 
-def fits_model(overlap: float, cover: float):
+def fits_model(overlap: float, cover: float) -> Fits:
     """Same class, and IoU or either containment high enough: the rule for a model's predictions."""
-    def fits(q: Column, h: Column) -> Column:
-        a, b = _corners(q), _corners(h)
-        return (q["cls"] == h["cls"]) & ((iou(a, b) >= overlap) | (containment(a, b) >= cover) | (containment(b, a) >= cover))
-
-    return fits
+    return lambda a, b, of_a, of_b: (of_a == of_b) & ((iou(a, b) >= overlap) | (containment(a, b) >= cover) | (containment(b, a) >= cover))
 
 
-def fits_rules(cover: float):
+def fits_rules(cover: float) -> Fits:
     """Enough of the prediction inside the box, whatever the classes: the rule for boxes made by colour rules."""
-    return lambda q, h: containment(_corners(q), _corners(h)) >= cover
+    return lambda a, b, of_a, of_b: containment(a, b) >= cover
 
 
 def remove_overlaps(boxes: DataFrame) -> DataFrame:
