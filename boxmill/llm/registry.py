@@ -14,6 +14,7 @@ from boxmill.llm.lang_id import op4_language_id
 from boxmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from boxmill.llm.mixing import op7_source_mixing
 from boxmill.llm.near_dedup import op2_minhash_near_dedup
+from boxmill.llm.oracles import OP2_SQL, OP3_SQL
 from boxmill.llm.token_count import op9_token_counts
 from boxmill.llm.token_packing import op1_token_packing
 
@@ -31,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": OP2_SQL,
+    "op3_embedding_near_dedup": OP3_SQL,
     "op5_chat_format": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }
