@@ -11,7 +11,6 @@ from boxmill.plans.fixture import HEIGHT, WIDTH, boxes, gt_boxes, pred_boxes, sq
 from boxmill.plans.fixture import table as read
 from boxmill.plans.registry import query
 
-_W, _H = F.lit(float(WIDTH)), F.lit(float(HEIGHT))
 #: Labels of the gt boxes, as shares of the image, in both dialects.
 _LABELS = f"""labels AS (
   SELECT image_id, box_idx, cls, (x1 + x2) / 2.0 / {WIDTH}.0::DOUBLE AS xc, (y1 + y2) / 2.0 / {HEIGHT}.0::DOUBLE AS yc,
@@ -23,7 +22,7 @@ _LABELS = f"""labels AS (
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gt boxes as label boxes."""
     gt = gt_boxes(spark, sf_dir)
-    b = B.label_from_corners(B.Corners(*(F.col(c).cast("double") for c in B.Corners._fields)), _W, _H)
+    b = B.label_from_corners(B.Corners(*(F.col(c).cast("double") for c in B.Corners._fields)), F.lit(float(WIDTH)), F.lit(float(HEIGHT)))
     return gt.select("image_id", "box_idx", "cls", b.xc.alias("xc"), b.yc.alias("yc"), b.w.alias("w"), b.h.alias("h"))
 
 
