@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.col("component").isNull().alias("alone"))
         at = scratch.save(at, "at")
         unfinished = at.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
+        unfinished = scratch.save(unfinished, "unfinished")  # for the same reason
         open_ = scratch.save(at.join(unfinished, "key", "left_semi"), "open")
         if open_.isEmpty():
             break
