@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,14 +78,13 @@ class Walks:
     def __init__(self, steps: int, seed: int = 29):
         self.seeds = stream(seed, WALKS * steps).reshape(WALKS, steps)
 
-    def embed(self, word: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: int) -> np.ndarray:
-        """Embeddings (steps x starts) of the words from each start on; 0 from its end on."""
-        at, out = starts.copy(), np.zeros((steps, len(starts)), U)
+    def embed(self, word: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int) -> np.ndarray:
+        """Embeddings (steps x walks x starts) of the words from each start on; 0 from its end on."""
+        at, out = np.tile(starts, (WALKS, 1)), np.zeros((steps, WALKS, len(starts)), U)
         for t in range(steps):
-            inside = at < ends
-            symbol = np.where(inside, word[np.minimum(at, len(word) - 1)], U(0))
+            symbol = np.where(at < ends, word[np.minimum(at, len(word) - 1)], U(0))
             out[t] = symbol
-            at += (mix(symbol ^ self.seeds[walk, t]) & U(1)).astype(np.int64)
+            at += (mix(symbol ^ self.seeds[:, t, None]) & U(1)).astype(np.int64)
         return out
 
 
@@ -101,7 +100,7 @@ class ItemIndex:
         for w, k in zip(word_lists, self.edits, strict=True):
             q = shared_run(len(w), k)
             seeds[q].append(grams(w, q))
-            reach[q] = max(reach[q], len(w))
+            reach[q] = max(reach[q], len(w) + k)
         for q, found in seeds.items():
             known = np.unique(np.concatenate(found))
             bits = np.zeros(1 << _FILTER_BITS, bool)
@@ -130,24 +129,25 @@ class ItemIndex:
         order = np.argsort(stream(31 + c, WALKS * SAMPLES * steps).reshape(WALKS, SAMPLES, steps), axis=2)
         return order[:, :, :SAMPLE_SIZE]
 
-    def keys(self, c: int, word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-        """For each sample the keys of the windows at all starts."""
-        for walk in range(WALKS):
-            embedded = self.walks.embed(word, starts, ends, walk, self.steps[c])
-            for sample in range(SAMPLES):
-                key = np.full(len(starts), U(walk * SAMPLES + sample + 1))
-                for step in self.samples[c][walk, sample]:
-                    key = mix(key ^ embedded[step])
-                yield key
+    def keys(self, word: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each class the keys (samples x starts) of the windows at all starts. Walks don't depend on the class: the longest
+        have the others' steps in them."""
+        embedded = self.walks.embed(word, starts, ends, max(self.steps[c] for c in classes))
+        walk = np.arange(WALKS)[:, None]
+        for c in classes:
+            key = np.broadcast_to(np.arange(1, WALKS * SAMPLES + 1, dtype=U).reshape(WALKS, SAMPLES, 1), (WALKS, SAMPLES, len(starts)))
+            for k in range(SAMPLE_SIZE):
+                key = mix(key ^ embedded[self.samples[c][:, :, k], walk])
+            yield c, key.reshape(WALKS * SAMPLES, -1)
 
     def _table(self, c: int, members: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of the class's items, and the items."""
         joined = np.concatenate([self.words[i] for i in members])
         ends = np.cumsum([len(self.words[i]) for i in members])
         starts = ends - [len(self.words[i]) for i in members]
-        keys = list(self.keys(c, joined, starts, ends))
+        ((_, keys),) = self.keys(joined, starts, ends, [c])
         owner = np.tile(np.array(members), len(keys))
-        keys = np.concatenate(keys)
+        keys = keys.ravel()
         order = np.argsort(keys, kind="stable")
         return keys[order], owner[order]
 
@@ -165,7 +165,7 @@ class ItemIndex:
             text = np.searchsorted(first, hit, "right") - 1
             inside = hit + q <= first[text + 1]
             hit, text = hit[inside], text[inside]
-            np.add.at(marks, np.maximum(first[text], hit - 2 * self.reach[q]), 1)
+            np.add.at(marks, np.maximum(first[text], hit - self.reach[q]), 1)
             np.add.at(marks, hit + 1, -1)
         return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
 
@@ -173,15 +173,15 @@ class ItemIndex:
         """(text, item) and the starts of the windows that share a sample's key with the item."""
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
         starts = self.starts_near_seeds(word, first)
-        for lo in range(0, len(starts), 1 << 16):
-            part = starts[lo : lo + (1 << 16)]
+        for lo in range(0, len(starts), 1 << 12):
+            part = starts[lo : lo + (1 << 12)]
             text = np.searchsorted(first, part, "right") - 1
-            for c, (known, owner) in self.tables.items():
-                for key in self.keys(c, word, part, first[text + 1]):
-                    a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-                    for j in np.flatnonzero(b > a):
-                        for item in owner[a[j] : b[j]]:
-                            found[int(text[j]), int(item)].add(int(part[j]))
+            for c, keys in self.keys(word, part, first[text + 1], self.tables.keys()):
+                known, owner = self.tables[c]
+                at = np.searchsorted(known, keys)
+                for sample, j in zip(*np.nonzero(known[np.minimum(at, len(known) - 1)] == keys), strict=True):
+                    for item in owner[at[sample, j] : np.searchsorted(known, keys[sample, j], "right")]:
+                        found[int(text[j]), int(item)].add(int(part[j]))
         return {k: sorted(v) for k, v in found.items()}
 
     def hits(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
