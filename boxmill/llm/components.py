@@ -21,9 +21,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     def narrowed(e: DataFrame) -> DataFrame:
         return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
-    left = scratch.save(narrowed(edges), "edges")
-    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    found = scratch.save(nodes.select("node", F.col("node").alias("component")), "components")
+    left, found = scratch.save(narrowed(edges), "edges"), None
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         parent = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
@@ -32,11 +30,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
             parent = parent.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"))
         parent = scratch.save(parent, "roots")
-        roots = parent.select(F.col("node").alias("component"), "parent")
         before, rest = found, left
-        found = scratch.save(found.join(roots, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "components")
+        if found is None:
+            found = parent.withColumnRenamed("parent", "component")  # the first round has all nodes
+        else:
+            roots = parent.select(F.col("node").alias("component"), "parent")
+            found = scratch.save(found.join(roots, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "components")
         of_a = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         of_b = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         left = scratch.save(narrowed(left.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
         scratch.drop(before, rest)
-    return found
+    return found if found is not None else left.toDF("node", "component")

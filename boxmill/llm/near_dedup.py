@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ WIDTH, SHARE = 5, 85
 #: Rounds of stars before what is left in the buckets is compared in blocks.
 STAR_ROUNDS = 2
 #: Members of a bucket that one task compares, and hashes of a set that it has for that; smaller sets are there in full.
-BLOCK, LOWEST = 1024, 512
+BLOCK, LOWEST = 512, 512
 #: Bits of the bitmap that keeps texts without candidates from being shuffled: 1 MB.
 SIEVE_BITS = 1 << 23
 #: A pair is tested on full sets unless its signature's estimate is this many standard deviations short.
@@ -187,6 +187,17 @@ def _cross_pairs(group: pa.Table) -> pa.Table:
     return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
 
+def _labels(links: list[DataFrame]) -> DataFrame:
+    """(rep, label): a label for each end of the links; ends with the same label are connected.
+
+    Two steps to the smallest neighbour gather most of a star-shaped component under one label, without the rounds
+    that whole components take.
+    """
+    both = reduce(DataFrame.union, [x for e in links for x in (e.select("a", "b"), e.select("b", "a"))]).toDF("rep", "other")
+    near = both.groupBy("rep").agg(F.min("other").alias("other")).select("rep", F.least("rep", "other").alias("label"))
+    return near.join(near.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
+
+
 def _left_over(open_: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs to confirm from all buckets (key, rep, component) that still hold several components.
 
@@ -201,18 +212,19 @@ def _left_over(open_: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.groupBy("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).applyInArrow(_cross_pairs, "a long, b long").distinct()
 
 
-def _texts_of(docs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, text) of the rows of docs whose id is in reps.
+def _texts_of(docs: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, text) of the rows of docs whose id is a rep of the buckets.
 
     Most documents are in no bucket with others. A bitmap of SIEVE_BITS hashed ids, of bounded size whatever the
-    number of ids, drops most of them where they are read; the join that follows is exact.
+    number of ids, drops most of them where they are read; the join that follows is exact. It is an inner join, since Catalyst would
+    move a semi join below the bitmap and shuffle all texts for it.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place("rep") % 64).cast("int"))
-    sieve = reps.groupBy(F.floor(place("rep") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    sieve = buckets.groupBy(F.floor(place("rep") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
     sieve = F.broadcast(scratch.save(sieve, "sieve"))
     passed = docs.join(sieve, F.floor(place("doc_id") / 64) == F.col("word")).where(F.call_function("shiftrightunsigned", F.col("bits"), (place("doc_id") % 64).cast("int")).bitwiseAND(1) == 1)
-    return passed.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").distinct()
+    return passed.select(F.col("doc_id").alias("rep"), "text").join(buckets.select("rep").distinct(), "rep").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,9 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal shingle sets count as one, the smallest id, from the start. The others meet in banded
     buckets. In each bucket one member, the hub, is paired with all members outside its component: a star.
-    Pairs that pass the signature test are confirmed on full sets and joined into components. A hub has then been
+    Pairs that pass the signature test are confirmed on full sets and linked. A hub has then been
     compared with everything it could add, and leaves its bucket; the second round takes hubs that are linked already, which
-    gathers copies around their original. So a group of copies costs about one pair for each copy. Members
+    gathers copies around their original. Between rounds, texts known to be connected share a label. So a group of copies costs about one pair for each copy. Members
     of different components that are left in a bucket are compared within tasks, block by block, and only pairs that
     may be links leave them. So no link between two texts of a bucket is lost.
 
@@ -243,34 +255,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.save(shared, "shared")  # so that a key of very many copies can be split in the join
     buckets = keys.join(shared, "key", "left_semi").groupBy("key", "set_a").agg(F.min("doc_id").alias("rep")).select("key", "rep")
     buckets = scratch.save(buckets, "buckets")
-    texts = scratch.save(_texts_of(docs, scratch.save(buckets.select("rep").distinct(), "reps"), scratch), "texts")
+    texts = scratch.save(_texts_of(docs, buckets, scratch), "texts")
     sketches = scratch.save(_sketches(texts), "sketches")
     scratch.drop(feats)
 
-    same_id = members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = scratch.save(same_id.join(members.groupBy("doc_id").agg((F.min("rep") != F.max("rep")).alias("two")).where("two").select(F.col("doc_id").alias("a")), "a", "left_semi"), "links")
-    comps = spark.createDataFrame([], "node long, component long")
+    # A repeated doc_id with different texts links them.
+    twice = members.groupBy("doc_id").agg((F.min("rep") != F.max("rep")).alias("two")).where("two").select(F.col("doc_id").alias("a"))
+    links = [members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(twice, "a", "left_semi")]
+    at = buckets.withColumn("component", F.col("rep")).withColumn("alone", F.lit(True))
     for number in range(STAR_ROUNDS + 1):
-        at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.col("component").isNull().alias("alone"))
-        at = scratch.save(at, "at")
-        unfinished = at.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more").select("key")
-        unfinished = scratch.save(unfinished, "unfinished")  # for the same reason
-        open_ = scratch.save(at.join(unfinished, "key", "left_semi"), "open")
-        if open_.isEmpty():
+        hub = F.min(F.struct("alone", "rep", "component")).alias("hub")
+        hubs = at.groupBy("key").agg(hub, (F.min("component") != F.max("component")).alias("more")).where("more")
+        hubs = scratch.save(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of_hub")), "hubs")
+        if hubs.isEmpty():
+            break
+        if number == STAR_ROUNDS:
+            pairs = scratch.save(_left_over(scratch.save(at.join(hubs, "key", "left_semi"), "open"), sketches), "pairs")
+            links.append(scratch.save(_confirmed(pairs, texts), "links"))
             break
-        if number < STAR_ROUNDS:
-            hub = F.min(F.struct("alone", "rep", "component")).alias("hub")
-            hubs = scratch.save(open_.groupBy("key").agg(hub).select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of_hub")), "hubs")
-            pairs = open_.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-            near = scratch.save(_alike(pairs, sketches), "near")
-            buckets = open_.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-        else:
-            near = scratch.save(_left_over(open_, sketches), "near")
-        new = scratch.save(_confirmed(near, texts), "new")
-        if not new.isEmpty():
-            links = scratch.save(links.union(new), "links")
-            comps = components(links, scratch)
-        scratch.drop(at, near)
+        pairs = at.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        links.append(scratch.save(_confirmed(_alike(pairs, sketches), texts), "links"))
+        label = scratch.save(_labels(links[1:]), "labels")
+        rest = at.join(hubs, "key").where(F.col("rep") != F.col("hub")).select("key", "rep")
+        at = rest.join(label, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("component"), F.col("label").isNull().alias("alone"))
+        at = scratch.save(at, "at")
+    comps = components(reduce(DataFrame.union, links), scratch)
     out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
