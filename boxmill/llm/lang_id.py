@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -24,7 +24,7 @@ SWITCH = 8.0
 #: A language uses a script if it has at least this share of its letters in it.
 SCRIPT_SHARE = 0.005
 #: Bytes of text whose words are decoded together.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 UNKNOWN = "und"
 #: First and last code points of scripts. Letters outside are of script 0.
 SCRIPTS = [
@@ -172,13 +172,19 @@ def viterbi(emit: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     return label
 
 
-def _concat(parts: list[Words]) -> Words:
-    letters, words = 0, 0
-    for p in parts:
-        p.starts, p.first = p.starts + letters, p.first + words
-        letters, words = letters + len(p.bucket), words + len(p.starts)
-    first = np.concatenate([p.first[:-1] for p in parts] + [[words]])
-    return Words(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("bucket", "script", "starts", "lengths", "begins")), first)
+def decode(texts: Iterable[pa.Array], model: Model, penalty: float) -> tuple[Words, np.ndarray]:
+    """Words of some arrays of texts and their labels. Letters are let go array by array, as soon as their words have
+    scores; so what a group holds at once are its words, not its letters."""
+    parts, emit, words = [], [], 0
+    for array in texts:
+        w = split_words(array)
+        emit.append(scores(w, model))
+        parts.append((w.script, w.lengths, w.begins, w.first[:-1] + words))
+        words += len(w.starts)
+    script, lengths, begins, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+    none = np.zeros(0, np.int64)
+    w = Words(none, script, none, lengths, begins, np.append(first, words))
+    return w, viterbi(np.concatenate(emit), w.first, penalty) if model.langs else np.zeros(words, np.int64)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH, spans: bool = True) -> DataFrame:
@@ -194,14 +200,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def label(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         m = shared.value
-        parts = [split_words(b.column("t")) for b in group]
-        emit = np.concatenate([scores(p, m) for p in parts])
-        w, n = _concat(parts), len(m.langs)
+        w, labels = decode((b.column("t") for b in group), m, penalty)
+        n = len(m.langs)
         count = len(w.first) - 1
         ids = pa.concat_arrays([b.column("doc_id") for b in group])
         if not n:
             return pa.RecordBatch.from_arrays([ids, pa.array([UNKNOWN] * count), pa.array(np.zeros(count)), pa.array(np.zeros(count, np.int64)), pa.nulls(count, span_type)], schema=out_type)
-        labels = viterbi(emit, w.first, penalty)
         text_of = np.repeat(np.arange(count), np.diff(w.first))
         letters = np.bincount(text_of * n + labels, w.lengths * m.uses[w.script].any(axis=1), count * n).reshape(count, n)
         best, total = letters.argmax(axis=1), np.bincount(text_of, w.lengths, count)
@@ -247,10 +251,10 @@ def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "
         for batch in batches:
             for part in slices(batch, text_col, GROUP_BYTES):
                 m = shared.value
-                w = _concat([split_words(x.column(text_col)) for x in slices(part, text_col)])
-                if not m.langs or not len(w.starts):
+                w, labels = decode((x.column(text_col) for x in slices(part, text_col)), m, SWITCH)
+                if not m.langs or not len(labels):
                     continue
-                labels, count = viterbi(scores(w, m), w.first, SWITCH), part.num_rows
+                count = part.num_rows
                 text_of = np.repeat(np.arange(count), np.diff(w.first))
                 usable = w.lengths * m.uses[w.script].any(axis=1)
                 letters = np.bincount(text_of * len(m.langs) + labels, usable, count * len(m.langs)).reshape(count, -1)
