@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxmill.llm.arrow_text import stream
@@ -21,6 +22,13 @@ THRESHOLD = 0.93
 TREES, LEAF, LEVELS = 8, 512, 32
 #: Vectors this many standard deviations around a split's threshold go to both sides.
 SPILL = 0.1
+#: Places, as shares of a node's vectors, where it may be split, and the distance of two of them.
+CUTS, STEP = [round(0.3 + 0.05 * k, 2) for k in range(9)], 0.05
+#: Where more of a node's vectors than this share lie in a stretch of length 1 at the best cut, splits part near vectors
+#: more than they save; the node is a leaf then, whatever its size.
+DENSEST = 1.2
+#: Vectors of a leaf that one task compares with each other, or with as many others of the leaf.
+BLOCK = 4096
 
 
 @cache
@@ -58,21 +66,32 @@ def _projected(vectors: DataFrame) -> DataFrame:
     return vectors.select("rep", "label", "dim", "x").mapInArrow(run, "rep long, label string, dim int, tree int, p array<float>")
 
 
+def _cut(quantiles: Column) -> Column:
+    """(cut, density) of the best place to split: few vectors near it for the size of the smaller side."""
+    density = lambda i: F.lit(2 * STEP) / F.greatest(quantiles[i + 1] - quantiles[i - 1], F.lit(1e-9))
+    worth = [-q * math.log(q) - (1 - q) * math.log(1 - q) for q in CUTS]
+    places = [F.struct((density(i) / F.lit(w)).alias("price"), quantiles[i].alias("cut"), density(i).alias("density")) for i, w in enumerate(worth, 1)]
+    return F.array_min(F.array(*places))
+
+
 def leaves(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, leaf): the leaves that each vector is in, in all trees.
+    """(rep, leaf, size): the leaves that each vector is in, in all trees, with their numbers of vectors.
 
-    All nodes of a level are split at once: a node's threshold is the median of its vectors' projections, which Spark
-    gathers from sketches of all of them. Nodes of at most LEAF vectors are leaves. Labels and dimensions have trees of their own.
+    All nodes of a level are split at once, each near the middle where its vectors' projections are thinnest, by quantiles that
+    Spark gathers from sketches of all of them. Nodes of at most LEAF vectors are leaves, and so are larger ones that are dense
+    wherever they are cut, as a group of near-copies is. Labels and dimensions have trees of their own.
     """
     node = ["label", "dim", "tree", "node"]
     rows = scratch.save(_projected(vectors).withColumn("node", F.lit(1).cast("long")), "roots")
+    shares = [round(CUTS[0] - STEP, 2), *CUTS, round(CUTS[-1] + STEP, 2)]
     done = []
     for level in range(LEVELS):
         p = F.col("p")[level]
-        stats = rows.groupBy(*node).agg(F.count("*").alias("n"), F.percentile_approx(p, 0.5, 1000).alias("cut"), (F.stddev_pop(p) * SPILL).alias("margin"))
+        stats = rows.groupBy(*node).agg(F.count("*").alias("size"), F.percentile_approx(p, shares, 1000).alias("q"), (F.stddev_pop(p) * SPILL).alias("margin"))
+        stats = stats.withColumn("best", _cut(F.col("q").cast("array<double>"))).select(*node, "size", "margin", "best.cut", "best.density")
         marked = scratch.save(rows.join(scratch.save(stats, "stats"), node), "marked")
-        is_leaf = F.col("n") <= LEAF if level < LEVELS - 1 else F.lit(True)
-        done.append(marked.where(is_leaf).select("rep", F.xxhash64(*node).alias("leaf")))
+        is_leaf = (F.col("size") <= LEAF) | (F.col("density") > DENSEST) if level < LEVELS - 1 else F.lit(True)
+        done.append(marked.where(is_leaf).select("rep", F.xxhash64(*node).alias("leaf"), "size"))
         sides = F.array(F.when(p <= F.col("cut") + F.col("margin"), F.col("node") * 2), F.when(p > F.col("cut") - F.col("margin"), F.col("node") * 2 + 1))
         split = marked.where(~is_leaf).select("rep", "label", "dim", "tree", "p", F.explode(F.array_compact(sides)).alias("node"))
         before, rows = rows, scratch.save(split, "rows")
@@ -85,55 +104,59 @@ def leaves(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def _blocks(index: DataFrame) -> DataFrame:
+    """Rows of leaves dealt to blocks of about BLOCK vectors, once for every block (lo, hi) that theirs is compared with."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
+    rows = index.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("size", "other")
+
+
 def _compare(group: pa.Table) -> pa.Table:
-    """Links within a leaf. A pair that also shares a leaf of smaller number is counted there and only there; every
-    vector gets an edge to the smallest one that it reaches inside the leaf."""
+    """Links within a block of a leaf, or across two. A pair that also shares a leaf of smaller number is counted there and only
+    there; every vector gets an edge to the smallest one that it reaches here."""
+    group = group.sort_by("rep")
     n = group.num_rows
     dim, leaf = group["dim"][0].as_py(), group["leaf"][0].as_py()
-    rep, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
+    copies, block = group["copies"].to_numpy(), group["block"].to_numpy()
+    across = group["lo"][0].as_py() != group["hi"][0].as_py()
     kind = np.unique(np.char.add(np.char.add(np.array(group["label"].to_pylist(), dtype=str), "/"), group["dim"].to_numpy().astype(str)), return_inverse=True)[1]
     lists = group["leaves"].combine_chunks()
     width = np.diff(lists.offsets.to_numpy())
-    held = np.full((n, int(width.max())), np.iinfo(np.int64).max)
-    held[np.arange(held.shape[1]) < width[:, None]] = lists.flatten().to_numpy()
+    # The earlier leaves of each vector that another one here is in too, numbered.
+    owner, held = np.repeat(np.arange(n), width), lists.flatten().to_numpy()
+    owner, held = owner[held < leaf], held[held < leaf]
+    ids, at, often = np.unique(held, return_inverse=True, return_counts=True)
+    at, owner = (np.cumsum(often > 1) - 1)[at[often[at] > 1]], owner[often[at] > 1]
     same = np.ones(n, bool) if (group["dim"].to_numpy() == dim).all() else group["dim"].to_numpy() == dim
     x = np.zeros((n, dim))
     x[same] = _unit(group["x"].combine_chunks().filter(pa.array(same)), dim)
     links, root = np.zeros(n, np.int64), np.arange(n)
-    order = np.argsort(rep, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    root = rank.copy()
-    pairs = []
-    for lo in range(0, n, 1024):  # a leaf at the last level may be large
-        near = (x[lo : lo + 1024] @ x.T >= THRESHOLD) & (kind[lo : lo + 1024, None] == kind) & (rep[lo : lo + 1024, None] != rep)
-        i, j = np.nonzero(near)
-        pairs.append((i + lo, j))
-    i, j = (np.concatenate(k) for k in zip(*pairs, strict=True))
-    if len(i):
-        earlier = np.zeros(len(i), bool)
-        for k in range(held.shape[1]):
-            own = held[i, k]
-            ask = np.flatnonzero((own < leaf) & ~earlier)
-            earlier[ask] = (held[j[ask]] == own[ask, None]).any(axis=1)
-        np.add.at(links, i[~earlier], copies[j[~earlier]])
-        while True:
-            lower = root.copy()
-            np.minimum.at(lower, i, root[j])
-            lower = np.minimum(lower, lower[order[lower]])
-            if (lower == root).all():
-                break
-            root = lower
-    some = (links > 0) | (root != rank)
-    return pa.table({"rep": rep[some], "links": links[some], "root": rep[order[root[some]]]})
+    begin = np.searchsorted(owner, np.arange(n + 1))
+    members = np.argsort(at, kind="stable")
+    member_of = np.searchsorted(at[members], np.arange(int((often > 1).sum()) + 1))
+    for lo in range(0, n, 256):
+        hi = min(lo + 256, n)
+        near = (x[lo:hi] @ x.T >= THRESHOLD) & (kind[lo:hi, None] == kind)
+        if across:
+            near &= block[lo:hi, None] != block
+        near[np.arange(hi - lo), np.arange(lo, hi)] = False
+        for i in np.flatnonzero(near.any(axis=1)):
+            j = np.flatnonzero(near[i])
+            if (root[j] != root[lo + i]).any():
+                met = np.unique(np.append(root[j], root[lo + i]))
+                root[np.isin(root, met)] = met[0]  # rows are in order of rep
+            for k in at[begin[lo + i] : begin[lo + i + 1]]:
+                near[i, owner[members[member_of[k] : member_of[k + 1]]]] = False
+        links[lo:hi] = near @ copies
+    return pa.table({"rep": group["rep"], "links": links, "root": group["rep"].to_numpy()[root]}).filter(pa.array((links > 0) | (root != np.arange(n))))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Equal vectors of a label count as one with copies, so they cost nothing however many they are. Every vector is indexed in
-    every tree and compared in double precision with all of its leaves' vectors; a leaf's links are summed where they
-    are found, not emitted as pairs.
+    every tree and compared in double precision with all of its leaves' vectors, block by block where a leaf is large; links
+    are summed where they are found, not emitted as pairs.
 
     Null labels, and vectors that are null, zero or hold null or non-finite components, link with nothing; vectors of different
     lengths don't link either. A repeated vec_id is one vector for n_links; with several vectors it has the links of
@@ -148,9 +171,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = scratch.save(groups.withColumn("dim", F.size("x")), "groups")
     members = rows.join(groups.select("label", "x", "rep", "copies"), ["label", "x"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = scratch.save(members, "members")
-    held = scratch.save(leaves(groups, scratch).groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")), "leaves")
-    index = groups.join(held, "rep").select("rep", "label", "dim", "x", "copies", "leaves", F.explode("leaves").alias("leaf"))
-    found = scratch.save(index.groupBy("leaf").applyInArrow(_compare, "rep long, links long, root long"), "found")
+    held = scratch.save(leaves(groups, scratch).groupBy("rep").agg(F.collect_set(F.struct("leaf", "size")).alias("in")), "leaves")
+    index = groups.join(held, "rep").select("rep", "label", "dim", "x", "copies", F.array_sort("in.leaf").alias("leaves"), F.explode("in").alias("at"))
+    index = _blocks(index.select("rep", "label", "dim", "x", "copies", "leaves", "at.leaf", "at.size"))
+    found = scratch.save(index.groupBy("leaf", "lo", "hi").applyInArrow(_compare, "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     out = members.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -53,3 +53,15 @@ def test_odd_rows(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 0, "")] * 2 + [(2, [1.0, 2.0], 0, "")], SCHEMA)).collect()
     assert sorted((r.vec_id, r.n_links) for r in twice) == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_group_of_near_vectors_larger_than_a_leaf(spark, monkeypatch):
+    """Every two of the group are links, none are bit-equal, and the group is many leaves and blocks long."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 150)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=32)
+    x = np.concatenate([centre + 0.1 * rng.normal(size=(400, 32)), rng.normal(size=(800, 32))])
+    rows = [(i, [float(np.float32(c)) for c in v], 1, "x") for i, v in enumerate(x)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == plain(rows) and got[5][1] == 399
