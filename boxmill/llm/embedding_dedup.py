@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,12 @@ from boxmill.llm.tables import table
 
 #: Pairs of at least this cosine are links.
 THRESHOLD = 0.93
-#: Trees, vectors that a leaf needn't split further, and levels at most. A pair of cosine 0.93 parts in a split with
-#: probability 0.12, less with overlap, so it shares a leaf of some tree almost surely at these sizes.
-TREES, LEAF, LEVELS = 8, 512, 32
+#: Vectors that a leaf needn't split further, and levels at most.
+LEAF, LEVELS = 512, 32
 #: Vectors this many standard deviations around a split's threshold go to both sides.
 SPILL = 0.1
+#: A vector goes into further trees until a pair at the threshold that it is in has shared a leaf with this probability.
+RECALL = 0.999
 #: Places, as shares of a node's vectors, where it may be split, and the distance of two of them.
 CUTS, STEP = [round(0.3 + 0.05 * k, 2) for k in range(9)], 0.05
 #: Where more of a node's vectors than this share lie in a stretch of length 1 at the best cut, splits part near vectors
@@ -32,12 +33,15 @@ BLOCK = 4096
 
 
 @cache
-def _directions(dim: int) -> np.ndarray:
-    """TREES * LEVELS random normal directions, the same for all nodes of a level of a tree."""
-    n = (TREES * LEVELS * dim + 1) // 2
-    a, b = (stream(seed + dim, n).astype(np.float64) / 2.0**64 for seed in (41, 43))
-    radius = np.sqrt(-2 * np.log(np.maximum(a, 1e-300)))
-    return np.concatenate([radius * np.cos(2 * np.pi * b), radius * np.sin(2 * np.pi * b)])[: TREES * LEVELS * dim].reshape(dim, -1)
+def _directions(dim: int, first: int, trees: int) -> np.ndarray:
+    """LEVELS random normal directions for each tree from the first on, the same for all nodes of a level of a tree."""
+    n = (LEVELS * dim + 1) // 2
+    out = []
+    for tree in range(first, first + trees):
+        a, b = (stream(seed + dim + (tree << 20), n).astype(np.float64) / 2.0**64 for seed in (41, 43))
+        radius = np.sqrt(-2 * np.log(np.maximum(a, 1e-300)))
+        out.append(np.concatenate([radius * np.cos(2 * np.pi * b), radius * np.sin(2 * np.pi * b)])[: LEVELS * dim].reshape(dim, -1))
+    return np.concatenate(out, axis=1)
 
 
 def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -45,8 +49,8 @@ def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _projected(vectors: DataFrame) -> DataFrame:
-    """(rep, label, dim, tree, p) with the vector's projections p for the levels of each tree."""
+def _projected(vectors: DataFrame, first: int, trees: int) -> DataFrame:
+    """(rep, label, dim, tree, p) with the vector's projections p for the levels of each of the trees."""
 
     def run(batches):
         for batch in batches:
@@ -55,11 +59,11 @@ def _projected(vectors: DataFrame) -> DataFrame:
                 part = batch.filter(pa.array(dims == dim))
                 for lo in range(0, part.num_rows, 4096):
                     own = part.slice(lo, 4096)
-                    p = (_unit(own.column("x"), int(dim)) @ _directions(int(dim))).astype(np.float32).ravel()
+                    p = (_unit(own.column("x"), int(dim)) @ _directions(int(dim), first, trees)).astype(np.float32).ravel()
                     n = own.num_rows
-                    rows = pa.array(np.repeat(np.arange(n), TREES))
+                    rows = pa.array(np.repeat(np.arange(n), trees))
                     yield pa.RecordBatch.from_arrays(
-                        [own.column("rep").take(rows), own.column("label").take(rows), own.column("dim").take(rows), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.FixedSizeListArray.from_arrays(pa.array(p), LEVELS).cast(pa.list_(pa.float32()))],
+                        [own.column("rep").take(rows), own.column("label").take(rows), own.column("dim").take(rows), pa.array(np.tile(np.arange(first, first + trees, dtype=np.int32), n)), pa.FixedSizeListArray.from_arrays(pa.array(p), LEVELS).cast(pa.list_(pa.float32()))],
                         ["rep", "label", "dim", "tree", "p"],
                     )
 
@@ -74,15 +78,23 @@ def _cut(quantiles: Column) -> Column:
     return F.array_min(F.array(*places))
 
 
-def leaves(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, leaf, size): the leaves that each vector is in, in all trees, with their numbers of vectors.
+def _together(distance: Column) -> Column:
+    """The probability that a vector's partner at the threshold isn't parted from it by a split whose margin on the other side is
+    so far from it: their projections differ by a normal variable, the chord of the threshold being its deviation."""
+    z = distance / math.sqrt(2 - 2 * THRESHOLD)
+    return 1 / (1 + F.exp(-(0.07056 * z * z * z + 1.5976 * z)))
+
+
+def leaves(vectors: DataFrame, scratch: Scratch, first: int, trees: int) -> DataFrame:
+    """(rep, tree, leaf, size, alive): the leaves that each vector is in, with their numbers of vectors and the probability
+    that a partner at the threshold is there.
 
     All nodes of a level are split at once, each near the middle where its vectors' projections are thinnest, by quantiles that
     Spark gathers from sketches of all of them. Nodes of at most LEAF vectors are leaves, and so are larger ones that are dense
     wherever they are cut, as a group of near-copies is. Labels and dimensions have trees of their own.
     """
     node = ["label", "dim", "tree", "node"]
-    rows = scratch.save(_projected(vectors).withColumn("node", F.lit(1).cast("long")), "roots")
+    rows = scratch.save(_projected(vectors, first, trees).withColumn("node", F.lit(1).cast("long")).withColumn("alive", F.lit(1.0)), "roots")
     shares = [round(CUTS[0] - STEP, 2), *CUTS, round(CUTS[-1] + STEP, 2)]
     done = []
     for level in range(LEVELS):
@@ -91,9 +103,11 @@ def leaves(vectors: DataFrame, scratch: Scratch) -> DataFrame:
         stats = stats.withColumn("best", _cut(F.col("q").cast("array<double>"))).select(*node, "size", "margin", "best.cut", "best.density")
         marked = scratch.save(rows.join(scratch.save(stats, "stats"), node), "marked")
         is_leaf = (F.col("size") <= LEAF) | (F.col("density") > DENSEST) if level < LEVELS - 1 else F.lit(True)
-        done.append(marked.where(is_leaf).select("rep", F.xxhash64(*node).alias("leaf"), "size"))
-        sides = F.array(F.when(p <= F.col("cut") + F.col("margin"), F.col("node") * 2), F.when(p > F.col("cut") - F.col("margin"), F.col("node") * 2 + 1))
-        split = marked.where(~is_leaf).select("rep", "label", "dim", "tree", "p", F.explode(F.array_compact(sides)).alias("node"))
+        done.append(marked.where(is_leaf).select("rep", "tree", F.xxhash64(*node).alias("leaf"), "size", "alive"))
+        left, right = p <= F.col("cut") + F.col("margin"), p > F.col("cut") - F.col("margin")
+        alive = F.col("alive") * F.when(left & right, 0.5).otherwise(_together(F.abs(p - F.col("cut")) + F.col("margin")))
+        sides = F.array(F.when(left, F.col("node") * 2), F.when(right, F.col("node") * 2 + 1))
+        split = marked.where(~is_leaf).select("rep", "label", "dim", "tree", "p", F.explode(F.array_compact(sides)).alias("node"), alive.alias("alive"))
         before, rows = rows, scratch.save(split, "rows")
         scratch.drop(before)
         if rows.isEmpty():
@@ -104,6 +118,23 @@ def leaves(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def forest(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, leaf, size): the leaves of as many trees as each vector needs.
+
+    What a vector's path through a tree says about a partner at the threshold is multiplied over its splits; vectors whose
+    partners may still be missed with more than 1 - RECALL go into further trees, twice as many in all each time.
+    """
+    open_, found, first, trees = vectors.withColumn("missed", F.lit(1.0)), [], 0, 1
+    while trees:
+        held = scratch.save(leaves(open_, scratch, first, trees), "held")
+        found.append(held.select("rep", "leaf", "size"))
+        there = held.groupBy("rep", "tree").agg(F.sum("alive").alias("there")).groupBy("rep").agg(F.product(1 - F.least("there", F.lit(1.0))).alias("by"))
+        rest = open_.join(there, "rep").withColumn("missed", F.col("missed") * F.col("by")).where(F.col("missed") > 1 - RECALL).drop("by")
+        open_ = scratch.save(rest, "open")
+        first, trees = first + trees, 0 if open_.isEmpty() else max(first + trees, 7)
+    return reduce(DataFrame.union, found)
+
+
 def _blocks(index: DataFrame) -> DataFrame:
     """Rows of leaves dealt to blocks of about BLOCK vectors, once for every block (lo, hi) that theirs is compared with."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
@@ -155,7 +186,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Equal vectors of a label count as one with copies, so they cost nothing however many they are. Every vector is indexed in
-    every tree and compared in double precision with all of its leaves' vectors, block by block where a leaf is large; links
+    as many trees as it takes to find a pair at the threshold with probability RECALL, and compared in double precision with all of its leaves' vectors, block by block where a leaf is large; links
     are summed where they are found, not emitted as pairs.
 
     Null labels, and vectors that are null, zero or hold null or non-finite components, link with nothing; vectors of different
@@ -171,7 +202,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = scratch.save(groups.withColumn("dim", F.size("x")), "groups")
     members = rows.join(groups.select("label", "x", "rep", "copies"), ["label", "x"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = scratch.save(members, "members")
-    held = scratch.save(leaves(groups, scratch).groupBy("rep").agg(F.collect_set(F.struct("leaf", "size")).alias("in")), "leaves")
+    held = scratch.save(forest(groups, scratch).groupBy("rep").agg(F.collect_set(F.struct("leaf", "size")).alias("in")), "leaves")
     index = groups.join(held, "rep").select("rep", "label", "dim", "x", "copies", F.array_sort("in.leaf").alias("leaves"), F.explode("in").alias("at"))
     index = _blocks(index.select("rep", "label", "dim", "x", "copies", "leaves", "at.leaf", "at.size"))
     found = scratch.save(index.groupBy("leaf", "lo", "hi").applyInArrow(_compare, "rep long, links long, root long"), "found")

@@ -65,3 +65,20 @@ def test_group_of_near_vectors_larger_than_a_leaf(spark, monkeypatch):
     rows = [(i, [float(np.float32(c)) for c in v], 1, "x") for i, v in enumerate(x)]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == plain(rows) and got[5][1] == 399
+
+
+def test_recall_at_the_threshold_around_a_common_direction(spark, monkeypatch):
+    """Pairs of cosine 0.94 or a little more among vectors with a mean direction, over many levels of splits."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 48)
+    rng = np.random.default_rng(9)
+    dim, n = 64, 700
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(2 * np.sqrt(dim) * unit(rng.normal(size=dim)) + rng.normal(size=(n, dim)))
+    across = rng.normal(size=(n, dim))
+    across = unit(across - (across * x).sum(axis=1, keepdims=True) * x)
+    y = 0.94 * x + np.sqrt(1 - 0.94**2) * across
+    both = np.concatenate([x, y])
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(both)], SCHEMA)).collect()}
+    want = (both @ both.T >= 0.93).sum(axis=1) - 1
+    share = sum(got.values()) / want.sum()
+    assert want.sum() >= 2 * n - 20 and share >= 0.995
