@@ -15,10 +15,9 @@ from boxmill.llm.components import components
 from boxmill.llm.scratch import Scratch
 from boxmill.llm.tables import table
 
-#: 24 bands of 8 bins find a pair of similarity 0.85 with probability 1 - (1 - 0.85**8)**24, above 0.999.
+#: 24 bands of 8 bins find a pair of similarity 0.85 with probability 1 - (1 - 0.85**8)**24, above 0.999; for 0.8, bands of 6 do.
 BANDS, ROWS = 24, 8
-BINS = BANDS * ROWS
-#: Words in a shingle; links need 100 * intersection >= SHARE * union.
+#: Words in a shingle; links need 100 * intersection >= SHARE * union, unless a caller asks for another share.
 WIDTH, SHARE = 5, 85
 #: Rounds of stars before what is left in the buckets is compared in blocks.
 STAR_ROUNDS = 2
@@ -31,53 +30,53 @@ SLACK = 4.5
 
 
 @cache
-def _probes() -> np.ndarray:
+def _probes(bins: int) -> np.ndarray:
     """For each bin the order, the same for all documents, in which it looks for a bin with a value."""
-    return np.argsort(stream(11, BINS * BINS).reshape(BINS, BINS), axis=1).astype(np.int32)
+    return np.argsort(stream(11, bins * bins).reshape(bins, bins), axis=1).astype(np.int32)
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One-permutation hashing: the smallest hash in each of BINS ranges, empty bins filled by optimal densification.
+def signatures(sets: np.ndarray, bounds: np.ndarray, n_bins: int) -> np.ndarray:
+    """One-permutation hashing: the smallest hash in each of n_bins ranges, empty bins filled by optimal densification.
 
     An empty bin takes the value of the first bin with one in its own random order. Rows of empty sets hold zeros.
     """
     n = len(bounds) - 1
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    bins = ((sets >> U(32)) * U(BINS)) >> U(32)
-    cell = owner * BINS + bins.astype(np.int64)
+    bins = ((sets >> U(32)) * U(n_bins)) >> U(32)
+    cell = owner * n_bins + bins.astype(np.int64)
     first = np.flatnonzero(np.diff(cell, prepend=-1))  # sets are sorted, so a bin's first hash is its smallest
-    out = np.zeros(n * BINS, U)
+    out = np.zeros(n * n_bins, U)
     out[cell[first]] = mix(sets[first])
-    filled = np.zeros(n * BINS, bool)
+    filled = np.zeros(n * n_bins, bool)
     filled[cell[first]] = True
-    some = np.repeat(np.diff(bounds) > 0, BINS)
+    some = np.repeat(np.diff(bounds) > 0, n_bins)
     empty = np.flatnonzero(~filled & some)
-    for step in range(BINS):
+    for step in range(n_bins):
         if not len(empty):
             break
-        source = empty - empty % BINS + _probes()[empty % BINS, step]
+        source = empty - empty % n_bins + _probes(n_bins)[empty % n_bins, step]
         hit = filled[source]
         out[empty[hit]] = out[source[hit]]
         empty = empty[~hit]
-    return out.reshape(n, BINS)
+    return out.reshape(n, n_bins)
 
 
-def _bands(sig: np.ndarray) -> np.ndarray:
+def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.broadcast_to(stream(13, BANDS), (len(sig), BANDS)).copy()
-        for k in range(ROWS):
-            h = mix(h ^ sig[:, k::ROWS])
+        for k in range(rows):
+            h = mix(h ^ sig[:, k::rows])
         return h.view(np.int64)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands) of each row; set_a and set_b identify the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 sets, bounds = shingle_sets(part.column("t"), WIDTH)
-                bands = _bands(signatures(sets, bounds))
+                bands = _bands(signatures(sets, bounds, BANDS * rows), rows)
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (mix(sets), mix(sets ^ U(0x5851F42D4C957F2D)))]
                     a, b = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
@@ -92,30 +91,30 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes allow a link and whose signatures don't rule it out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-            seen = np.minimum(np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()), BINS)
-            share = SHARE / 100
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            seen = np.minimum(np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()), x.shape[1])
+            share = percent / 100
             keep = (x == y).mean(axis=1) >= share - SLACK * np.sqrt(share * (1 - share) / seen)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     of_a = sigs.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     of_b = sigs.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    near = pairs.join(of_a, "a").join(of_b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SHARE)
+    near = pairs.join(of_a, "a").join(of_b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return near.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs with enough of their full shingle sets in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +126,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 for i in range(part.num_rows):
                     p, q = x[bx[i] : bx[i + 1]], y[by[i] : by[i + 1]]
                     both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep[i] = both > 0 and 100 * both >= SHARE * (len(p) + len(q) - both)
+                    keep[i] = both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     of_a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
@@ -135,21 +134,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(run, "a long, b long")
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
+def _sketches(texts: DataFrame, bins: int) -> DataFrame:
     """(rep, n, sig, lowest): the signature and the smallest hashes of the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, bounds = shingle_sets(part.column("text"), WIDTH)
-                low = (signatures(sets, bounds) & U(0xFFFF)).astype("<u2")
+                low = (signatures(sets, bounds, bins) & U(0xFFFF)).astype("<u2")
                 first = [sets[a : min(b, a + LOWEST)].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(first, pa.binary())], ["rep", "n", "sig", "lowest"])
 
     return texts.select("rep", "text").mapInArrow(run, "rep long, n long, sig binary, lowest binary")
 
 
-def _cross_pairs(group: pa.Table) -> pa.Table:
+def _cross_pairs(group: pa.Table, percent: int) -> pa.Table:
     """Pairs of a block, or across two blocks of a bucket, that may link two of its components.
 
     Sets that are there in full are compared exactly, and a link found so makes its components one at once; of larger sets
@@ -158,16 +157,16 @@ def _cross_pairs(group: pa.Table) -> pa.Table:
     m = group.num_rows
     rep, comp, n, block = (group[c].to_numpy().copy() for c in ("rep", "component", "n", "block"))
     across = block.min() != block.max() or group["other"][0].as_py() != block[0]
-    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(m, BINS)
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(m, -1)
     lowest = [np.frombuffer(x, "<u8") for x in group["lowest"].to_pylist()]
-    share, found = SHARE / 100, []
+    share, found = percent / 100, []
     for i in range(m - 1):
-        may = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * SHARE)
+        may = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent)
         if across:
             may &= block[i + 1 :] != block[i]
         j = i + 1 + np.flatnonzero(may)
         if len(j):
-            seen = np.minimum(np.minimum(n[j], n[i]), BINS)
+            seen = np.minimum(np.minimum(n[j], n[i]), sig.shape[1])
             j = j[(sig[j] == sig[i]).mean(axis=1) >= share - SLACK * np.sqrt(share * (1 - share) / seen)]
         for k in j:
             if comp[k] == comp[i]:
@@ -175,7 +174,7 @@ def _cross_pairs(group: pa.Table) -> pa.Table:
             p, q = lowest[i], lowest[k]
             both = np.intersect1d(p, q, assume_unique=True)
             if n[i] <= LOWEST and n[k] <= LOWEST:
-                if 100 * len(both) >= SHARE * (len(p) + len(q) - len(both)):
+                if 100 * len(both) >= percent * (len(p) + len(q) - len(both)):
                     found.append((rep[i], rep[k]))
                     comp[comp == comp[k]] = comp[i]
                 continue
@@ -198,7 +197,7 @@ def _labels(links: list[DataFrame]) -> DataFrame:
     return near.join(near.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
 
 
-def _left_over(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+def _left_over(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs to confirm from all buckets (key, rep, component) that still hold several components.
 
     Buckets of the same members count once. One of more than BLOCK members is cut into blocks, and every two of them
@@ -209,7 +208,7 @@ def _left_over(open_: DataFrame, sketches: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
     rows = open_.join(once, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.join(sketches, "rep")
-    return rows.groupBy("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).applyInArrow(_cross_pairs, "a long, b long").distinct()
+    return rows.groupBy("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).applyInArrow(lambda group: _cross_pairs(group, percent), "a long, b long").distinct()
 
 
 def _texts_of(docs: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -227,9 +226,11 @@ def _texts_of(docs: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFram
     return passed.select(F.col("doc_id").alias("rep"), "text").join(buckets.select("rep").distinct(), "rep").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SHARE, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
+    Links need `percent` of the shingles of both in common; bands have `rows` bins, fewer for smaller percentages.
+
     Documents with equal shingle sets count as one, the smallest id, from the start. The others meet in banded
     buckets. In each bucket one member, the hub, is paired with all members outside its component: a star.
     Pairs that pass the signature test are confirmed on full sets and linked. A hub has then been
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = scratch.save(features(docs), "features")
+    feats = scratch.save(features(docs, rows=rows), "features")
     sets = ["set_a", "set_b", "n_shingles"]
     groups = scratch.save(feats.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "groups")
     members = scratch.save(feats.select("doc_id", *sets).join(groups, sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = keys.join(shared, "key", "left_semi").groupBy("key", "set_a").agg(F.min("doc_id").alias("rep")).select("key", "rep")
     buckets = scratch.save(buckets, "buckets")
     texts = scratch.save(_texts_of(docs, buckets, scratch), "texts")
-    sketches = scratch.save(_sketches(texts), "sketches")
+    sketches = scratch.save(_sketches(texts, BANDS * rows), "sketches")
     scratch.drop(feats)
 
     # A repeated doc_id with different texts links them.
@@ -270,11 +271,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if hubs.isEmpty():
             break
         if number == STAR_ROUNDS:
-            pairs = scratch.save(_left_over(scratch.save(at.join(hubs, "key", "left_semi"), "open"), sketches), "pairs")
-            links.append(scratch.save(_confirmed(pairs, texts), "links"))
+            pairs = scratch.save(_left_over(scratch.save(at.join(hubs, "key", "left_semi"), "open"), sketches, percent), "pairs")
+            links.append(scratch.save(_confirmed(pairs, texts, percent), "links"))
             break
         pairs = at.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        links.append(scratch.save(_confirmed(_alike(pairs, sketches), texts), "links"))
+        links.append(scratch.save(_confirmed(_alike(pairs, sketches, percent), texts, percent), "links"))
         label = scratch.save(_labels(links[1:]), "labels")
         rest = at.join(hubs, "key").where(F.col("rep") != F.col("hub")).select("key", "rep")
         at = rest.join(label, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("component"), F.col("label").isNull().alias("alone"))

@@ -37,3 +37,16 @@ def test_stages_keep_clean_documents_and_take_effect(spark, tmp_path):
     assert sorted(encoder.decode(t[:-1]) for t in tokens) == sorted(t for _, t in mix) and all(t[-1] == END_ID for t in tokens)
     assert plain.shingles(rows[4][1])
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == docs.columns
+
+
+def test_near_copies_from_four_fifths_on(spark):
+    """Copies that differ in their last words: similarities 0.80, 0.82 and 0.78."""
+    base = [f"w{i}" for i in range(104)]
+    pairs = []
+    for g, k in enumerate([11, 9, 13]):
+        own = [f"g{g}{w}" for w in base]
+        pairs += [(10 * g, " ".join(own)), (10 * g + 1, " ".join(own[: 104 - k] + [f"n{g}x{i}" for i in range(k)]))]
+    a, b = (plain.shingles(t) for _, t in pairs[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()) == [0, 10, 20, 21]
