@@ -21,6 +21,9 @@ MAX_EDITS = 0.2
 WALKS, SAMPLES, SAMPLE_SIZE = 8, 10, 3
 #: Items whose window lengths differ by no more than this factor sample the same steps.
 CLASS_RATIO = 1.25
+#: Longer items are embedded in parts of up to so many words. If edits are no more than a share of the item's words, they are no
+#: more than that share in one of its parts.
+PART_WORDS = 40
 #: Words of items that are looked for in one pass over the documents; bounds what is broadcast.
 BLOCK_WORDS = 2_000_000
 
@@ -89,15 +92,37 @@ class Walks:
 
 
 class ItemIndex:
-    """The items of one block: their seeds and, by class of lengths, the keys of their samples."""
+    """The items of one block, those with edits in parts: their seeds and, by class of lengths, the keys of their samples.
+
+    Items too short for an edit are looked up by a hash of all their words.
+    """
 
     def __init__(self, ids: list[int], word_lists: list[np.ndarray], max_edits: float):
         self.ids, self.words = np.array(ids, np.int64), word_lists
         self.edits = [allowed(len(w), max_edits) for w in word_lists]
+        whole: dict[int, list[int]] = defaultdict(list)
+        #: Item and place in it of each part, and its words.
+        self.part_of: list[tuple[int, int]] = []
+        self.parts: list[np.ndarray] = []
+        for i, (w, k) in enumerate(zip(word_lists, self.edits, strict=True)):
+            if not k:
+                whole[len(w)].append(i)
+                continue
+            count = math.ceil(len(w) / PART_WORDS)
+            for part in range(count):
+                lo, hi = len(w) * part // count, len(w) * (part + 1) // count
+                self.part_of.append((i, lo))
+                self.parts.append(w[lo:hi])
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, members in whole.items():
+            found = np.concatenate([grams(word_lists[i], n) for i in members])
+            order = np.argsort(found, kind="stable")
+            self.exact[n] = found[order], np.array(members)[order]
         self.seed_filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         seeds: dict[int, list[np.ndarray]] = defaultdict(list)
         reach: dict[int, int] = defaultdict(int)
-        for w, k in zip(word_lists, self.edits, strict=True):
+        for w in self.parts:
+            k = allowed(len(w), max_edits)
             q = shared_run(len(w), k)
             seeds[q].append(grams(w, q))
             reach[q] = max(reach[q], len(w) + k)
@@ -108,7 +133,7 @@ class ItemIndex:
             self.seed_filters[q] = bits, known
         self.reach = dict(reach)
         self.classes: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(word_lists):
+        for i, w in enumerate(self.parts):
             self.classes[self._class(len(w))].append(i)
         self.steps = {c: max(SAMPLE_SIZE, int(2 * c)) for c in self.classes}
         self.walks = Walks(max(self.steps.values(), default=1))
@@ -141,10 +166,10 @@ class ItemIndex:
             yield c, key.reshape(WALKS * SAMPLES, -1)
 
     def _table(self, c: int, members: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys of the class's items, and the items."""
-        joined = np.concatenate([self.words[i] for i in members])
-        ends = np.cumsum([len(self.words[i]) for i in members])
-        starts = ends - [len(self.words[i]) for i in members]
+        """Sorted keys of the class's parts, and the parts."""
+        joined = np.concatenate([self.parts[i] for i in members])
+        ends = np.cumsum([len(self.parts[i]) for i in members])
+        starts = ends - [len(self.parts[i]) for i in members]
         ((_, keys),) = self.keys(joined, starts, ends, [c])
         owner = np.tile(np.array(members), len(keys))
         keys = keys.ravel()
@@ -152,7 +177,7 @@ class ItemIndex:
         return keys[order], owner[order]
 
     def starts_near_seeds(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The starts of all windows that can be within their item's edits of it: those with a run of q words of some item.
+        """The starts of all windows that can be within their part's edits of it: those with a run of q words of some part.
 
         Nothing is lost here, as every such window keeps a run of shared_run() words; windows without one cost nothing.
         """
@@ -170,8 +195,18 @@ class ItemIndex:
         return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
 
     def candidates(self, word: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """(text, item) and the starts of the windows that share a sample's key with the item."""
+        """(text, item) and the starts that the item has if a window that shares a sample's key with a part of it is that part,
+        which may lie before the text's."""
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for n, (known, owner) in self.exact.items():
+            g = grams(word, n)
+            at = np.searchsorted(known, g)
+            hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == g)
+            text = np.searchsorted(first, hit, "right") - 1
+            for j, t in zip(hit, text, strict=True):
+                if j + n <= first[t + 1]:
+                    for item in owner[at[j] : np.searchsorted(known, g[j], "right")]:
+                        found[int(t), int(item)].add(int(j))
         starts = self.starts_near_seeds(word, first)
         for lo in range(0, len(starts), 1 << 12):
             part = starts[lo : lo + (1 << 12)]
@@ -180,8 +215,9 @@ class ItemIndex:
                 known, owner = self.tables[c]
                 at = np.searchsorted(known, keys)
                 for sample, j in zip(*np.nonzero(known[np.minimum(at, len(known) - 1)] == keys), strict=True):
-                    for item in owner[at[sample, j] : np.searchsorted(known, keys[sample, j], "right")]:
-                        found[int(text[j]), int(item)].add(int(part[j]))
+                    for own in owner[at[sample, j] : np.searchsorted(known, keys[sample, j], "right")]:
+                        item, offset = self.part_of[own]
+                        found[int(text[j]), item].add(int(part[j]) - offset)
         return {k: sorted(v) for k, v in found.items()}
 
     def hits(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -235,8 +271,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     Words are compared without case and signs. Items are a query set, looked for in all documents block by block; a
     block of block_words words is broadcast, whatever the number of items. In a document only windows that
-    share a run of words with an item, which every window near enough does, are embedded; windows and items
-    that agree in one of WALKS * SAMPLES samples are candidates, and their least edit distance is computed in full.
+    share a run of words with a part of an item, which every window near enough does, are embedded; where windows and parts
+    agree in one of WALKS * SAMPLES samples, the item is a candidate, and its least edit distance is computed in full.
     A narrow map without shuffle, so a passage of every document is no hot key.
 
     Null ids or texts of items and items without words are left out; null, empty and short texts hold nothing.

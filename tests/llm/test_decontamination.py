@@ -1,7 +1,10 @@
 import random
 import re
 
-from boxmill.llm.decontamination import allowed, find_leaks, shared_run, without_leaks
+import numpy as np
+import pyarrow as pa
+
+from boxmill.llm.decontamination import ItemIndex, allowed, find_leaks, normal_words, shared_run, without_leaks
 
 
 def words(text):
@@ -66,3 +69,28 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id, r.item_id, r.edits) for r in find_leaks(docs, items).collect()) == [(3, 1, 0), (3, 1, 0), (4, 4, 0), (6, 1, 0)]
     assert sorted(r.doc_id for r in without_leaks(docs, items).collect()) == [1, 2, 5]
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
+
+
+def found_of_planted(lengths, copies, seed):
+    """The share of copies with all edits that are allowed, each in a text of its own, that are found."""
+    rnd = random.Random(seed)
+    pool = [f"wo{i}" for i in range(5000)]
+    items, texts = [rnd.choices(pool, k=n) for n in lengths], []
+    for own in items:
+        for _ in range(copies):
+            own_words, edits = list(own), allowed(len(own), 0.2)
+            for at in sorted(rnd.sample(range(len(own)), edits), reverse=True):
+                kind = rnd.choice("idr")
+                own_words[at : at + (kind != "i")] = [] if kind == "d" else [rnd.choice(pool)]
+            texts.append(" ".join(rnd.choices(pool, k=50) + own_words + rnd.choices(pool, k=50)))
+    index = ItemIndex(list(range(len(items))), [normal_words(pa.array([" ".join(x)]))[0] for x in items], 0.2)
+    hits = {(text, item) for text, item, _, _ in index.hits(*normal_words(pa.array(texts)))}
+    return np.mean([(k, k // copies) in hits for k in range(len(texts))])
+
+
+def test_long_items_with_all_edits():
+    assert found_of_planted([100, 250, 500, 1000], 20, 1) >= 0.995
+
+
+def test_items_of_one_and_two_words():
+    assert found_of_planted([1] * 300, 1, 2) == 1 and found_of_planted([2] * 100, 1, 2) == 1
