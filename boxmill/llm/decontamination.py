@@ -299,10 +299,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id holds no item."""
-    leaks = Scratch(docs.sparkSession, "decontamination").save(find_leaks(docs, items, **options), "leaks")
-    return docs.join(leaks.select(F.col("doc_id").alias("_leaked")).distinct(), F.col("doc_id") == F.col("_leaked"), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs whose id holds no item."""
+    leaks = Scratch(docs.sparkSession, "decontamination").save(find_leaks(docs, items, id_col, **options), "leaks")
+    return docs.join(leaks.select(F.col("doc_id").alias("_leaked")).distinct(), F.col(id_col) == F.col("_leaked"), "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

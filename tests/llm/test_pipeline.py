@@ -50,3 +50,16 @@ def test_near_copies_from_four_fifths_on(spark):
     assert 0.8 <= len(a & b) / len(a | b) < 0.85
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()) == [0, 10, 20, 21]
+
+
+def test_missing_and_repeated_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (6, text(5)), (7, text(5)), (None, text(3)), (8, "the item of four words " + text(6)), (8, text(7)), (None, "the item of four words " + text(8))]
+    spark.createDataFrame([(0, "the item of four words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    kept = sorted(((r.doc_id or 0), r.text) for r in once.collect())
+    assert once.columns == ["doc_id", "text"]
+    assert kept == sorted([(0, text(0)), (0, text(1)), (0, text(2)), (5, text(3)), (5, text(4)), (6, text(5)), (8, text(7)), (8, rows[10][1]), (0, rows[12][1])])
+    clean = corpus_pipeline.decontaminate(spark, once, str(tmp_path))
+    assert sorted(((r.doc_id or 0), r.text) for r in clean.collect()) == [x for x in kept if "item" not in x[1]]
