@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text is in a language that the model knows with a score of at least `least`.
+    """The rows of docs, all columns, of whose letters at least the share `least` is in languages that the model knows, all of them together.
 
     Works on the rows where they are: texts are not shuffled to be joined with what was found about them.
     """
@@ -258,7 +258,7 @@ def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "
                 text_of = np.repeat(np.arange(count), np.diff(w.first))
                 usable = w.lengths * m.uses[w.script].any(axis=1)
                 letters = np.bincount(text_of * len(m.langs) + labels, usable, count * len(m.langs)).reshape(count, -1)
-                share = letters.max(axis=1) / np.maximum(np.bincount(text_of, w.lengths, count), 1)
+                share = letters.sum(axis=1) / np.maximum(np.bincount(text_of, w.lengths, count), 1)
                 yield part.filter(pa.array((share >= least) & (share > 0)))
 
     return docs.mapInArrow(run, schema)

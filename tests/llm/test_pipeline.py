@@ -63,3 +63,15 @@ def test_missing_and_repeated_ids(spark, tmp_path):
     assert kept == sorted([(0, text(0)), (0, text(1)), (0, text(2)), (5, text(3)), (5, text(4)), (6, text(5)), (8, text(7)), (8, rows[10][1]), (0, rows[12][1])])
     clean = corpus_pipeline.decontaminate(spark, once, str(tmp_path))
     assert sorted(((r.doc_id or 0), r.text) for r in clean.collect()) == [x for x in kept if "item" not in x[1]]
+
+
+def test_text_in_several_languages_stays(spark):
+    rnd = random.Random(14)
+    syllables = {"aa": ["ba", "ko", "ti", "re"], "bb": ["sch", "ung", "ei", "ro"], "cc": ["xy", "zu", "qo", "vam"]}
+    text = lambda lang, n: " ".join("".join(rnd.choices(syllables[lang], k=rnd.randint(2, 6))) for _ in range(n))
+    rows = [(i, text(lang, 60), lang) for i in range(60) for lang in [["aa", "bb", "cc"][i % 3]]]
+    rows += [(100, " ".join(text(lang, 40) for lang in syllables), "aa"), (101, "\u10d0\u10d1\u10d2\u10d3 " * 30 + "bako", "aa"), (102, "123", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = corpus_pipeline.lang_id.train(docs.where("doc_id < 100"))
+    kept = corpus_pipeline.lang_id.known_languages(docs, model, corpus_pipeline.LEAST_SCORE)
+    assert {r.doc_id for r in kept.collect()} == {*range(60), 100}
