@@ -40,7 +40,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     rows = rows.select("doc_id", "text_hash", block.alias("block"), bit.alias("bit"), F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("h2"), salt.alias("salt"))
     run = W.partitionBy("h", "h2", "salt").orderBy("doc_id")
-    rows = rows.repartitionByRange("h", "h2", "salt").withColumn("first", F.first("doc_id").over(run))
+    rows = rows.repartitionByRange("h", "h2", "salt").withColumn("first", F.first("doc_id", ignorenulls=True).over(run))
     rows = Scratch(docs.sparkSession, "line-dedup").save(rows.drop("salt"), "runs")
     later = rows.where("doc_id > first").select("doc_id", "text_hash", "block", "bit")
     firsts = rows.where("doc_id = first").withColumn("first", F.first("doc_id").over(W.partitionBy("h", "h2").orderBy("doc_id")))
@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_lines, n_dropped, text) for each row of docs, text being what stays.
 
     A null or empty text is one empty line, which stays. A line found in several documents stays in the smallest doc_id
-    that holds it, there as often as it occurs. Repeated rows of a doc_id are one document. An empty table gives
+    that holds it, there as often as it occurs. Repeated rows of a doc_id are one document.
+    A row with a null doc_id keeps all its lines and doesn't count as holding them. An empty table gives
     no rows; other columns don't matter.
     """
     # Named so that no column of docs can clash.

@@ -38,3 +38,9 @@ def test_repeated_rows_and_empty_tables(spark):
     assert got == [(1, 0, "the same line here"), (1, 0, "the same line here"), (1, 0, "the same line here\nother"), (2, 1, "")]
     assert dedup_lines(spark.createDataFrame([], schema)).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_null_ids(spark):
+    rows = [(None, "a line of everyone")] * 2 + [(i, "a line of everyone") for i in range(40)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_dropped) for r in got) == [(-1, 0), (-1, 0), (0, 0)] + [(i, 1) for i in range(1, 40)]
