@@ -16,12 +16,16 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What follows a name in a tag that closes itself; a slash that ends a value without quotes is part of that.
+_CLOSED = re.compile(r"""(?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+(?=\s))|"[^"]*"|'[^']*')*/""")
 #: Paths that a worker keeps; when full, it starts anew.
 MOST_PATHS = 50_000
 #: Elements inside which text goes on in the block around, elements without content, and those whose content is no markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img br input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea svg".split())
+#: Elements that a slash at the end of their start tag closes at once.
+FOREIGN = frozenset(["svg", "math"])
 #: An element of the key ends open ones of the same list, up to an element of the second.
 _SIBLINGS = {
     **dict.fromkeys(["li"], (("li",), ("ul", "ol", "menu"))),
@@ -116,6 +120,8 @@ class Parser:
                     if inline and stack[depth][0] not in INLINE:
                         break
                 continue
+            if name in FOREIGN and rest.endswith("/") and _CLOSED.fullmatch(rest):
+                continue
             if name in RAW:
                 stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = stop.end() if stop else end

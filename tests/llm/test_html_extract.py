@@ -56,3 +56,10 @@ def test_odd_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.url or "", len(r.text)) for r in got) == [(0, "u", 399999), (1, "u", 0), (2, "", 0), (3, "u", len(TEXT)), (3, "u", len(TEXT))]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_self_closing_svg_and_math():
+    texts = lambda page: [(b.text, b.path.tags) for b in Parser().blocks(page)]
+    for tag in ['<svg/>', '<svg class="x" />', "<svg a='b'/>", '<svg a=b />', "<math/>"]:
+        assert texts(f"<p>one</p>{tag}<p>two</p>") == [("one", ("p",)), ("two", ("p",))]
+    assert texts("<p>one</p><svg a=b/><text>in</text></svg><p>two</p>") == [("one", ("p",)), ("two", ("p",))]
