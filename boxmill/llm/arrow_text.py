@@ -6,13 +6,13 @@ All hashes are 64 bit and depend on the bytes alone, so every task and every rer
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes handled at once (a longer text is handled alone); bounds a task's memory.
 SLICE_BYTES = 1 << 20
 
@@ -31,22 +31,14 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(U(seed) + U(_BASE) * np.arange(1, n + 1, dtype=U))
 
 
-_BYTE = stream(7, 256)
-_LOWER = _BYTE.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0 to n-1 of the base or of its inverse modulo 2**64."""
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, 2 * SLICE_BYTES), U(_BASE if kind == "up" else _INVERSE))
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[kind] = np.cumprod(steps, dtype=U)
-    return _powers[kind][:n]
+#: Words of more bytes are digested one by one.
+_LONG = 64
+#: What is left of eight bytes of which only the first so many are the word's.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +78,24 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A hash of each word; A-Z count as a-z."""
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, U)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * _power("up", len(data)), out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts]
-        return mix(raw + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word; A-Z count as a-z.
+
+    Eight bytes at a time are mixed into what the bytes before them gave, so words that differ anywhere have unrelated hashes.
+    """
+    low, n = _LOWER[data], ends - starts
+    # Eight bytes from each place on, as one number.
+    eight = np.ndarray(len(low) + 1, "<u8", np.append(low, np.zeros(8, np.uint8)), strides=1)
+    out = mix(n.astype(U) ^ U(0xD6E8FEB86659FD93))
+    todo = np.flatnonzero(n <= _LONG)
+    for at in range(0, _LONG, 8):
+        todo = todo[n[todo] > at]
+        if not len(todo):
+            break
+        out[todo] = mix(out[todo] ^ mix((eight[starts[todo] + at] & _FIRST[np.minimum(n[todo] - at, 8)]) + U(_BASE)))
+    for i in np.flatnonzero(n > _LONG):
+        out[i] = int.from_bytes(blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
