@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,18 +17,18 @@ WEIGHTS = (5, 2, 1)
 TOTAL, MOST = 1.5, 2.0
 #: Documents rounded together; the leftovers of as many blocks meet in the next level of the tree.
 BLOCK = 256
-_ITEM = "array<struct<size:bigint,doc_id:bigint,row_key:bigint,base:bigint,part:double>>"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """(source, source_size, n_docs, target) from rows (source, size).
+    """(source, source_size, n_rows, target) from rows (source, size).
 
     A target is the smaller of `most` times the source's size and a common level times its weight. The level at which
     all targets sum to `total` is where handing the excess of full sources to the others ends. Sources
-    fill up in the order of capacity to weight, so running sums over the sources give the level. This table has one
-    row for each source, pre-aggregated; its windows run over sources, never over documents.
+    fill up in the order of capacity to weight, so running sums over the sources give the level. Weights go by the place of a source
+    among all, so these windows run over all sources in one task: a row of some 60 bytes for each, pre-aggregated,
+    and never over documents. Ten million sources are 0.6 GB, which the window spills.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     rank = F.row_number().over(W.orderBy(F.col("source").isNull(), "source"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
     s = s.withColumn("weight", weight).withColumn("room", F.col("source_size") * F.lit(most))
@@ -41,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     s = s.withColumn("level", F.when(level * F.col("weight") <= F.col("room"), level))
     s = s.withColumn("level", F.first("level", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
     target = F.when(F.col("level").isNull(), F.col("room")).otherwise(F.least("room", F.col("level") * F.col("weight")))
-    return s.select("source", "source_size", "n_docs", target.alias("target"))
+    return s.select("source", "source_size", "n_rows", target.alias("target"))
 
 
 def _settle(items: Column, seed: int, level: Column | int) -> Column:
@@ -70,72 +72,111 @@ def _settle(items: Column, seed: int, level: Column | int) -> Column:
     return end
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """(doc_id, row_key, source, size, source_size, target, copies) for each row of docs.
-
-    Each document of a source should be taken target / source_size times. The whole part is taken as it is; the
-    fractions are rounded by pivotal sampling, so every document's expectation holds and a source's
-    taken words miss its target by less than one document. A source's documents are dealt into blocks of about `block` by a
-    hash and folded there, largest first, so that what is left tends to be small; the one leftover of each block goes on
-    to the next level, until one is left, which is drawn by its part. No group is ever larger than a few times
-    `block`, however large its source is. Draws depend on seed and documents alone: reruns agree.
-
-    Documents without words (null, empty) have size 0 and are taken 0 times. A null source is a source. Repeated rows
-    are documents of their own. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    text = F.col(text_col)
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(source_col).alias("source"), words_in(text).alias("size"))
-    sizes = scratch.save(sizes, "sizes")
-    targets = scratch.save(source_targets(sizes, weights, total, most), "targets")
-    rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "n_docs", "target")
-    share = F.col("target") / F.col("source_size")
-    whole = F.floor(share + 1e-12).cast("long")
-    rows = rows.withColumn("base", F.when(F.col("size") > 0, whole).otherwise(F.lit(0).cast("long"))).withColumn("part", F.when(F.col("size") > 0, F.greatest(share - whole, F.lit(0.0))).otherwise(0.0))
-    rows = scratch.save(rows, "rows")
+def _shares(groups: DataFrame, targets: DataFrame, scratch: Scratch, seed: int, block: int) -> DataFrame:
+    """(source, doc_id, row_key, in_all): how often the rows of each group of equal ones are taken, all together."""
+    rows = groups.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "n_rows", "target")
+    share = F.when(F.col("size") > 0, F.col("n") * F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = rows.withColumn("base", F.floor(share + 1e-9).cast("long")).withColumn("part", F.greatest(share - F.col("base"), F.lit(0.0)))
+    rows = scratch.save(rows.withColumn("part", F.when(F.col("part") > 1e-9, F.col("part")).otherwise(0.0)), "rows")
     settled = [rows.where("part = 0").select("source", "doc_id", "row_key", "base", F.lit(0.0).alias("part"))]
     item = F.struct("size", "doc_id", "row_key", "base", "part")
-    todo, level = rows.where("part > 0").select("source", "n_docs", item.alias("item")), 0
+    todo, level = rows.where("part > 0").select("source", F.col("n_rows").alias("n_items"), item.alias("item")), 0
     while True:
-        n = F.ceil(F.col("n_docs") / F.lit(block))
+        n = F.ceil(F.col("n_items") / F.lit(block))
         place = F.when(n > 1, F.pmod(F.xxhash64(F.lit(seed + level), "item.doc_id", "item.row_key"), n)).otherwise(F.lit(0).cast("long"))
         largest_first = F.reverse(F.array_sort(F.collect_list("item")))
-        ends = todo.withColumn("place", place).groupBy("source", "place", "n_docs").agg(largest_first.alias("items"))
-        ends = ends.select("source", "n_docs", _settle(F.col("items"), seed, level).alias("end"))
+        ends = todo.withColumn("place", place).groupBy("source", "place", "n_items").agg(largest_first.alias("items"))
+        ends = ends.select("source", "n_items", _settle(F.col("items"), seed, level).alias("end"))
         ends = scratch.save(ends, f"level-{level}")
         settled.append(ends.select("source", F.explode("end.done").alias("x")).select("source", "x.doc_id", "x.row_key", "x.base", "x.part"))
-        last = F.col("n_docs") <= block
+        last = F.col("n_items") <= block
         hand = F.col("end.hand")
         drawn = F.when(uniform(seed + 1, hand["doc_id"], hand["row_key"]) < hand["part"], 1.0).otherwise(0.0)
         settled.append(ends.where(last | hand["part"].isin(0.0, 1.0)).select("source", hand["doc_id"], hand["row_key"], hand["base"], F.when(hand["part"].isin(0.0, 1.0), hand["part"]).otherwise(drawn)))
-        todo = ends.where(~last & ~hand["part"].isin(0.0, 1.0)).select("source", F.ceil(F.col("n_docs") / F.lit(block)).alias("n_docs"), hand.alias("item"))
+        todo = ends.where(~last & ~hand["part"].isin(0.0, 1.0)).select("source", F.ceil(F.col("n_items") / F.lit(block)).alias("n_items"), hand.alias("item"))
         level += 1
         if todo.isEmpty():
             break
-    taken = settled[0]
-    for more in settled[1:]:
-        taken = taken.union(more)
-    taken = taken.select("source", "doc_id", "row_key", (F.col("base") + F.col("part").cast("long")).alias("copies"))
-    size_of = rows.select("doc_id", "row_key", "size", "source_size", "target", "source").distinct()
-    keys = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.col("a.row_key") == F.col("b.row_key")) & F.col("a.source").eqNullSafe(F.col("b.source"))
-    return taken.alias("a").join(size_of.alias("b"), keys).select("a.doc_id", "a.row_key", "a.source", "size", "source_size", "target", "copies")
+    return reduce(DataFrame.union, settled).select("source", "doc_id", "row_key", (F.col("base") + F.col("part").cast("long")).alias("in_all"))
+
+
+def _dealt(rows: DataFrame, taken: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with the columns of their group in `taken`, and `copies`: the group's in_all copies dealt to its n rows as evenly as they go.
+
+    Equal rows are the same for all purposes, so any numbering of them serves. Only groups whose copies don't go evenly are numbered: within what one
+    task wrote, then by the sums of what the tasks before it wrote. So no task holds a group, however many rows it has.
+    """
+    keys = lambda more=(): reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*_KEYS, *more]])
+    of_group = ["n", "source_size", "target", "in_all"]
+    joined = lambda t: rows.alias("a").join(t.alias("b"), keys()).select("a.*", *of_group)
+    left_over, each = F.col("in_all") % F.col("n"), F.floor(F.col("in_all") / F.col("n")).cast("long")
+    out = joined(taken.where(left_over == 0)).withColumn("copies", each)
+    odd = scratch.save(taken.where(left_over > 0), "odd")
+    if odd.isEmpty():
+        return out
+    uneven = scratch.save(joined(odd).withColumn("chunk", F.spark_partition_id()), "uneven")
+    sizes = uneven.groupBy(*_KEYS, "chunk").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(W.partitionBy(*_KEYS).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*_KEYS, "chunk", before.alias("before"))
+    number = F.col("before") + F.row_number().over(W.partitionBy(*_KEYS, "chunk").orderBy("in_all"))
+    numbered = uneven.alias("a").join(starts.alias("b"), keys(["chunk"])).select("a.*", "before")
+    return out.unionByName(numbered.withColumn("copies", each + (number <= left_over).cast("long")).drop("chunk", "before"))
+
+
+def _keyed(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(source_col).alias("source")]
+
+
+_KEYS = ["doc_id", "row_key", "source"]
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total: float, most: float, seed: int, block: int) -> tuple[Scratch, DataFrame, DataFrame]:
+    """The scratch folder, rows (doc_id, row_key, source, size) of docs, and (doc_id, row_key, source, n, source_size, target, in_all) of each group of
+    equal ones."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.save(docs.select(*_keyed(id_col, text_col, source_col), words_in(F.col(text_col)).alias("size")), "sizes")
+    targets = scratch.save(source_targets(sizes, weights, total, most), "targets")
+    groups = scratch.save(sizes.groupBy(*_KEYS, "size").agg(F.count("*").alias("n")), "groups")
+    taken = _shares(groups, targets, scratch, seed, block)
+    keys = reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _KEYS])
+    found = taken.alias("a").join(groups.alias("b"), keys).select(*[f"a.{k}" for k in _KEYS], "n", "in_all")
+    found = found.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target")
+    return scratch, sizes, scratch.save(found, "taken")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """(doc_id, row_key, source, size, source_size, target, copies) for each row of docs.
+
+    Each document of a source should be taken target / source_size times. The whole part is taken as it is; the
+    fractions are rounded by pivotal sampling, so every document's expectation holds and a source's
+    taken words miss its target by less than one document. A source's documents are dealt into blocks of about `block` by a
+    hash and folded there, largest first, so that what is left tends to be small; the one leftover of each block goes on
+    to the next level, until one is left, which is drawn by its part. Rows that are equal in id, text and source are one item there, whose copies
+    are then dealt to them. So no group is ever larger than a few times
+    `block`, however large its source is and however often a row is repeated. Draws depend on seed and documents alone: reruns agree.
+
+    Documents without words (null, empty) have size 0 and are taken 0 times. A null source is a source, null ids are an id. Repeated rows
+    are documents of their own. Other columns don't matter. An empty table gives no rows.
+    """
+    scratch, sizes, taken = _planned(docs, id_col, text_col, source_col, weights, total, most, seed, block)
+    return _dealt(sizes, taken, scratch).select(*_KEYS, "size", "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs, all columns, each as many times as copies() takes it.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, each as many times as copies() takes it; of rows equal in id, text and source any may be the one
+    that is taken once more.
 
     The joined table has a row for each document without its text; Spark broadcasts it only while its measured size is
-    under the session's limit.
+    under the session's limit. The columns of docs may have any names.
     """
-    taken = copies(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    taken = taken.groupBy("doc_id", "row_key", "source").agg(F.max("copies").alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("source").alias("_source"), "_copies")
-    keys = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    return docs.join(taken, keys).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    scratch, _, taken = _planned(docs, id_col, text_col, source_col, weights, total, most, seed, block)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(*_keyed(f"`{id_col}`", f"`{text_col}`", f"`{source_col}`"), row.alias("row"))
+    dealt = _dealt(rows, taken.where("in_all > 0"), scratch).where("copies > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of every document."""
-    mixed = copies(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    taken = copies(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

@@ -28,3 +28,13 @@ def uniform(*keys: Column | int) -> Column:
     """A number in [0, 1) that depends on the keys alone."""
     mixed = F.xxhash64(*[F.lit(k) if isinstance(k, int) else k for k in keys])
     return F.shiftrightunsigned(mixed, 11).cast("double") / F.lit(float(1 << 53))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -71,3 +71,34 @@ def test_odd_tables(spark):
     assert [(r.size, r.copies) for r in copies(spark.createDataFrame([(1, None, None), (2, "", None)], schema)).collect()] == [(0, 0), (0, 0)]
     got = copies(spark.createDataFrame([(1, "a b", "x")] * 3 + [(None, "c", "x")], schema)).collect()
     assert len(got) == 4 and all(r.copies <= 2 for r in got)
+
+
+def words_of(rows):
+    return sum(len((r.text or "").split()) for r in rows)
+
+
+def test_repeated_rows_share_what_is_taken(spark):
+    """Forty equal rows, and others: the mix has as many words as copies() says, near the target."""
+    rows = [(1, "a b c d", "x", 0, "p")] * 40 + [(i, "w " * (i % 9), "y", 0, "q") for i in range(2, 60)] + [(None, "n o", "y", 0, "r")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _copies string").repartition(6)
+    got = copies(docs).collect()
+    assert len(got) == len(rows)
+    for source in "xy":
+        own = [r for r in got if r.source == source]
+        assert all(r.copies <= 2 for r in own)
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) < max(r.size for r in own)
+    out = mixed(docs)
+    assert out.columns == docs.columns
+    assert words_of(out.collect()) == sum(r.size * r.copies for r in got)
+    assert {r._copies for r in out.collect()} == {"p", "q", "r"}
+
+
+def test_names_that_clash_and_a_very_long_text(spark):
+    columns = ["row", "n", "in_all", "chunk", "before", "size", "copies", "row_key", "target", "source_", "_copy", "col", "a.b"]
+    rows = [(i, "w " * (200_000 if i == 3 else 5), "s", *[7] * len(columns)) for i in range(12)] * 3
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *columns])
+    out = mixed(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.size, r.copies) for r in copies(docs).collect())[-1][1] == 5
+    total = sum(len(r[1].split()) for r in rows)
+    assert abs(words_of(out.collect()) - 1.5 * total) <= 200_000
