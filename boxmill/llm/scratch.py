@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new temporary one only where the setting is absent (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a new temporary one where the setting is absent and all runs on one machine (tests).
+
+    Other masters need the setting: their executors don't see each other's local folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="boxmill-")
         spark.sparkContext.setCheckpointDir(root)
