@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from boxmill.llm.arrow_text import U, buffers, hashes, mix, slices, stream, words
 from boxmill.llm.scratch import Scratch
-from boxmill.llm.tables import table
+from boxmill.llm.tables import table, unused
 
 #: Words that may be inserted, deleted or replaced, as a share of the item's words.
 MAX_EDITS = 0.2
@@ -250,59 +252,76 @@ def nearest(pattern: np.ndarray, region: np.ndarray, at: int) -> tuple[int, int]
     return int(cost[end]), at + end
 
 
-def _index_blocks(items: DataFrame, id_col: str, text_col: str, max_edits: float, block_words: int) -> Iterator[ItemIndex]:
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.lower(F.col(text_col)).alias("t")).where("item_id is not null and t is not null").distinct().orderBy("item_id", "t")
-    ids, lists, held = [], [], 0
-    for row in rows.toLocalIterator():
-        own, _ = normal_words(pa.array([row.t]))
-        if len(own):
-            ids.append(row.item_id)
-            lists.append(own)
-            held += len(own)
+def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of items, so many at a time as have block_words words, one item at least."""
+    ids, texts, held = [], [], 0
+    for row in items.toLocalIterator():
+        ids.append(row.item_id)
+        texts.append(row.t)
+        held += 1 + row.t.count(" ")
         if held >= block_words:
-            yield ItemIndex(ids, lists, max_edits)
-            ids, lists, held = [], [], 0
+            yield ids, texts
+            ids, texts, held = [], [], 0
     if ids:
-        yield ItemIndex(ids, lists, max_edits)
+        yield ids, texts
+
+
+#: The index that a worker built last, by its block's name.
+_built: dict[str, ItemIndex] = {}
+
+
+def _index_of(name: str, ids: list[int], texts: list[str], max_edits: float) -> ItemIndex:
+    """The index of a block, built once by every worker that needs it."""
+    if name not in _built:
+        _built.clear()
+        own, first = normal_words(pa.array(texts, pa.string()))
+        some = np.flatnonzero(np.diff(first))  # items without words are in nothing
+        _built[name] = ItemIndex([ids[i] for i in some], [own[first[i] : first[i + 1]] for i in some], max_edits)
+    return _built[name]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, edits, item_words, end_word): the documents that hold an item within max_edits * its words.
 
-    Words are compared without case and signs. Items are a query set, looked for in all documents block by block; a
-    block of block_words words is broadcast, whatever the number of items. In a document only windows that
+    Words are compared without case and signs. Items are a query set, looked for in all documents block by block: a block's texts of
+    about block_words words are broadcast, whatever the number of items, and let go when its leaks are written; the tasks build the index. In a document only windows that
     share a run of words with a part of an item, which every window near enough does, are embedded; where windows and parts
     agree in one of WALKS * SAMPLES samples, the item is a candidate, and its least edit distance is computed in full.
     A narrow map without shuffle, so a passage of every document is no hot key.
 
     Null ids or texts of items and items without words are left out; null, empty and short texts hold nothing.
-    Repeated rows of documents are found each, repeated items once. Empty tables give no rows.
+    Repeated rows of documents are found each, repeated items once, a null doc_id gives a null one. Other columns don't matter. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "leaks")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("t"))
+    known = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.lower(F.col(item_text_col)).alias("t"))
+    known = known.where("item_id is not null and t is not null").distinct().orderBy("item_id", "t")
     schema = "doc_id long, item_id long, edits long, item_words long, end_word long"
-    out = spark.createDataFrame([], schema)
-    for index in _index_blocks(items, item_id_col, item_text_col, max_edits, block_words):
-        shared = spark.sparkContext.broadcast(index)
+    found = []
+    for ids, texts in _blocks(known, block_words):
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, ids, texts, max_edits))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "t"):
-                    ix, ids = shared.value, part.column("doc_id")
-                    found = list(ix.hits(*normal_words(part.column("t"))))
-                    if found:
-                        text, item, edits, end = map(np.array, zip(*found, strict=True))
+                    ix, doc_ids = _index_of(*shared.value), part.column("doc_id")
+                    hits = list(ix.hits(*normal_words(part.column("t"))))
+                    if hits:
+                        text, item, edits, end = map(np.array, zip(*hits, strict=True))
                         n = np.array([len(ix.words[i]) for i in item])
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(ix.ids[item]), pa.array(edits), pa.array(n), pa.array(end)], ["doc_id", "item_id", "edits", "item_words", "end_word"])
+                        yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(text)), pa.array(ix.ids[item]), pa.array(edits), pa.array(n), pa.array(end)], ["doc_id", "item_id", "edits", "item_words", "end_word"])
 
-        out = out.union(rows.mapInArrow(run, schema))
-    return out
+        found.append(scratch.save(rows.mapInArrow(run, schema), "block"))
+        shared.destroy()
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id holds no item."""
-    leaks = Scratch(docs.sparkSession, "decontamination").save(find_leaks(docs, items, id_col, **options), "leaks")
-    return docs.join(leaks.select(F.col("doc_id").alias("_leaked")).distinct(), F.col(id_col) == F.col("_leaked"), "left_anti")
+    """The rows of docs, all columns, whose id holds no item. Rows without an id stay: they can't be told apart by it."""
+    (leaked,) = unused(docs, "leaked")
+    leaks = Scratch(docs.sparkSession, "decontamination").save(find_leaks(docs, items, id_col, **options).select(F.col("doc_id").alias(leaked)).distinct(), "leaks")
+    return docs.join(leaks, docs[id_col].cast("long") == leaks[leaked], "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

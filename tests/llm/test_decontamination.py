@@ -68,6 +68,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "One, two «three» four: FIVE… six?", 0), (3, "One, two «three» four: FIVE… six?", 0), (4, "solo", 0), (5, "nothing here", 0), (6, "x " * 100_000 + "one two three four five six", 0)], "doc_id long, text string, item_id int")
     assert sorted((r.doc_id, r.item_id, r.edits) for r in find_leaks(docs, items).collect()) == [(3, 1, 0), (3, 1, 0), (4, 4, 0), (6, 1, 0)]
     assert sorted(r.doc_id for r in without_leaks(docs, items).collect()) == [1, 2, 5]
+    named = docs.selectExpr("doc_id", "text", "1 AS leaked", "2 AS leaked_", "3 AS _leaked", "4 AS t", "5 AS item_id").union(spark.sql("SELECT NULL, 'solo', 1, 2, 3, 4, 5"))
+    assert sorted(r.doc_id or 0 for r in without_leaks(named, items).collect()) == [0, 1, 2, 5]
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
 
 
