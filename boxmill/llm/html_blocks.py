@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +37,25 @@ _SIBLINGS = {
 }
 
 
-@dataclass(frozen=True)
 class Path:
-    """The elements around a block, outermost first: their names and the words of their class, id and role."""
+    """An element around blocks: its name, the words of its class, id and role, and the path around it. The outermost one has no name."""
 
-    tags: tuple[str, ...] = ()
-    words: tuple[tuple[str, ...], ...] = ()
+    __slots__ = ("around", "tag", "words")
+
+    def __init__(self, around: Path | None = None, tag: str = "", words: tuple[str, ...] = ()):
+        self.around, self.tag, self.words = around, tag, words
+
+    def outwards(self) -> Iterator[Path]:
+        """The elements from this one to the outermost."""
+        at = self
+        while at.around is not None:
+            yield at
+            at = at.around
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Names from the outermost element to this one."""
+        return tuple(p.tag for p in self.outwards())[::-1]
 
 
 @dataclass
@@ -69,13 +83,18 @@ class Parser:
         if (found := self.children.get(key)) is None:
             if len(self.children) >= MOST_PATHS:
                 self.children.clear()
-            found = self.children[key] = path, Path((*path.tags, tag), (*path.words, _words(rest)))
+            found = self.children[key] = path, Path(path, tag, _words(rest))
         return found[1]
 
     def blocks(self, page: str) -> Iterator[Block]:
-        """The blocks of a page in order. Text of scripts, styles, comments and the like is none."""
+        """The blocks of a page in order. Text of scripts, styles, comments and the like is none.
+
+        Each tag costs the same however deep it is: the places of open elements are kept by name.
+        """
         stack: list[tuple[str, Path]] = []
-        path, pieces, linked, links = self.root, [], 0, 0
+        places: dict[str, list[int]] = defaultdict(list)  # in the stack
+        outer: list[int] = []  # places of elements that aren't inline
+        path, pieces, linked = self.root, [], 0
 
         def flush() -> Iterator[Block]:
             nonlocal pieces, linked
@@ -87,10 +106,16 @@ class Parser:
                 pieces, linked = [], 0
 
         def close(depth: int) -> None:
-            nonlocal path, links
-            del stack[depth:]
+            nonlocal path
+            while len(stack) > depth:
+                gone, _ = stack.pop()
+                places[gone].pop()
+                if gone not in INLINE:
+                    outer.pop()
             path = stack[-1][1] if stack else self.root
-            links = sum(t == "a" for t, _ in stack) if links else 0
+
+        def last(names: tuple[str, ...]) -> int:
+            return max((places[n][-1] for n in names if places[n]), default=-1)
 
         at, end = 0, len(page)
         while at < end:
@@ -98,7 +123,7 @@ class Parser:
             text = page[at : m.start()] if m else page[at:]
             if text:
                 pieces.append(text)
-                if links:
+                if places["a"]:
                     linked += len(text.strip())
             if not m:
                 break
@@ -113,12 +138,10 @@ class Parser:
             elif name == "br":
                 pieces.append(" ")
             if m["end"] or m["end2"]:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        close(depth)
-                        break
-                    if inline and stack[depth][0] not in INLINE:
-                        break
+                # An inline element is closed within its block only.
+                depth = last((name,))
+                if depth >= 0 and not (inline and outer and outer[-1] > depth):
+                    close(depth)
                 continue
             if name in FOREIGN and rest.endswith("/") and _CLOSED.fullmatch(rest):
                 continue
@@ -130,22 +153,15 @@ class Parser:
                 continue
             if not inline:
                 # A paragraph ends where another block begins.
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        close(depth)
-                        break
-                    if stack[depth][0] not in INLINE:
-                        break
+                if outer and stack[outer[-1]][0] == "p":
+                    close(outer[-1])
                 if name in _SIBLINGS:
-                    own, stops = _SIBLINGS[name]
-                    for depth in range(len(stack) - 1, -1, -1):
-                        if stack[depth][0] in own:
-                            close(depth)
-                            break
-                        if stack[depth][0] in stops:
-                            break
-            own = path if inline else self.child(path, name, rest)
-            stack.append((name, own))
-            path = own
-            links += name == "a"
+                    own, stops = map(last, _SIBLINGS[name])
+                    if own > stops:
+                        close(own)
+            path = path if inline else self.child(path, name, rest)
+            places[name].append(len(stack))
+            if not inline:
+                outer.append(len(stack))
+            stack.append((name, path))
         yield from flush()

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,23 @@ def _stems(word: str) -> set[str]:
     return found | {"ads"} if word == "ad" or word.startswith("ads") else found
 
 
+def _around(path: Path) -> set[str]:
+    """Features that an element gives to all blocks inside it."""
+    return {f"in {path.tag}"} | {f"word {w}" for w in path.words} | {f"stem {s}" for w in path.words for s in _stems(w)}
+
+
+def _innermost(tag: str, words: tuple[str, ...], container: str) -> set[str]:
+    """Features of a block's own element, the words nearest to it and the container nearest to it."""
+    own = {f"own {tag}"} if tag else set()
+    return own | {f"nearest {container}"} | {f"nearest word {w}" for w in words} | {f"nearest stem {s}" for w in words for s in _stems(w)}
+
+
 def path_features(path: Path) -> list[str]:
     """Of the elements around a block: all names and attribute words, and the innermost of either."""
-    found = {f"in {t}" for t in path.tags} | {f"word {w}" for ws in path.words for w in ws}
-    near = next((ws for ws in reversed(path.words) if ws), ())
-    found |= {f"stem {s}" for ws in path.words for w in ws for s in _stems(w)} | {f"nearest stem {s}" for w in near for s in _stems(w)}
-    if path.tags:
-        found.add(f"own {path.tags[-1]}")
-    found.add("nearest " + next((t for t in reversed(path.tags) if t in _CONTAINERS), "none"))
-    found |= {f"nearest word {w}" for w in near}
-    return sorted(found)
+    around = list(path.outwards())
+    words = next((p.words for p in around if p.words), ())
+    container = next((p.tag for p in around if p.tag in _CONTAINERS), "none")
+    return sorted(set().union(_innermost(path.tag, words, container), *map(_around, around)))
 
 
 def text_features(block: Block) -> list[str]:
@@ -120,19 +128,53 @@ def default_field() -> Field:
     return fit([([[f for f in fs if k % 2 or "word " not in f] for fs in blocks], labels) for k, (blocks, labels) in enumerate(pages)])
 
 
+class Nested(NamedTuple):
+    """What the elements of a path add up to: the features of theirs that the model knows, the sum of their weights, the nearest words and the nearest
+    container; and the path's whole score."""
+
+    path: Path
+    known: frozenset[str]
+    total: float
+    words: tuple[str, ...]
+    container: str
+    score: float
+
+
 class Extractor:
-    """A worker's parser and model, with the scores of paths it has met."""
+    """A worker's parser and model, with the scores of paths it has met.
+
+    A path's sum is that of the path around it and what its own element adds, so the cost of a page doesn't depend on how deep it is. A set of
+    known features is shared by all paths that add none, and is never larger than the model.
+    """
 
     def __init__(self, model: Field):
         self.model, self.parser = model, Parser()
-        self.of_path: dict[int, tuple[Path, float]] = {}
+        self.of_path: dict[int, Nested] = {}
+
+    def nested(self, path: Path) -> Nested:
+        todo = [path]
+        while (found := self.of_path.get(id(todo[-1]))) is None and todo[-1].around is not None:
+            todo.append(todo[-1].around)
+        if found is None:
+            found = self._keep(Nested(todo[-1], frozenset(), 0.0, (), "none", self.model.score(["nearest none"])))
+        for own in reversed(todo):
+            if own is found.path:
+                continue
+            new = {f for f in _around(own) if f in self.model.weights} - found.known
+            words, container = own.words or found.words, own.tag if own.tag in _CONTAINERS else found.container
+            total = found.total + self.model.score(sorted(new))
+            score = total + self.model.score(sorted(_innermost(own.tag, words, container)))
+            found = self._keep(Nested(own, found.known | new if new else found.known, total, words, container, score))
+        return found
+
+    def _keep(self, found: Nested) -> Nested:
+        if len(self.of_path) >= MOST_PATHS:
+            self.of_path.clear()
+        self.of_path[id(found.path)] = found
+        return found
 
     def path_score(self, path: Path) -> float:
-        if (found := self.of_path.get(id(path))) is None:
-            if len(self.of_path) >= MOST_PATHS:
-                self.of_path.clear()
-            found = self.of_path[id(path)] = path, self.model.score(path_features(path))
-        return found[1]
+        return self.nested(path).score
 
     def decode(self, blocks: list[Block]) -> list[bool]:
         (m00, m01), (m10, m11) = self.model.moves.tolist()
