@@ -51,6 +51,8 @@ def test_odd_rows(spark):
     linked = {9: (9, 2, 2, False), 2: (2, 2, 2, True), 3: (3, 2, 2, False)}
     assert got == [linked.get(i, (i, 0, i, True)) for i in sorted(r[0] for r in rows)]
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+    unnamed = near_vectors(spark.createDataFrame([(None, [1.0, 0.0], 1, ""), (None, [1.0, 0.0], 1, ""), (2, [1.0, 0.0], 1, "")], SCHEMA)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in unnamed) == [(0, 0, 0, True), (0, 0, 0, True), (2, 0, 2, True)]
     twice = near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 0, "")] * 2 + [(2, [1.0, 2.0], 0, "")], SCHEMA)).collect()
     assert sorted((r.vec_id, r.n_links) for r in twice) == [(1, 1), (1, 1), (2, 1)]
 
@@ -58,6 +60,7 @@ def test_odd_rows(spark):
 def test_group_of_near_vectors_larger_than_a_leaf(spark, monkeypatch):
     """Every two of the group are links, none are bit-equal, and the group is many leaves and blocks long."""
     monkeypatch.setattr(embedding_dedup, "LEAF", 20)
+    monkeypatch.setattr(embedding_dedup, "FINISH", 700)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 150)
     rng = np.random.default_rng(8)
     centre = rng.normal(size=32)
@@ -67,9 +70,11 @@ def test_group_of_near_vectors_larger_than_a_leaf(spark, monkeypatch):
     assert got == plain(rows) and got[5][1] == 399
 
 
-def test_recall_at_the_threshold_around_a_common_direction(spark, monkeypatch):
-    """Pairs of cosine 0.94 or a little more among vectors with a mean direction, over many levels of splits."""
+@pytest.mark.parametrize("finish", [1 << 16, 300])
+def test_recall_at_the_threshold_around_a_common_direction(spark, monkeypatch, finish):
+    """Pairs of cosine 0.94 or a little more among vectors with a mean direction, over many levels of splits, within tasks or the upper ones by Spark."""
     monkeypatch.setattr(embedding_dedup, "LEAF", 48)
+    monkeypatch.setattr(embedding_dedup, "FINISH", finish)
     rng = np.random.default_rng(9)
     dim, n = 64, 700
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
