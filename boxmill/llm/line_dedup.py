@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,41 +13,49 @@ from boxmill.llm.tables import SPACES, ascii_lower, table
 
 #: Keys shorter than this stay wherever they are.
 MIN_CHARS = 10
-#: A line hash's documents are dealt to this many places before they meet, so a line of every document is no hot group.
-SALTS = 16
+#: A line's documents are dealt to 1 / SPREAD of the square root of the number of lines places before they meet; so neither what meets in one place
+#: nor the number of places that then meet grows faster than that root, whatever share of the documents a line is in.
+SPREAD = 16
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(doc_id, text_hash, pos, h, h2) for each line that is long enough, with 128 bits of hash of its key."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(_lines(ascii_lower(text))).alias("pos", "line"))
+    key = F.btrim("line", F.lit(SPACES))
+    rows = rows.where(F.col("doc_id").isNotNull() & (F.length("line") >= min_chars)).select("doc_id", "text_hash", "pos", key.alias("key")).where(F.length("key") >= min_chars)
+    return rows.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("h2"))
+
+
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, dropped) for each document that loses lines.
 
     `dropped` is a compressed bitmap of the lines to drop: a map from a block of 64 lines to a long with a bit for
     each; blocks without a dropped line are left out. text_hash tells rows of one doc_id with different texts apart.
 
-    The lines' keys (trimmed, A-Z lower-cased) are hashed to 128 bits, and the hashes range-partitioned with a salt of the
+    The lines' keys (trimmed, A-Z lower-cased) are hashed to 128 bits and written, so that texts are read and split once. The hashes are range-partitioned with a salt of the
     document and sorted by document and position. Streaming through a sorted run, every row of another document than
-    the run's first is a later occurrence. The runs' first documents, a row for each run and document, meet by hash alone;
-    there too all but the first are later occurrences. So a hot line costs SALTS rows in the second exchange.
+    the run's first is a later occurrence. The runs' first documents meet by hash alone;
+    there too all but the first are later occurrences. The number of salts follows from the number of lines, so a hot line's runs, and
+    its rows in the second exchange, are both of the order of its square root.
     """
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(_lines(ascii_lower(text))).alias("pos", "line"))
-    key = F.btrim("line", F.lit(SPACES))
-    rows = rows.where(F.length("line") >= min_chars).select("doc_id", "text_hash", "pos", key.alias("key")).where(F.length("key") >= min_chars)
-    # A document's equal lines share their fate: one row, with a bit for each line.
-    block = F.shiftright("pos", 6)
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    lines = scratch.save(_occurrences(docs, id_col, text_col, min_chars), "lines")
+    salts = max(1, math.ceil(math.sqrt(lines.count()) / SPREAD))
+    rows = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    run = W.partitionBy("h", "h2", "salt").orderBy("doc_id", "pos")
+    rows = rows.repartitionByRange("h", "h2", "salt").withColumn("first", F.first("doc_id").over(run))
+    rows = scratch.save(rows.drop("salt"), "runs")
+    scratch.drop(lines)
+    later = rows.where("doc_id > first").drop("first")
+    firsts = rows.where("doc_id = first").withColumn("first", F.first("doc_id").over(W.partitionBy("h", "h2").orderBy("doc_id", "pos")))
+    dropped = later.union(firsts.where("doc_id > first").drop("first"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    rows = rows.select("doc_id", "text_hash", block.alias("block"), bit.alias("bit"), F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("h2"), salt.alias("salt"))
-    run = W.partitionBy("h", "h2", "salt").orderBy("doc_id")
-    rows = rows.repartitionByRange("h", "h2", "salt").withColumn("first", F.first("doc_id", ignorenulls=True).over(run))
-    rows = Scratch(docs.sparkSession, "line-dedup").save(rows.drop("salt"), "runs")
-    later = rows.where("doc_id > first").select("doc_id", "text_hash", "block", "bit")
-    firsts = rows.where("doc_id = first").withColumn("first", F.first("doc_id").over(W.partitionBy("h", "h2").orderBy("doc_id")))
-    dropped = later.union(firsts.where("doc_id > first").select("doc_id", "text_hash", "block", "bit"))
-    blocks = dropped.groupBy("doc_id", "text_hash", "block").agg(F.bit_or("bit").alias("bits"))
+    blocks = dropped.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("block")).agg(F.bit_or(bit).alias("bits"))
     return blocks.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("dropped"))
 
 

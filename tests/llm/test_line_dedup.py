@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+from boxmill.llm import line_dedup
 from boxmill.llm.line_dedup import dedup_lines
 from tests.llm.plain import LOWER
 
@@ -44,3 +45,13 @@ def test_null_ids(spark):
     rows = [(None, "a line of everyone")] * 2 + [(i, "a line of everyone") for i in range(40)]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_dropped) for r in got) == [(-1, 0), (-1, 0), (0, 0)] + [(i, 1) for i in range(1, 40)]
+
+
+def test_salts_and_a_very_long_text(spark, monkeypatch):
+    """A line of every document over many salts, and a text of 100,000 lines."""
+    monkeypatch.setattr(line_dedup, "SPREAD", 1)
+    docs = {i: f"the line of every document\nown line of number {i}" for i in range(300)}
+    docs[299] = "\n".join(["the line of every document", "twice here, only here"] * 50_000)
+    docs[7] = "own line of number 3\n" * 40 + "the line of every document"
+    got = dedup_lines(spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string").repartition(7))
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == plain(docs)
