@@ -8,6 +8,7 @@ from functools import cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxmill.llm.arrow_text import U, mix, shingle_sets, slices, stream
@@ -21,11 +22,12 @@ BANDS, ROWS = 24, 8
 WIDTH, SHARE = 5, 85
 #: Rounds of stars before what is left in the buckets is compared in blocks.
 STAR_ROUNDS = 2
-#: Members of a bucket that one task compares, and hashes of a set that it has for that; smaller sets are there in full.
-BLOCK, LOWEST = 512, 512
+#: Members of a bucket that are compared at once, and hashes of a set that are there for that; smaller sets are there in full.
+BLOCK, LOWEST = 256, 512
 #: Bits of the bitmap that keeps texts without candidates from being shuffled: 1 MB.
 SIEVE_BITS = 1 << 23
-#: A pair is tested on full sets unless its signature's estimate is this many standard deviations short.
+#: A pair is tested on full sets unless its signature's estimate is this many standard deviations short, which a pair at the threshold is
+#: with a probability of some millionths.
 SLACK = 4.5
 
 
@@ -61,6 +63,19 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, n_bins: int) -> np.ndarray:
     return out.reshape(n, n_bins)
 
 
+def _least(smaller: np.ndarray, bins: int, percent: int) -> np.ndarray:
+    """The share of equal bins under which a pair is no link, from the size of the smaller set.
+
+    Of n hashes in so many bins some meet in one, and empty bins repeat others; what counts is how many independent
+    values, and how evenly repeated, a signature has.
+    """
+    filled = bins * -np.expm1(-np.maximum(smaller, 1) / bins)
+    repeats = bins / filled
+    independent = filled * repeats / (repeats + 1 - 1 / repeats)
+    share = percent / 100
+    return share - SLACK * np.sqrt(share * (1 - share) / independent)
+
+
 def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.broadcast_to(stream(13, BANDS), (len(sig), BANDS)).copy()
@@ -103,9 +118,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            seen = np.minimum(np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()), x.shape[1])
-            share = percent / 100
-            keep = (x == y).mean(axis=1) >= share - SLACK * np.sqrt(share * (1 - share) / seen)
+            smaller = np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            keep = (x == y).mean(axis=1) >= _least(smaller, x.shape[1], percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     of_a = sigs.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
@@ -166,8 +180,7 @@ def _cross_pairs(group: pa.Table, percent: int) -> pa.Table:
             may &= block[i + 1 :] != block[i]
         j = i + 1 + np.flatnonzero(may)
         if len(j):
-            seen = np.minimum(np.minimum(n[j], n[i]), sig.shape[1])
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= share - SLACK * np.sqrt(share * (1 - share) / seen)]
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= _least(np.minimum(n[j], n[i]), sig.shape[1], percent)]
         for k in j:
             if comp[k] == comp[i]:
                 continue
@@ -197,12 +210,41 @@ def _labels(links: list[DataFrame]) -> DataFrame:
     return near.join(near.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
 
 
-def _left_over(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _rare_groups(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, component): the members (rep, component) by shingles that are among the rarest of two of them.
+
+    In an order of all shingles by rarity, two sets that are links share one of the first n - ceil(n * percent / 100) + 1 of either: the others
+    are too few for a link. So texts that have a template in common but not enough for a link don't meet, however many they are, and no link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, bounds = shingle_sets(part.column("text"), WIDTH)
+                sizes = np.diff(bounds)
+                first = sizes - (sizes * percent + 99) // 100 + 1
+                owner = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(owner), part.column("component").take(owner), pa.array(first).take(owner), pa.array(sets.view(np.int64))], ["rep", "component", "first", "s"])
+
+    shingles = texts.join(members, "rep").mapInArrow(run, "rep long, component long, first long, s long")
+    often = shingles.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    place = F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("often", F.lit(1)), "s"))
+    rare = shingles.join(often, "s", "left").withColumn("place", place).where("place <= first and often > 1").select(F.col("s").alias("key"), "rep", "component")
+    more = rare.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more")
+    return rare.join(more.select("key"), "key", "left_semi")
+
+
+def _left_over(open_: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs to confirm from all buckets (key, rep, component) that still hold several components.
 
-    Buckets of the same members count once. One of more than BLOCK members is cut into blocks, and every two of them
-    are compared in a task of their own, so no task holds more than two blocks.
+    The members of buckets of more than BLOCK meet anew by their rarest shingles. Buckets of the same members count once. One that
+    is still larger than BLOCK is cut into blocks, and every two of them are compared on their own, so nothing is compared with more than two blocks.
     """
+    sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
+    large = scratch.save(open_.join(sizes.where(F.col("size") > BLOCK), "key", "left_semi").select("rep", "component").distinct(), "large")
+    if not large.isEmpty():
+        rare = scratch.save(_rare_groups(large, texts, percent), "rare")
+        open_ = open_.join(sizes.where(F.col("size") <= BLOCK), "key", "left_semi").unionByName(rare, allowMissingColumns=True)
     alike = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("size")]
     once = open_.groupBy("key").agg(*alike).groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
@@ -236,11 +278,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Pairs that pass the signature test are confirmed on full sets and linked. A hub has then been
     compared with everything it could add, and leaves its bucket; the second round takes hubs that are linked already, which
     gathers copies around their original. Between rounds, texts known to be connected share a label. So a group of copies costs about one pair for each copy. Members
-    of different components that are left in a bucket are compared within tasks, block by block, and only pairs that
-    may be links leave them. So no link between two texts of a bucket is lost.
+    of different components that are left in a bucket are compared within tasks, large buckets after they have been parted by rare shingles, and only pairs that
+    may be links leave them. A link is lost if the texts meet in no bucket (under one in a thousand at the threshold, far fewer above it), or if
+    their signatures are so unlike by chance as SLACK allows (some in a million there).
 
-    Null or empty texts, and texts of white space, have no shingles and link with nothing. Repeated rows of a
-    doc_id are members of its set; a repeated doc_id with different texts links both. Other columns don't matter;
+    Null or empty texts, and texts of white space, have no shingles and link with nothing; rows without an id neither, they have no component and are
+    kept. Repeated rows of a doc_id are members of its set; a repeated doc_id with different texts links both. Other columns don't matter;
     an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -248,10 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = scratch.save(features(docs, rows=rows), "features")
     sets = ["set_a", "set_b", "n_shingles"]
-    groups = scratch.save(feats.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "groups")
-    members = scratch.save(feats.select("doc_id", *sets).join(groups, sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    some = "n_shingles > 0 and doc_id is not null"
+    groups = scratch.save(feats.where(some).groupBy(*sets).agg(F.min("doc_id").alias("rep")), "groups")
+    members = scratch.save(feats.select("doc_id", *sets).join(groups, sets, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
     # Copies of a set have the same buckets, where their smallest id stands for them.
-    keys = feats.where("n_shingles > 0").select(F.explode("bands").alias("key"), "set_a", "doc_id")
+    keys = feats.where(some).select(F.explode("bands").alias("key"), "set_a", "doc_id")
     shared = keys.groupBy("key").agg((F.min("set_a") != F.max("set_a")).alias("more")).where("more").select("key")
     shared = scratch.save(shared, "shared")  # so that a key of very many copies can be split in the join
     buckets = keys.join(shared, "key", "left_semi").groupBy("key", "set_a").agg(F.min("doc_id").alias("rep")).select("key", "rep")
@@ -271,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if hubs.isEmpty():
             break
         if number == STAR_ROUNDS:
-            pairs = scratch.save(_left_over(scratch.save(at.join(hubs, "key", "left_semi"), "open"), sketches, percent), "pairs")
+            pairs = scratch.save(_left_over(scratch.save(at.join(hubs, "key", "left_semi"), "open"), sketches, texts, scratch, percent), "pairs")
             links.append(scratch.save(_confirmed(pairs, texts, percent), "links"))
             break
         pairs = at.join(hubs, "key").where(F.col("component") != F.col("of_hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
@@ -283,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(reduce(DataFrame.union, links), scratch)
     out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,33 @@ def test_blocks_give_the_same_pairs(spark, monkeypatch):
     assert result(spark, list(docs.items())) == expected(docs)
 
 
+def templated(rnd, n, shared, own):
+    """Texts with a template in common that is not enough for a link; each tenth has a near-copy."""
+    template = [f"t{i}" for i in range(shared)]
+    docs = {}
+    for i in range(n):
+        docs[2 * i] = " ".join(template + [f"n{rnd.randrange(10**9)}" for _ in range(own)])
+        if i % 10 == 0:
+            docs[2 * i + 1] = docs[2 * i] + " end"
+    return docs
+
+
+def test_large_buckets_of_templated_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    docs = templated(random.Random(6), 300, 100, 30)
+    want = expected(docs)
+    assert result(spark, list(docs.items())) == want and sum(not kept for *_, kept in want) == 30
+
+
+def test_templated_texts_do_not_meet_by_rare_shingles(spark):
+    """Five thousand texts, three quarters of each the same: what meets is in proportion to the near-copies, not to the square."""
+    docs = templated(random.Random(7), 5000, 90, 30)
+    texts = spark.createDataFrame([(i, t) for i, t in docs.items()], "rep long, text string").repartition(8)
+    groups = near_dedup._rare_groups(texts.selectExpr("rep", "rep AS component"), texts, 85).groupBy("key").count().toPandas()
+    assert groups["count"].max() == 2 and len(groups) <= 500 * 20
+    assert len(result(spark, list(docs.items()))) == 5500
+
+
 def test_odd_rows(spark):
     long = " ".join(str(i) for i in range(30000))
     docs = {1: None, 2: "", 3: " \t\n", 4: "a b", 5: "A B", 6: "a b c", 7: "É b", 8: "é b", 9: long, 10: long + " end", 11: long.upper()}
@@ -56,6 +83,8 @@ def test_odd_rows(spark):
     rows = [(1, "a b", "x"), (1, "a b", "y"), (2, "A  b", "z")]
     assert result(spark, [(i, t, s, 0) for i, t, s in rows], "doc_id long, text string, component_id string, rep int") == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     assert result(spark, []) == []
+    unnamed = near_dedup.near_duplicates(spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (4, "c")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in unnamed) == [(0, 0, True), (0, 0, True), (3, 3, True), (4, 4, True)]
 
 
 def test_long_words_of_few_letters(spark):
