@@ -26,6 +26,8 @@ SCRIPT_SHARE = 0.005
 #: Bytes of text whose words are decoded together.
 GROUP_BYTES = 4 << 20
 UNKNOWN = "und"
+#: The driver and every worker hold BUCKETS numbers for each language, 1 GB for so many.
+MOST_LANGUAGES = 4096
 #: First and last code points of scripts. Letters outside are of script 0.
 SCRIPTS = [
     ("Latin", 0x0041, 0x024F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x0370, 0x03FF), ("Greek", 0x1F00, 0x1FFF),
@@ -101,7 +103,8 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts all trigrams of all rows with a lang. The counts are summed by Spark; the driver gets BUCKETS numbers
-    and N_SCRIPTS for each language at most. Without such rows the model has no language."""
+    and N_SCRIPTS for each language at most, and refuses more than MOST_LANGUAGES of them: such a column holds no languages. Without rows with a lang the
+    model has none. Rows without text or lang teach nothing, repeated ones teach again; other columns don't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -119,6 +122,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], ["lang", "cell", "n"])
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null")
+    if (distinct := rows.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{distinct} values of {lang_col}, more than {MOST_LANGUAGES}")
     counts = rows.mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     sums = np.zeros((len(langs), BUCKETS + N_SCRIPTS))
@@ -194,7 +199,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     count for none. Spans are (start, end, lang) in code points,
     from a span's first word to the end of its last one; `spans=False` leaves them null. Null texts and texts without letters
     are `und` with score 0 and no spans, as are all texts if the model has no language. Ties go to the language whose
-    name sorts first. Repeated rows are labelled each.
+    name sorts first. Repeated rows are labelled each, a null id gives a null one; other columns don't matter, whatever their names. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -243,8 +248,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of whose letters at least the share `least` is in languages that the model knows, all of them together.
 
-    Works on the rows where they are: texts are not shuffled to be joined with what was found about them.
+    Works on the rows where they are: texts are not shuffled to be joined with what was found about them. A model without languages
+    rejects nothing: all rows stay. Null texts and texts without letters go; repeated rows stay or go together, and ids are not looked at.
     """
+    if not model.langs:
+        return docs
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +260,7 @@ def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "
             for part in slices(batch, text_col, GROUP_BYTES):
                 m = shared.value
                 w, labels = decode((x.column(text_col) for x in slices(part, text_col)), m, SWITCH)
-                if not m.langs or not len(labels):
+                if not len(labels):
                     continue
                 count = part.num_rows
                 text_of = np.repeat(np.arange(count), np.diff(w.first))

@@ -1,8 +1,13 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from boxmill.llm import lang_id
+from boxmill.llm.arrow_text import mix
 from boxmill.llm.lang_id import UNKNOWN, held_out, identify, known_languages, train, viterbi
 
 
@@ -67,3 +72,69 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert identify(empty, train(empty)).count() == 0
     assert {r.lang_pred for r in identify(docs, train(empty)).collect()} == {UNKNOWN}
+    assert known_languages(docs, train(empty), 0.5).count() == len(rows)
+
+
+def test_too_many_values_of_lang(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="4 values of lang"):
+        train(docs)
+
+
+def plain_model(rows):
+    """Trigrams and scripts by dictionaries: {lang: ({bucket: n}, {script: letters})}."""
+    _, script_of = lang_id._tables()
+    sums = {}
+    for _, text, lang in rows:
+        grams, scripts = sums.setdefault(lang, (Counter(), Counter()))
+        for word in plain_words(text):
+            padded = [0, *word, 0]
+            for a, b, c in zip(padded, word, padded[2:]):
+                grams[bucket(a, b, c)] += 1
+            scripts[int(script_of[word[0]])] += len(word)
+    return sums
+
+
+def plain_words(text):
+    letter_of, _ = lang_id._tables()
+    words, own = [], []
+    for c in [*text, " "]:
+        if low := int(letter_of[ord(c)]):
+            own.append(low)
+        elif own:
+            words.append(own)
+            own = []
+    return words
+
+
+def bucket(a, b, c):
+    return int(mix(np.array([a << 42 | b << 21 | c], np.uint64))[0] >> np.uint64(48))
+
+
+def test_scores_scripts_and_shares_against_a_loop(spark):
+    """Trigram counts, the scripts that narrow candidates, word scores and the shares of letters, each by plain loops."""
+    rows = [(i, text.lower(), lang) for i, text, lang in corpus(40, 6)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    sums = plain_model(rows)
+    assert model.langs == sorted(sums)
+    for k, lang in enumerate(model.langs):
+        grams, scripts = sums[lang]
+        total = sum(grams.values()) + lang_id.ALPHA * lang_id.BUCKETS
+        some = list(grams)[:50] + [1, 2, 3]
+        assert np.allclose(model.log_p[some, k], [math.log((grams[b] + lang_id.ALPHA) / total) for b in some], atol=1e-5)
+        letters = sum(scripts.values())
+        assert [bool(x) for x in model.uses[:, k]] == [scripts[s] >= lang_id.SCRIPT_SHARE * letters for s in range(lang_id.N_SCRIPTS)]
+    texts = ["bako tire", "schung ei привет ba", "привет миро 12 baba", "שלום ko"]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    _, script_of = lang_id._tables()
+    for i, text in enumerate(texts):
+        words, emit, usable = plain_words(text), [], []
+        for word in words:
+            padded, may = [0, *word, 0], [bool(model.uses[int(script_of[word[0]]), k]) for k in range(len(model.langs))]
+            score = [sum(float(model.log_p[bucket(a, b, c), k]) for a, b, c in zip(padded, word, padded[2:])) if may[k] else -1e30 for k in range(len(model.langs))]
+            emit.append([x - max(score) for x in score] if any(may) else [0.0] * len(score))
+            usable.append(any(may))
+        _, path = plain_viterbi(np.array(emit), lang_id.SWITCH)
+        share = [sum(len(w) for w, k, u in zip(words, path, usable, strict=True) if k == lang and u) / sum(map(len, words)) for lang in range(len(model.langs))]
+        assert got[i].lang_pred == model.langs[int(np.argmax(share))] and abs(got[i].score - max(share)) < 1e-6
