@@ -107,7 +107,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_le
     """One row for each packed sequence of seq_len ids; a narrow map without shuffle.
 
     - n_tokens: places in use, from the left; the rest holds end_id.
-    - input_ids, position_ids: seq_len little-endian uint16 (uint32 if end_id or seq_len need it); stacked, the rows
+    - input_ids, position_ids: seq_len little-endian uint16 (uint32 if the vocabulary, end_id or seq_len need it); stacked, the rows
       are the id matrix. Positions start anew at 0 with each segment and after the last one.
     - cu_seqlens: 0 and the end of each segment.
     - doc_ids, doc_offsets: for each segment its document and the place of its first token among the document's.
@@ -116,9 +116,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_le
     and empty texts are end_id alone. A document longer than seq_len is split into pieces of seq_len and a rest. Segments
     of a document put together by their offsets give its tokens back: nothing is lost, cut or repeated. Tasks pack blocks of
     block_rows * seq_len tokens on their own, so which segments share a row depends on how the files are split,
-    while the segments don't. Repeated rows are packed each; an empty table gives no rows.
+    while the segments don't. A task's last block is packed with what it has; so half a row on average stays empty for each task besides what a full block
+    loses: 0.3 % of a task of 128 MB of text, more for smaller files. Repeated rows are packed each, a null id gives a null one; other columns
+    don't matter. An empty table gives no rows.
     """
-    ids_type = np.dtype("<u2" if max(end_id, seq_len) < 1 << 16 else "<u4")
+    ids_type = np.dtype("<u2" if max(end_id, seq_len, _encoder(tokenizer).max_token_value) < 1 << 16 else "<u4")
     out_type = pa.schema([(name, kind) for name, kind, _ in FIELDS])
 
     def packed(segments: list[tuple[int | None, int, np.ndarray]]) -> pa.RecordBatch:
