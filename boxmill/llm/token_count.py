@@ -19,8 +19,9 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 )
-#: Distinct pieces whose counts a worker keeps; when full, it starts anew.
-CACHE_PIECES = 1_000_000
+#: Bytes of the distinct pieces, with what a piece costs besides, whose counts a worker keeps; when full, it starts anew. Longer pieces than
+#: LONG are counted each time.
+CACHE_BYTES, PIECE_BYTES, LONG = 128 << 20, 150, 256
 
 
 def byte_letters() -> list[str]:
@@ -33,9 +34,9 @@ def byte_letters() -> list[str]:
 class PieceCounter(dict):
     """Tokens of a piece of text, computed at first use: initial symbols less merges."""
 
-    def __init__(self, model: dict, limit: int = CACHE_PIECES):
+    def __init__(self, model: dict, limit: int = CACHE_BYTES):
         super().__init__()
-        self.limit = limit
+        self.limit, self.held = limit, 0
         self.ids = {token: i for i, token in enumerate(model["vocab"])}
         self.letters = [self.ids[x] for x in byte_letters()]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -44,9 +45,14 @@ class PieceCounter(dict):
             self.merges[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = n = self.count(piece.encode("utf-8"))
+        data = piece.encode("utf-8")
+        n = self.count(data)
+        if len(data) <= LONG:
+            self.held += len(data) + PIECE_BYTES
+            if self.held > self.limit:
+                self.clear()
+                self.held = len(data) + PIECE_BYTES
+            self[piece] = n
         return n
 
     def count(self, data: bytes) -> int:
@@ -77,12 +83,24 @@ class PieceCounter(dict):
         return left_over
 
 
+def _unsupported(spec: dict) -> list[str]:
+    """What a file asks for that counting here does not do."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    found = [k for k in ("normalizer", "truncation", "padding", "post_processor") if spec.get(k)]
+    found += [f"pre_tokenizer {before.get('type')}"] * (before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True))
+    found += [f"model {model.get('type', 'BPE')}"] * (model.get("type", "BPE") != "BPE")
+    found += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    return found + [f"added token {t['content']}" for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"]]
+
+
 class TokenCounter:
-    """Counts of whole texts for a byte-level BPE file of the tokenizers library."""
+    """Counts of whole texts for a byte-level BPE file of the tokenizers library. Files that ask for more than that are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if more := _unsupported(spec):
+            raise ValueError(f"{path} needs {', '.join(more)}")
         self.pieces = PieceCounter(spec["model"])
         self.split = regex.compile(PATTERN).findall
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -117,8 +135,8 @@ def counter(tokenizer: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """(id, n_bytes, n_tokens) for each row of docs.
 
-    A narrow map without shuffle. Null and empty texts have 0 of both; repeated rows are counted each;
-    other columns don't matter. The heap of one piece is bounded by the piece's length, a piece by its text.
+    A narrow map without shuffle. Null and empty texts have 0 of both; repeated rows are counted each, a null id gives a null one;
+    other columns don't matter; an empty table gives no rows. The heap of one piece is bounded by the piece's length, a piece by its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from boxmill.llm.token_count import PieceCounter, count_tokens, counter
@@ -18,9 +19,22 @@ def test_equals_the_library():
 
 def test_cache_starts_anew_when_full():
     model = {"vocab": {**{c: i for i, c in enumerate(map(chr, range(0x21, 0x200)))}}, "merges": []}
-    pieces = PieceCounter(model, limit=3)
+    pieces = PieceCounter(model, limit=3 * 160)
     assert [pieces[x] for x in ("a", "bb", "ccc", "dddd", "a")] == [1, 2, 3, 4, 1]
     assert len(pieces) <= 3
+    assert pieces["x" * 1000] == 1000 and "x" * 1000 not in pieces
+
+
+def test_one_piece_of_megabytes():
+    """Base64 without spaces: letters only, so one piece. The library's count of it, in time."""
+    text = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=1_500_000))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert counter("byte_bpe_50k.json").count(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_files_that_ask_for_more_are_refused():
+    with pytest.raises(ValueError, match="end_of_word_suffix"):
+        counter("word_bpe_49k.json")
 
 
 def test_odd_rows(spark):
