@@ -1,8 +1,9 @@
-"""Greedy per-image operators: geometry as joins, order as folds over what the joins leave.
+"""Greedy per-image operators: folds over the arrays of boxes of an image.
 
-The join on the image finds the pairs that matter inside generated code; they are few. Only boxes in such a pair go through
-a fold, by higher-order functions over one array for each image. No Python workers. An image's pairs grow with the square of its
-boxes (tens, some thousands at most); for more, cut images into tiles first (boxmill.operators.tiling).
+per_image() gathers an image's boxes in one row, the only shuffle there is; all that follows are expressions on that row, by higher-order
+functions without Python workers. So several steps after each other cost no more shuffles than one. Boxes are told apart by
+comparing edges before anything is computed. The work grows with the square of an image's boxes (tens, some thousands at most); for more, cut
+images into tiles first (boxmill.operators.tiling).
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.boxes import Corners, area, containment, corners, intersection, iou
+from boxmill.functions.boxes import Corners, area, containment, intersection, iou
 
 BOX = ("x1", "y1", "x2", "y2")
-KEY = ["image_id", "box_idx"]
 #: Whether a prediction fits a box, from both boxes and both classes.
 Fits = Callable[[Corners, Corners, Column, Column], Column]
 
@@ -24,76 +24,108 @@ def _corners(box: Column) -> Corners:
     return Corners(*(box[c] for c in BOX))
 
 
-def suppress(pred: DataFrame, threshold: float) -> DataFrame:
-    """Non-maximum suppression across classes: a box goes if it overlaps a better kept one by IoU above the threshold.
+def _meet(a: Corners, b: Corners) -> Column:
+    """Whether two boxes have area in common: what is cheap to tell, and false for most."""
+    return (a.x1 < b.x2) & (b.x1 < a.x2) & (a.y1 < b.y2) & (b.y1 < a.y2)
 
-    Equal scores go by box_idx. Input and output: (image_id, box_idx, cls, x1, y1, x2, y2, score).
-    """
-    rank = F.struct((-F.col("score")).alias("s"), "box_idx")
-    a = pred.select("image_id", "box_idx", rank.alias("rank"), *BOX)
-    better = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.rank") < F.col("a.rank")) & (iou(corners("a."), corners("b.")) > threshold)
-    pairs = a.alias("a").join(a.alias("b"), better).select("a.image_id", "a.rank", F.col("b.box_idx").alias("by"))
-    rivals = pairs.groupBy("image_id", "rank").agg(F.collect_list("by").alias("by"))
-    images = rivals.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "by"))).alias("boxes"))
 
-    def fall(gone: Column, b: Column) -> Column:
-        """A box goes if one of its betters stays."""
-        return F.when(F.exists(b["by"], lambda i: ~F.array_contains(gone, i)), F.concat(gone, F.array(b["rank"]["box_idx"]))).otherwise(gone)
+def prediction() -> Column:
+    """A row's prediction as an element that sorts by score, best first, and box_idx."""
+    return F.struct((-F.col("score")).alias("rank"), "box_idx", "cls", *BOX, "score")
 
-    none = F.array_repeat(F.lit(0).cast("long"), F.lit(0))
-    gone = images.select("image_id", F.explode(F.aggregate("boxes", none, fall)).alias("box_idx"))
-    return pred.join(gone, KEY, "left_anti").select("image_id", "box_idx", "cls", *BOX, "score")
 
+def labelled() -> Column:
+    """A row's labelled box as an element that sorts by box_idx."""
+    return F.struct("box_idx", "cls", *BOX)
 
-def suppress_contained(pred: DataFrame, threshold: float) -> DataFrame:
-    """Drops boxes of which another box of the image, no worse in score, covers at least the threshold's share.
 
-    Suppressed boxes still suppress, so two boxes of equal score may drop each other; boxes without area go too
-    when another one is there.
-    """
-    a, b = pred.alias("a"), pred.alias("b")
-    own, other = (Corners(*(F.col(f"{s}.{c}") for c in BOX)) for s in "ab")
-    covers = (
-        (F.col("a.image_id") == F.col("b.image_id"))
-        & (F.col("a.box_idx") != F.col("b.box_idx"))
-        & (F.col("b.score") >= F.col("a.score"))
-        & ((containment(own, other) >= threshold) | (area(own) == 0))
-    )
-    return a.join(b, covers, "left_anti")
+def gathered(name: str, item: Column) -> Column:
+    """An image's items in order; null ones are left out."""
+    return F.array_sort(F.collect_list(item)).alias(name)
 
 
-def match(pred: DataFrame, gt: DataFrame, fits: Fits, name: str = "outcome") -> DataFrame:
-    """Greedy one-to-one matching: predictions in order of score each take the first free box of gt that fits.
+def per_image(pred: DataFrame | None = None, gt: DataFrame | None = None) -> DataFrame:
+    """(image_id, pred, gt): a row for each image that has boxes on either side, with arrays of them, empty where it has none."""
+    p = pred.select("image_id", prediction().alias("p")) if pred is not None else None
+    g = gt.select("image_id", labelled().alias("g")) if gt is not None else None
+    rows = p.unionByName(g, allowMissingColumns=True) if p is not None and g is not None else p if g is None else g
+    return rows.groupBy("image_id").agg(*[gathered(name, F.col(c)) for name, c in (("pred", "p"), ("gt", "g")) if c in rows.columns])
+
+
+def suppressed(boxes: Column, threshold: float) -> Column:
+    """Non-maximum suppression across classes over an array of predictions: one goes if it overlaps a better kept one by IoU above the threshold."""
+    def step(kept: Column, b: Column) -> Column:
+        rival = F.exists(kept, lambda k: _meet(_corners(k), _corners(b)) & (iou(_corners(k), _corners(b)) > threshold))
+        return F.when(rival, kept).otherwise(F.concat(kept, F.array(b)))
 
-    Returns (image_id, cls, box_idx, outcome): TP and FP for predictions, with the prediction's class, FN for boxes of gt
-    that stay free, with their own.
+    return F.aggregate(boxes, F.slice(boxes, 1, 0), step)
+
+
+def uncovered(boxes: Column, threshold: float) -> Column:
+    """The predictions that have an area of which no other one, no worse in score, covers at least the threshold's share.
+
+    Suppressed boxes still suppress, so two boxes of equal score may drop each other.
     """
-    p, g = corners("p."), corners("g.")
-    near = (F.col("p.image_id") == F.col("g.image_id")) & fits(p, g, F.col("p.cls"), F.col("g.cls"))
-    rank = F.struct((-F.col("p.score")).alias("s"), F.col("p.box_idx").alias("box_idx"))
-    pairs = pred.alias("p").join(gt.alias("g"), near).select("p.image_id", rank.alias("rank"), F.col("g.box_idx").alias("gt_idx"))
-    choices = pairs.groupBy("image_id", "rank").agg(F.array_sort(F.collect_list("gt_idx")).alias("may"))
-    images = choices.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "may"))).alias("boxes"))
+    def covers(a: Column, b: Column) -> Column:
+        return (b["box_idx"] != a["box_idx"]) & (b["score"] >= a["score"]) & _meet(_corners(a), _corners(b)) & (containment(_corners(a), _corners(b)) >= threshold)
+
+    return F.filter(boxes, lambda a: (area(_corners(a)) != 0) & ~F.exists(boxes, lambda b: covers(a, b)))
 
+
+def matched(pred: Column, gt: Column, fits: Fits) -> Column:
+    """Greedy one-to-one matching: predictions in order each take the first free box of gt that fits. An array of (box_idx, gt_idx)."""
     def take(taken: Column, q: Column) -> Column:
-        free = F.get(F.filter(q["may"], lambda i: ~F.exists(taken, lambda t: t["gt_idx"] == i)), F.lit(0))
-        return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(q["rank"]["box_idx"].alias("box_idx"), free.alias("gt_idx")))))
+        may = F.filter(gt, lambda h: fits(_corners(q), _corners(h), q["cls"], h["cls"]) & ~F.exists(taken, lambda t: t["gt_idx"] == h["box_idx"]))
+        pair = lambda h: F.struct(q["box_idx"].alias("box_idx"), h["box_idx"].alias("gt_idx"))
+        return F.concat(taken, F.transform(F.slice(may, 1, 1), pair))
+
+    return F.aggregate(pred, F.from_json(F.lit("[]"), "array<struct<box_idx:bigint,gt_idx:bigint>>"), take)
+
 
-    none = F.from_json(F.lit("[]"), "array<struct<box_idx:bigint,gt_idx:bigint>>")
-    taken = images.select("image_id", F.explode(F.aggregate("boxes", none, take)).alias("t")).select("image_id", "t.*")
-    of_pred = pred.join(taken.select("image_id", "box_idx", F.lit(True).alias("hit")), KEY, "left").select("image_id", "cls", "box_idx", F.when(F.col("hit"), "TP").otherwise("FP").alias(name))
-    of_gt = gt.join(taken.select("image_id", F.col("gt_idx").alias("box_idx")), KEY, "left_anti").select("image_id", "cls", "box_idx", F.lit("FN").alias(name))
-    return of_pred.union(of_gt)
+def outcomes(images: DataFrame, fits: Fits, name: str = "outcome") -> DataFrame:
+    """(image_id, cls, box_idx, outcome, place, score, x1, y1, x2, y2) from rows (image_id, pred, gt): TP and FP for predictions, with their place among the
+    image's predictions of that outcome, FN for boxes of gt that stay free."""
+    found = images.withColumn("hits", matched(F.col("pred"), F.col("gt"), fits))
+    taken = lambda b, key: F.exists("hits", lambda t: t[key] == b["box_idx"])
+
+    def rows(boxes: Column, outcome: str, scored: bool = True) -> Column:
+        score = lambda b: b["score"] if scored else F.lit(None).cast("double")
+        row = lambda b, i: F.struct(b["cls"].alias("cls"), b["box_idx"].alias("box_idx"), F.lit(outcome).alias(name), i.cast("long").alias("place"), score(b).alias("score"), *[b[c].alias(c) for c in BOX])
+        return F.transform(boxes, row)
+
+    tp, fp = F.filter("pred", lambda b: taken(b, "box_idx")), F.filter("pred", lambda b: ~taken(b, "box_idx"))
+    fn = F.filter("gt", lambda b: ~taken(b, "gt_idx"))
+    every = F.concat(rows(tp, "TP"), rows(fp, "FP"), rows(fn, "FN", scored=False))
+    return found.select("image_id", F.explode(every).alias("b")).select("image_id", "b.*")
+
+
+def suppress(pred: DataFrame, threshold: float) -> DataFrame:
+    """suppressed() for rows (image_id, box_idx, cls, x1, y1, x2, y2, score); equal scores go by box_idx."""
+    return _rows(per_image(pred).select("image_id", suppressed(F.col("pred"), threshold).alias("pred")))
+
+
+def suppress_contained(pred: DataFrame, threshold: float) -> DataFrame:
+    """uncovered() for rows (image_id, box_idx, cls, x1, y1, x2, y2, score). Boxes without area go."""
+    return _rows(per_image(pred).select("image_id", uncovered(F.col("pred"), threshold).alias("pred")))
+
+
+def _rows(images: DataFrame) -> DataFrame:
+    return images.select("image_id", F.explode("pred").alias("b")).select("image_id", *[f"b.{c}" for c in ("box_idx", "cls", *BOX, "score")])
+
+
+def match(pred: DataFrame, gt: DataFrame, fits: Fits, name: str = "outcome") -> DataFrame:
+    """(image_id, cls, box_idx, outcome): TP and FP for predictions, with the prediction's class, FN for boxes of gt that stay free, with their own."""
+    return outcomes(per_image(pred, gt), fits, name).select("image_id", "cls", "box_idx", name)
 
 
 def fits_model(overlap: float, cover: float) -> Fits:
-    """Same class, and IoU or either containment high enough: the rule for a model's predictions."""
-    return lambda a, b, of_a, of_b: (of_a == of_b) & ((iou(a, b) >= overlap) | (containment(a, b) >= cover) | (containment(b, a) >= cover))
+    """Same class, and IoU or either containment high enough, all above 0: the rule for a model's predictions."""
+    return lambda a, b, of_a, of_b: (of_a == of_b) & _meet(a, b) & ((iou(a, b) >= overlap) | (containment(a, b) >= cover) | (containment(b, a) >= cover))
 
 
 def fits_rules(cover: float) -> Fits:
-    """Enough of the prediction inside the box, whatever the classes: the rule for boxes made by colour rules."""
-    return lambda a, b, of_a, of_b: containment(a, b) >= cover
+    """Enough of the prediction inside the box, more than nothing, whatever the classes: the rule for boxes made by colour rules."""
+    return lambda a, b, of_a, of_b: _meet(a, b) & (containment(a, b) >= cover)
 
 
 def remove_overlaps(boxes: DataFrame) -> DataFrame:
@@ -110,7 +142,7 @@ def remove_overlaps(boxes: DataFrame) -> DataFrame:
         head, tail = F.get(acc["left"], F.lit(0)), F.slice(acc["left"], 2, F.greatest(F.size(acc["left"]), F.lit(1)))
 
         def meet(t: Column, b: Column) -> Column:
-            hit = t["alive"] & (intersection(_corners(head), _corners(b)) > 0)
+            hit = t["alive"] & _meet(_corners(head), _corners(b)) & (intersection(_corners(head), _corners(b)) > 0)
             loses = hit & (area(_corners(head)) >= area(_corners(b)))
             rest = F.when(loses, t["rest"]).otherwise(F.concat(t["rest"], F.array(b)))
             return F.struct((t["alive"] & (~hit | loses)).alias("alive"), rest.alias("rest"))

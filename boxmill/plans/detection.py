@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import ratio
 from boxmill.operators import folds, metrics
-from boxmill.plans.fixture import DENSE, gt_boxes, pred_boxes, sql
+from boxmill.plans.fixture import DENSE, gt_boxes, images, pred_boxes, sql
 from boxmill.plans.registry import query
 
 NMS_IOU, CONTAINED = 0.4, 0.5
@@ -45,7 +45,7 @@ def _nms(source: str) -> str:
 def _contained(source: str) -> str:
     return f"""contained AS (
   SELECT * FROM {source} a WHERE NOT EXISTS (
-    SELECT 1 FROM {source} b WHERE a.image_id = b.image_id AND a.box_idx <> b.box_idx AND b.score >= a.score AND {_cover('a', 'b')} >= {CONTAINED})
+    SELECT 1 FROM {source} b WHERE a.image_id = b.image_id AND a.box_idx <> b.box_idx AND b.score >= a.score AND {_cover('a', 'b')} >= {CONTAINED}) AND {_AREA.format('a')} <> 0
 )"""
 
 
@@ -92,7 +92,7 @@ def containment_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("match_outcomes", f"WITH RECURSIVE {sql()}, {_match('pred_boxes', _FITS_MODEL)} SELECT * FROM outcomes")
 def match_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.match(pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER))
+    return folds.outcomes(images(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER)).select("image_id", "cls", "box_idx", "outcome")
 
 
 @query("match_iop", f"WITH RECURSIVE {sql()}, {_match('pred_boxes', _FITS_RULES)} SELECT * FROM outcomes")
@@ -100,9 +100,20 @@ def match_iop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.match(pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir), folds.fits_rules(RULE_COVER))
 
 
-@query("overlap_remove")
+#: The list that is left, walked by its first box: of what overlaps it the smaller goes, and a larger one ends its turn.
+_WALKED = f"""walked AS (
+  SELECT image_id, list({{'box_idx': box_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY box_idx) AS todo, CAST([] AS BIGINT[]) AS kept FROM gt_boxes GROUP BY image_id
+  UNION ALL
+  SELECT image_id, list_filter(rest, lambda b, i: i >= ender OR ({_INTER.format('b', 'head')}) = 0) AS todo, CASE WHEN ender > len(rest) THEN list_append(kept, head.box_idx) ELSE kept END
+  FROM (
+    SELECT *, coalesce(list_position(list_transform(rest, lambda b: ({_INTER.format('b', 'head')}) > 0 AND {_AREA.format('b')} > {_AREA.format('head')}), TRUE), len(rest) + 1) AS ender
+    FROM (SELECT image_id, todo[1] AS head, todo[2:] AS rest, kept FROM walked WHERE len(todo) > 0)
+  )
+)"""
+
+
+@query("overlap_remove", f"WITH RECURSIVE {sql(DENSE)}, {_WALKED} SELECT image_id, box_idx, x1, y1, x2, y2 FROM gt_boxes JOIN (SELECT image_id, unnest(kept) AS box_idx FROM walked WHERE len(todo) = 0) USING (image_id, box_idx)")
 def overlap_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain loop in the tests."""
     return folds.remove_overlaps(gt_boxes(spark, sf_dir, DENSE))
 
 
@@ -110,9 +121,10 @@ _EVALUATED = f"{sql()}, {_nms('pred_boxes')}, {_contained('nms')}, {_match('cont
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppress, drop contained boxes, match: three steps on one partitioning by image."""
-    kept = folds.suppress_contained(folds.suppress(pred_boxes(spark, sf_dir), NMS_IOU), CONTAINED)
-    return folds.match(kept, gt_boxes(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER))
+    """Suppress, drop contained boxes, match: three steps on one row for each image, so one reading and one shuffle by image."""
+    kept = images(spark, sf_dir).withColumn("pred", folds.suppressed(F.col("pred"), NMS_IOU))
+    kept = kept.withColumn("pred", folds.uncovered(F.col("pred"), CONTAINED))
+    return folds.outcomes(kept, folds.fits_model(MATCH_IOU, MATCH_COVER))
 
 
 def _counts(group: str) -> str:
@@ -200,12 +212,11 @@ _TWO_MODELS = f"""{_match('pred_boxes', _FITS_MODEL)}, fp_a AS (
 
 
 def _two_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pred = pred_boxes(spark, sf_dir)
-    fp = folds.match(pred, gt_boxes(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER)).where("outcome = 'FP'").join(pred, ["image_id", "box_idx", "cls"])
-    rank = lambda by: (F.row_number().over(W.partitionBy("image_id").orderBy(F.col(by).desc(), "box_idx")) - 1).cast("long")
-    a = fp.withColumn("fp_idx", rank("score")).select("image_id", "fp_idx", "cls", "score", "x1", "y1", "x2", "y2")
+    fp = folds.outcomes(images(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER)).where("outcome = 'FP'")
+    a = fp.select("image_id", F.col("place").alias("fp_idx"), "cls", "score", "x1", "y1", "x2", "y2")
     b = fp.where("box_idx % 3 <> 0").withColumn("s", F.expr("(CAST(1000 * score AS BIGINT) * 7 % 1000) / 1000.0D"))
-    b = b.withColumn("fp_idx", rank("s")).select("image_id", "fp_idx", "cls", F.col("s").alias("score"), (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2")
+    place = (F.row_number().over(W.partitionBy("image_id").orderBy(F.col("s").desc(), "box_idx")) - 1).cast("long")
+    b = b.withColumn("fp_idx", place).select("image_id", "fp_idx", "cls", F.col("s").alias("score"), (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2")
     return a, b
 
 
@@ -237,8 +248,9 @@ UNION ALL SELECT 'second', count(*) FROM fp_b b WHERE NOT EXISTS (SELECT 1 FROM
 def fp_only_in_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _two_models(spark, sf_dir)
     key = ["image_id", "fp_idx"]
-    count = lambda x, y, name: x.join(y, key, "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("model"), "n")
-    return count(a, b, "first").union(count(b, a, "second"))
+    both = a.select(*key, F.lit(True).alias("first")).join(b.select(*key, F.lit(True).alias("second")), key, "full_outer")
+    counts = both.agg(F.count_if(F.col("second").isNull()).alias("first"), F.count_if(F.col("first").isNull()).alias("second"))
+    return counts.unpivot([], ["first", "second"], "model", "n")
 
 
 @query("fp_share", f"WITH RECURSIVE {sql()}, {_TWO_MODELS} SELECT cls, count(*) AS n, CAST(count(*) FILTER (WHERE score > 0.6) AS BIGINT) AS n_high, round((count(*) FILTER (WHERE score > 0.6))::DOUBLE / count(*), 9) AS share FROM fp_a GROUP BY cls")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boxmill.operators import folds
+
 WIDTH, HEIGHT = 2560, 1600
 #: Moduli of the corners: wide apart, and so near that many boxes overlap.
 SPARSE, DENSE = (2400, 1400), (300, 200)
@@ -23,7 +25,8 @@ def boxes(spark: SparkSession, sf_dir: str, canvas: tuple[int, int] = SPARSE) ->
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").cast("long").alias("l")
     )
-    lines = lines.distinct().withColumn("box_idx", F.row_number().over(W.partitionBy("p").orderBy("o", "l", "s")).cast("long"))
+    # Dealt by image once: what follows by image needs no other shuffle.
+    lines = lines.repartition("p").distinct().withColumn("box_idx", F.row_number().over(W.partitionBy("p").orderBy("o", "l", "s")).cast("long"))
     return lines.select(
         F.col("p").alias("image_id"),
         "box_idx",
@@ -37,15 +40,29 @@ def boxes(spark: SparkSession, sf_dir: str, canvas: tuple[int, int] = SPARSE) ->
     )
 
 
+def _as_gt(b: DataFrame) -> DataFrame:
+    return b.withColumns({"x2": F.expr("x1 + w"), "y2": F.expr("y1 + h")})
+
+
+def _as_pred(b: DataFrame) -> DataFrame:
+    b = b.withColumns({"x1": F.expr("x1 + (sc % 13 - 6)"), "y1": F.expr("y1 + (sc % 11 - 5)"), "cls": F.expr("CASE WHEN sc % 20 = 0 THEN (cls + 1) % 4 ELSE cls END")})
+    return b.withColumns({"x2": F.expr("x1 + w"), "y2": F.expr("y1 + h"), "score": F.expr("sc / 1000.0D")})
+
+
 def gt_boxes(spark: SparkSession, sf_dir: str, canvas: tuple[int, int] = SPARSE) -> DataFrame:
-    b = boxes(spark, sf_dir, canvas).where("u <> 9")
-    return b.select("image_id", "box_idx", "cls", "x1", "y1", F.expr("x1 + w").alias("x2"), F.expr("y1 + h").alias("y2"))
+    return _as_gt(boxes(spark, sf_dir, canvas).where("u <> 9")).select("image_id", "box_idx", "cls", *folds.BOX)
 
 
 def pred_boxes(spark: SparkSession, sf_dir: str, canvas: tuple[int, int] = SPARSE) -> DataFrame:
-    b = boxes(spark, sf_dir, canvas).where("u <> 0")
-    b = b.withColumns({"x1": F.expr("x1 + (sc % 13 - 6)"), "y1": F.expr("y1 + (sc % 11 - 5)"), "cls": F.expr("CASE WHEN sc % 20 = 0 THEN (cls + 1) % 4 ELSE cls END")})
-    return b.select("image_id", "box_idx", "cls", "x1", "y1", F.expr("x1 + w").alias("x2"), F.expr("y1 + h").alias("y2"), F.expr("sc / 1000.0D").alias("score"))
+    return _as_pred(boxes(spark, sf_dir, canvas).where("u <> 0")).select("image_id", "box_idx", "cls", *folds.BOX, "score")
+
+
+def images(spark: SparkSession, sf_dir: str, canvas: tuple[int, int] = SPARSE) -> DataFrame:
+    """folds.per_image() of both kinds of boxes, from one reading."""
+    b = boxes(spark, sf_dir, canvas)
+    both = _as_gt(b).withColumn("g", F.when(F.col("u") != 9, folds.labelled())).drop("x2", "y2")
+    both = _as_pred(both).withColumn("p", F.when(F.col("u") != 0, folds.prediction()))
+    return both.groupBy("image_id").agg(folds.gathered("pred", F.col("p")), folds.gathered("gt", F.col("g")))
 
 
 def sql(canvas: tuple[int, int] = SPARSE) -> str:

@@ -59,10 +59,16 @@ def test_suppress(data):
 
 def test_suppress_contained(data):
     pred, _, p, _ = data
-    want = [(i, a[0]) for i, boxes in pred.items() for a in boxes if not any(b is not a and b[3] >= a[3] and (area(a[2]) == 0 or cover(a[2], b[2]) >= 0.5) for b in boxes)]
+    want = [(i, a[0]) for i, boxes in pred.items() for a in boxes if area(a[2]) and not any(b is not a and b[3] >= a[3] and cover(a[2], b[2]) >= 0.5 for b in boxes)]
+    assert any(not area(b[2]) for boxes in pred.values() for b in boxes)
     assert keys(folds.suppress_contained(p, 0.5)) == sorted(want)
 
 
+def test_boxes_without_area_go_alone_or_best(spark):
+    rows = [(1, 1, 0, 5, 5, 5, 9, 0.9), (2, 1, 0, 5, 5, 5, 9, 0.9), (2, 2, 0, 0, 0, 9, 9, 0.1)]
+    assert keys(folds.suppress_contained(spark.createDataFrame(rows, PRED), 0.5)) == [(2, 2)]
+
+
 @pytest.mark.parametrize("rule", ["model", "rules"])
 def test_match(data, rule):
     pred, gt, p, g = data
