@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boxmill.operators.ordering import placed
+
 
 def pair_check(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: (key, missing), missing being the side without it."""
@@ -22,9 +24,11 @@ def duplicates(rows: DataFrame, key: str, content: Column) -> DataFrame:
 
 
 def renumber(rows: DataFrame, group: str, time: str, tie: str) -> DataFrame:
-    """Numbers each group's rows from 1 in order of time: adds number and new_name. Rows without a time are left out."""
-    n = F.row_number().over(W.partitionBy(group).orderBy(time, tie))
-    return rows.where(F.col(time).isNotNull()).withColumn("number", n).withColumn("new_name", F.format_string("%s_%04d", F.col(group), F.col("number")))
+    """Numbers each group's rows from 1 in order of time: adds number and new_name. Rows without a time are left out. What is
+    ordered in one task is a group's rows of a day."""
+    numbered = placed(rows.where(F.col(time).isNotNull()), [group], F.to_date(time), time, tie)
+    numbered = numbered.withColumn("number", F.col("place").cast("int")).drop("place", "in_group")
+    return numbered.withColumn("new_name", F.format_string("%s_%04d", F.col(group), F.col("number")))
 
 
 def draw(key: Column, seed: int = 43) -> Column:
@@ -32,23 +36,43 @@ def draw(key: Column, seed: int = 43) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def sample_rank(group: str, key: str, seed: int = 43) -> Column:
-    return F.row_number().over(W.partitionBy(group).orderBy(draw(F.col(key), seed), key))
+def sampled(rows: DataFrame, group: str, key: str, seed: int = 43) -> DataFrame:
+    """rows with place and in_group: each row's place in its group's sampling order. The digest's first three digits are the
+    bucket, so a group is dealt to 4,096 tasks whatever its size."""
+    by = draw(F.col(key), seed)
+    return placed(rows.withColumn("drawn_", by), [group], F.substring("drawn_", 1, 3), "drawn_", key).drop("drawn_")
 
 
 def cap_per_group(rows: DataFrame, group: str, key: str, n: int, seed: int = 43) -> DataFrame:
     """At most n sampled rows of each group; Spark keeps n rows of each task and group before it shuffles."""
-    return rows.withColumn("rank_", sample_rank(group, key, seed)).where(F.col("rank_") <= n).drop("rank_")
+    rank = F.row_number().over(W.partitionBy(group).orderBy(draw(F.col(key), seed), key))
+    return rows.withColumn("rank_", rank).where(F.col("rank_") <= n).drop("rank_")
 
 
 def split(rows: DataFrame, group: str, key: str, share: float, least: int = 0, seed: int = 43) -> DataFrame:
     """Adds in_first: whether a row is among the first int(share * n) sampled ones, or `least`, of the n of its group."""
-    n = F.count("*").over(W.partitionBy(group))
-    quota = F.greatest(F.lit(least), F.floor(n * F.lit(share)))
-    return rows.withColumn("in_first", sample_rank(group, key, seed) <= quota)
+    quota = F.greatest(F.lit(least), F.floor(F.col("in_group") * F.lit(share)))
+    return sampled(rows, group, key, seed).withColumn("in_first", F.col("place") <= quota).drop("place", "in_group")
 
 
 def quota_sample(rows: DataFrame, group: str, key: str, quotas: dict[str, int], seed: int = 43) -> DataFrame:
     """As many sampled rows of each group as its quota has; groups without one give none."""
     limit = F.coalesce(*[F.when(F.col(group) == g, F.lit(n)) for g, n in quotas.items()], F.lit(0))
-    return rows.where(limit > 0).withColumn("rank_", sample_rank(group, key, seed)).where(F.col("rank_") <= limit).drop("rank_")
+    return sampled(rows.where(limit > 0), group, key, seed).where(F.col("place") <= limit).drop("place", "in_group")
+
+
+def thinned(rows: DataFrame, thin: Column, key: str, share: float, seed: int = 43) -> DataFrame:
+    """All rows that aren't `thin`, and of the thin ones as many sampled ones as `share` of all rows, thin or not, are."""
+    marked = rows.withColumns({"thin_": thin, "all_": F.lit(0)})
+    total = marked.groupBy("all_").agg(F.count("*").alias("total_"))
+    kept = sampled(marked.join(F.broadcast(total), "all_"), "thin_", key, seed)  # one row
+    return kept.where(~F.col("thin_") | (F.col("place") <= F.floor(F.col("total_") * F.lit(share)))).drop("thin_", "all_", "total_", "place", "in_group")
+
+
+def cycled(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """n rows (slot 0 to n - 1) of each group: its first n by key, from the start again where it has fewer."""
+    rank = F.row_number().over(W.partitionBy(group).orderBy(key))
+    firsts = rows.withColumn("rank_", rank).where(F.col("rank_") <= n)  # Spark keeps n rows of each task and group before it shuffles
+    held = F.count("*").over(W.partitionBy(group))
+    slots = F.sequence(F.col("rank_") - 1, F.lit(n - 1), F.col("held_").cast("int"))
+    return firsts.withColumn("held_", held).withColumn("slot", F.explode(slots)).drop("rank_", "held_")

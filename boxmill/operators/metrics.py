@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import ratio
+from boxmill.operators.ordering import placed
 
 
 def counts(outcomes: DataFrame, *keys: str, total: int | None = None) -> DataFrame:
@@ -36,12 +37,14 @@ def best(rows: DataFrame, keys: list[str], value: Column, ties: list[str]) -> Da
 
 def canvas_pages(boxes: DataFrame, per_page: int = 100, per_row: int = 10) -> DataFrame:
     """Places crops of each class on pages in rows, best score first: the cell, its row's height, its column's width and where
-    the row begins. Input: (image_id, fp_idx, cls, score, w, h)."""
-    place = F.row_number().over(W.partitionBy("cls").orderBy(F.col("score").desc(), "image_id", "fp_idx")).cast("long") - 1
-    rows = boxes.withColumn("place", place)
+    the row begins. Input: (image_id, fp_idx, cls, score, w, h), scores from 0 to 1; what is ordered in one task is a class's thousandth of them."""
+    by_score = placed(boxes, ["cls"], F.floor(F.col("score") * -1000), F.col("score").desc(), "image_id", "fp_idx")
+    rows = by_score.withColumn("place", F.col("place") - 1).drop("in_group")
     rows = rows.withColumns({"page": F.floor(F.col("place") / per_page), "prow": F.floor(F.col("place") % per_page / per_row), "pcol": F.col("place") % per_row})
-    rows = rows.withColumns({"row_height": F.max("h").over(W.partitionBy("cls", "page", "prow")), "col_width": F.max("w").over(W.partitionBy("cls", "page", "pcol"))})
-    heights = rows.groupBy("cls", "page", "prow").agg(F.max("h").alias("height"))
-    above = W.partitionBy("cls", "page").orderBy("prow").rowsBetween(W.unboundedPreceding, -1)
-    heights = heights.select("cls", "page", "prow", F.coalesce(F.sum("height").over(above), F.lit(0)).alias("y"))
-    return rows.join(heights, ["cls", "page", "prow"]).select("cls", "page", "prow", "pcol", "image_id", "fp_idx", "row_height", "col_width", "y")
+    # A page is a row of at most per_page cells.
+    pages = rows.groupBy("cls", "page").agg(F.collect_list(F.struct("prow", "pcol", "image_id", "fp_idx", "h", "w")).alias("cells"))
+    largest = lambda n, line, side: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_max(F.transform(F.filter("cells", lambda c: c[line] == i), lambda c: c[side])))
+    pages = pages.withColumns({"tall": largest(per_page // per_row, "prow", "h"), "wide": largest(per_row, "pcol", "w")})
+    cells = pages.select("cls", "page", "tall", "wide", F.explode("cells").alias("c")).select("cls", "page", "c.prow", "c.pcol", "c.image_id", "c.fp_idx", "tall", "wide")
+    above = F.aggregate(F.slice("tall", F.lit(1), F.col("prow").cast("int")), F.lit(0).cast("long"), lambda y, h: y + h)
+    return cells.select("cls", "page", "prow", "pcol", "image_id", "fp_idx", F.get("tall", F.col("prow").cast("int")).alias("row_height"), F.get("wide", F.col("pcol").cast("int")).alias("col_width"), above.alias("y"))

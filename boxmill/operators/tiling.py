@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.boxes import Corners, clipped, containment, label_from_corners, padded_to_multiple, padded_to_stride, shifted
+from boxmill.functions.boxes import Corners, clipped, containment, corners, intersection, label_from_corners, padded_to_multiple, padded_to_stride, shifted
 
 TILE, STRIDE = 640, 440
 
@@ -56,3 +56,21 @@ def tile_labels(boxes: DataFrame, tile: int = TILE) -> DataFrame:
     edge = F.lit(tile).cast("long")
     b = label_from_corners(clipped(own, edge, edge), F.lit(float(tile)), F.lit(float(tile)))
     return boxes.withColumns({"xc": b.xc, "yc": b.yc, "w": b.w, "h": b.h})
+
+
+def meeting_pairs(a: DataFrame, b: DataFrame, keys: list[str], cell: int = 256) -> DataFrame:
+    """Columns of `a` and `b` under these aliases, for all pairs with equal keys whose boxes (x1, y1, x2, y2) have area in common.
+
+    Boxes are written out once for each cell of a grid that they touch and joined on keys and cell, so what meets on one join key are the boxes around one
+    place, not all of an image. A pair is counted in the first cell that both touch, the one of the larger x1 and y1.
+    """
+    def dealt(rows: DataFrame) -> DataFrame:
+        first, last = (lambda c: F.floor(F.col(c) / cell)), (lambda c: F.ceil(F.col(c) / cell) - 1)
+        touched = lambda low, high: F.when(F.col(low) < F.col(high), F.sequence(first(low), last(high)))
+        return rows.withColumn("cell_y", F.explode(touched("y1", "y2"))).withColumn("cell_x", F.explode(touched("x1", "x2")))
+
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "cell_x", "cell_y"]]
+    pairs = dealt(a).alias("a").join(dealt(b).alias("b"), same)
+    ax, bx = corners("a."), corners("b.")
+    counted = (F.floor(F.greatest(ax.x1, bx.x1) / cell) == F.col("a.cell_x")) & (F.floor(F.greatest(ax.y1, bx.y1) / cell) == F.col("a.cell_y"))
+    return pairs.where(counted & (intersection(ax, bx) > 0))

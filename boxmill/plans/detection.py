@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxmill.functions.boxes import ratio
-from boxmill.operators import folds, metrics
+from boxmill.functions.boxes import corners, iou, ratio
+from boxmill.operators import folds, metrics, tiling
 from boxmill.plans.fixture import DENSE, gt_boxes, images, pred_boxes, sql
 from boxmill.plans.registry import query
 
@@ -232,11 +232,9 @@ def fp_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH RECURSIVE {sql()}, {_TWO_MODELS} SELECT a.image_id, a.fp_idx, b.fp_idx AS other_idx, round({_iou('a', 'b')}, 9) AS iou FROM fp_a a JOIN fp_b b ON a.image_id = b.image_id AND a.cls = b.cls WHERE {_iou('a', 'b')} >= 0.5",
 )
 def fp_common_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from boxmill.functions.boxes import corners, iou
-
     a, b = _two_models(spark, sf_dir)
-    pairs = a.alias("a").join(b.alias("b"), ["image_id", "cls"]).withColumn("iou", iou(corners("a."), corners("b."))).where("iou >= 0.5")
-    return pairs.select("image_id", F.col("a.fp_idx").alias("fp_idx"), F.col("b.fp_idx").alias("other_idx"), F.round("iou", 9).alias("iou"))
+    pairs = tiling.meeting_pairs(a, b, ["image_id", "cls"]).withColumn("iou", iou(corners("a."), corners("b."))).where("iou >= 0.5")
+    return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.fp_idx").alias("fp_idx"), F.col("b.fp_idx").alias("other_idx"), F.round("iou", 9).alias("iou"))
 
 
 @query(

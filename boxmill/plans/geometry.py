@@ -44,14 +44,12 @@ def yolo_to_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "yolo_to_rect",
-    f"""WITH {sql()}, {_LABELS}, sized AS (
-  SELECT *, CAST(trunc((w + 1e-9) * {WIDTH}) AS INTEGER) AS rw, CAST(trunc((h + 1e-9) * {HEIGHT}) AS INTEGER) AS rh FROM labels
-)
-SELECT image_id, box_idx, cls, CAST(trunc((xc + 1e-9) * {WIDTH} - rw / 2.0::DOUBLE) AS INTEGER) AS x, CAST(trunc((yc + 1e-9) * {HEIGHT} - rh / 2.0::DOUBLE) AS INTEGER) AS y, rw AS w, rh AS h FROM sized""",
+    f"""WITH {sql()}, {_LABELS}, sized AS (SELECT *, CAST(trunc(w * {WIDTH}) AS INTEGER) AS rw, CAST(trunc(h * {HEIGHT}) AS INTEGER) AS rh FROM labels)
+SELECT image_id, box_idx, cls, CAST(trunc(xc * {WIDTH} - rw / 2.0::DOUBLE) AS INTEGER) AS x, CAST(trunc(yc * {HEIGHT} - rh / 2.0::DOUBLE) AS INTEGER) AS y, rw AS w, rh AS h FROM sized""",
 )
 def yolo_to_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A billionth more than the share, so that whole pixels survive the division."""
-    b = B.rect_from_label(B.Label(*(c + 1e-9 for c in B.label())), F.lit(WIDTH), F.lit(HEIGHT))
+    """A share whose product falls short of a whole pixel loses that pixel, as it is defined."""
+    b = B.rect_from_label(B.label(), F.lit(WIDTH), F.lit(HEIGHT))
     return labels(spark, sf_dir).select("image_id", "box_idx", "cls", *[c.alias(n) for n, c in b._asdict().items()])
 
 
@@ -150,32 +148,34 @@ def crop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred_boxes(spark, sf_dir).select("image_id", "box_idx", *[c.alias(n) for n, c in b._asdict().items()]).where("x2 > x1 AND y2 > y1")
 
 
-_PAIRS = """SELECT p.image_id, p.box_idx AS pred_idx, g.box_idx AS gt_idx,
-  greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter,
-  (p.x2 - p.x1) * (p.y2 - p.y1) AS area_p, (g.x2 - g.x1) * (g.y2 - g.y1) AS area_g
-FROM pred_boxes p JOIN gt_boxes g ON p.image_id = g.image_id"""
+_PAIRS = """inters AS (
+  SELECT p.image_id, p.box_idx AS pred_idx, g.box_idx AS gt_idx, p.w * p.h AS area_p, g.w * g.h AS area_g,
+    (least(p.x2, g.x2) - greatest(p.x1, g.x1)) * (least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter
+  FROM preds p JOIN gts g ON p.image_id = g.image_id AND p.x1 < g.x2 AND g.x1 < p.x2 AND p.y1 < g.y2 AND g.y1 < p.y2
+)"""
+#: Written once and joined, so that no part of them is worked out for each pair.
+_SIDES = "preds AS MATERIALIZED (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM pred_boxes), gts AS MATERIALIZED (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM gt_boxes)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pred_boxes(spark, sf_dir).alias("p").join(gt_boxes(spark, sf_dir).alias("g"), "image_id")
+    return tiling.meeting_pairs(pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir), ["image_id"])
 
 
-@query("pairwise_iou", f"WITH {sql()}, pairs AS ({_PAIRS}) SELECT image_id, pred_idx, gt_idx, round(inter::DOUBLE / (area_p + area_g - inter), 9) AS iou FROM pairs WHERE inter > 0")
+@query("pairwise_iou", f"WITH {sql()}, {_SIDES}, {_PAIRS} SELECT image_id, pred_idx, gt_idx, round(inter::DOUBLE / (area_p + area_g - inter), 9) AS iou FROM inters")
 def pairwise_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IoU of all pairs of an image that overlap; the join is on the image, the geometry a condition on top."""
-    p, g = B.corners("p."), B.corners("g.")
-    pairs = _pairs(spark, sf_dir).where(B.intersection(p, g) > 0)
-    return pairs.select("image_id", F.col("p.box_idx").alias("pred_idx"), F.col("g.box_idx").alias("gt_idx"), F.round(B.iou(p, g), 9).alias("iou"))
+    """IoU of all pairs of an image that overlap."""
+    p, g = B.corners("a."), B.corners("b.")
+    return _pairs(spark, sf_dir).select(F.col("a.image_id").alias("image_id"), F.col("a.box_idx").alias("pred_idx"), F.col("b.box_idx").alias("gt_idx"), F.round(B.iou(p, g), 9).alias("iou"))
 
 
 @query(
     "containment_ratio",
-    f"WITH {sql()}, pairs AS ({_PAIRS}) SELECT image_id, pred_idx, gt_idx, round(inter::DOUBLE / area_p, 9) AS pred_in_gt, round(inter::DOUBLE / area_g, 9) AS gt_in_pred FROM pairs WHERE inter > 0",
+    f"WITH {sql()}, {_SIDES}, {_PAIRS} SELECT image_id, pred_idx, gt_idx, round(inter::DOUBLE / area_p, 9) AS pred_in_gt, round(inter::DOUBLE / area_g, 9) AS gt_in_pred FROM inters",
 )
 def containment_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, g = B.corners("p."), B.corners("g.")
-    pairs = _pairs(spark, sf_dir).where(B.intersection(p, g) > 0)
-    return pairs.select("image_id", F.col("p.box_idx").alias("pred_idx"), F.col("g.box_idx").alias("gt_idx"), F.round(B.containment(p, g), 9).alias("pred_in_gt"), F.round(B.containment(g, p), 9).alias("gt_in_pred"))
+    p, g = B.corners("a."), B.corners("b.")
+    shares = [F.round(B.containment(p, g), 9).alias("pred_in_gt"), F.round(B.containment(g, p), 9).alias("gt_in_pred")]
+    return _pairs(spark, sf_dir).select(F.col("a.image_id").alias("image_id"), F.col("a.box_idx").alias("pred_idx"), F.col("b.box_idx").alias("gt_idx"), *shares)
 
 
 #: Image sizes that follow the part.

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import ratio
-from boxmill.operators import folds, rules, statistics
+from boxmill.operators import folds, rules, statistics, tiling
 from boxmill.plans.fixture import DENSE, boxes, gt_boxes, pred_boxes, sql
 from boxmill.plans.fixture import table as read
 from boxmill.plans.registry import query
@@ -204,9 +204,7 @@ def filterset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) GROUP BY a.image_id""",
 )
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many boxes of an image overlap; an image's boxes are few."""
-    from boxmill.functions.boxes import corners, intersection
-
+    """How many boxes of an image overlap."""
     a = gt_boxes(spark, sf_dir, DENSE)
-    pairs = a.alias("a").join(a.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.box_idx") < F.col("b.box_idx")))
-    return pairs.where(intersection(corners("a."), corners("b.")) > 0).groupBy(F.col("a.image_id").alias("image_id")).agg(F.count("*").alias("n_pairs"))
+    pairs = tiling.meeting_pairs(a, a, ["image_id"]).where(F.col("a.box_idx") < F.col("b.box_idx"))
+    return pairs.groupBy(F.col("a.image_id").alias("image_id")).agg(F.count("*").alias("n_pairs"))
