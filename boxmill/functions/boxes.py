@@ -149,3 +149,8 @@ def line_length(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 def line_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.degrees(F.atan2(y2 - y1, x2 - x1))
+
+
+def line_middle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The height of a line's midpoint."""
+    return (y1 + y2) / F.lit(2.0)

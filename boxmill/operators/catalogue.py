@@ -76,3 +76,13 @@ def cycled(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     held = F.count("*").over(W.partitionBy(group))
     slots = F.sequence(F.col("rank_") - 1, F.lit(n - 1), F.col("held_").cast("int"))
     return firsts.withColumn("held_", held).withColumn("slot", F.explode(slots)).drop("rank_", "held_")
+
+
+def crop_entries(crops: DataFrame, results: DataFrame, names: dict[int, str]) -> DataFrame:
+    """(filename, stem, box_index, class_name, x1, y1, x2, y2) of crops named stem_index.jpg, from results (stem, entries) by the index, counted
+    from 0. Files of other names are left out, and so are crops without an entry."""
+    name = r"^(.*)_(\d+)\.jpg$"
+    parsed = crops.where(F.col("filename").rlike(name)).select("filename", F.regexp_extract("filename", name, 1).alias("stem"), F.regexp_extract("filename", name, 2).cast("int").alias("box_index"))
+    found = parsed.join(results, "stem").select("filename", "stem", "box_index", F.get("entries", F.col("box_index")).alias("e")).where("e IS NOT NULL")
+    class_name = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("e.cls").cast("int")], F.format_string("Unknown(%d)", F.col("e.cls")))
+    return found.select("filename", "stem", "box_index", class_name.alias("class_name"), *[f"e.{c}" for c in ("x1", "y1", "x2", "y2")])

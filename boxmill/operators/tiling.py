@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.boxes import Corners, clipped, containment, corners, intersection, label_from_corners, padded_to_multiple, padded_to_stride, shifted
+from boxmill.functions.boxes import Corners, clipped, containment, corners, intersection, label_from_corners, padded_to_multiple, padded_to_stride, rect_from_corners, shifted
 
 TILE, STRIDE = 640, 440
 
@@ -58,6 +58,14 @@ def tile_labels(boxes: DataFrame, tile: int = TILE) -> DataFrame:
     return boxes.withColumns({"xc": b.xc, "yc": b.yc, "w": b.w, "h": b.h})
 
 
+def tile_rectangles(boxes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Clips the boxes of boxes_in_tiles() to their tile as rectangles of whole pixels in its coordinates: adds x, y, w, h. Those without area go."""
+    own = shifted(Corners(*map(F.col, ("x1", "y1", "x2", "y2"))), F.col("tile_x"), F.col("tile_y"))
+    edge = F.lit(tile).cast("long")
+    r = rect_from_corners(clipped(own, edge, edge))
+    return boxes.withColumns(r._asdict()).where("w > 0 AND h > 0")
+
+
 def meeting_pairs(a: DataFrame, b: DataFrame, keys: list[str], cell: int = 256) -> DataFrame:
     """Columns of `a` and `b` under these aliases, for all pairs with equal keys whose boxes (x1, y1, x2, y2) have area in common.
 

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from boxmill.plans import catalogue, detection, geometry, statistics  # noqa: E402, F401
+from boxmill.plans import catalogue, detection, geometry, reports, statistics  # noqa: E402, F401
