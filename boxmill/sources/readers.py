@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxmill.operators.ordering import placed
 from boxmill.sources import schemas
 
 
@@ -21,22 +26,50 @@ def folder(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def manifest(spark: SparkSession, root: str, count_lines: bool = False) -> DataFrame:
-    """(folder, stem, extension, path, length, n_lines) of all files in folders below root.
+_FOUND = "path string, length long"
 
-    Names and lengths come from the file system's own listing, since Spark's readers leave out empty files, and an empty
-    label file (a picture without objects) is not a missing one. Lines are counted by Spark, 0 in empty files.
-    """
+
+def _listed(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """(path, length) of the files below root. Its folders are listed by tasks, one each; where no task can read the file system, by the driver."""
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, found, rows = fs.makeQualified(top).toString().rstrip("/"), fs.listFiles(top, True), []
+    files, folders = [], []
+    for status in fs.listStatus(top):
+        (folders if status.isDirectory() else files).append((status.getPath().toString(), status.getLen()))
+    here = spark.createDataFrame(files, _FOUND)
+    if not recursive or not folders:
+        return here
+    try:
+        pafs.FileSystem.from_uri(folders[0][0])
+    except (pa.ArrowException, OSError, ValueError):
+        return spark.createDataFrame([(x.getPath().toString(), x.getLen()) for x in _walked(fs.listFiles(top, True))], _FOUND)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder_ in batch.column(0).to_pylist():
+                system, base = pafs.FileSystem.from_uri(folder_)
+                found = [x for x in system.get_file_info(pafs.FileSelector(base, recursive=True)) if x.is_file]
+                uri = folder_[: len(folder_) - len(base)]
+                yield pa.RecordBatch.from_arrays([pa.array([uri + x.path for x in found], pa.string()), pa.array([x.size for x in found], pa.int64())], ["path", "length"])
+
+    # The order of names is kept apart from the tasks: folders are dealt out evenly.
+    dealt = spark.createDataFrame([(x,) for x, _ in folders], "folder string").repartition(min(len(folders), 1000))
+    return here.unionByName(dealt.mapInArrow(below, _FOUND))
+
+
+def _walked(found) -> Iterator:
     while found.hasNext():
-        status = found.next()
-        path = status.getPath().toString()
-        if "/" in path[len(base) + 1 :]:
-            rows.append((path, status.getLen()))
-    files = spark.createDataFrame(rows, "path string, length long")
+        yield found.next()
+
+
+def manifest(spark: SparkSession, root: str, count_lines: bool = False, recursive: bool = True) -> DataFrame:
+    """(folder, stem, extension, path, length, n_lines) of all files in root and, unless `recursive` is false, in the folders below it.
+
+    Names and lengths come from the file system's own listing, since Spark's readers leave out empty files, and an empty
+    label file (a picture without objects) is not a missing one. Lines are counted by Spark, 0 in empty files.
+    """
+    files = _listed(spark, root, recursive)
     files = files.select(folder(F.col("path")).alias("folder"), stem(F.col("path")).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("extension"), "path", "length")
     if not count_lines:
         return files.withColumn("n_lines", F.lit(None).cast("long"))
@@ -44,6 +77,17 @@ def manifest(spark: SparkSession, root: str, count_lines: bool = False) -> DataF
     return files.join(lines, "path", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0))).select(*files.columns, "n_lines")
 
 
+def flat_listing(spark: SparkSession, root: str) -> DataFrame:
+    """The files directly in root, in order of their names."""
+    return manifest(spark, root, recursive=False).orderBy("stem", "extension")
+
+
+def lines_by_prefix(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    """(n_files, n_lines): the files directly in root whose names begin with prefix, and their lines, empty files included."""
+    files = manifest(spark, root, count_lines=True, recursive=False).where(F.col("stem").startswith(prefix))
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
+
+
 def images_in(files: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     return files.where(F.col("extension").isin(*extensions))
 
@@ -55,6 +99,12 @@ def lines_of(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
     return text.select(F.col("_metadata.file_path").alias("path"), F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of large files, which Spark reads in pieces: lines are numbered within a piece, after the lines of the pieces before it."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    return placed(text, ["path"], F.col("piece"), "at").select("path", F.col("place").alias("line_no"), "line")
+
+
 def label_lines(spark: SparkSession, path: str, strict: bool = True, recursive: bool = False) -> DataFrame:
     """(path, stem, line_no, cls, xc, yc, w, h) of label files; strict fails on lines that aren't five numbers, else they are left out."""
     rows = lines_of(spark, path, recursive).withColumn("t", F.split(F.trim("line"), r"\s+"))
@@ -75,12 +125,12 @@ def tuple_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def rectangle_dump(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, rect_idx, x, y, w, h): a list of rectangles for each line, a line for each picture."""
-    rows = lines_of(spark, path).select("line_no", F.posexplode(F.from_json("line", "array<array<int>>")).alias("rect_idx", "r"))
+    rows = numbered_lines(spark, path).select("line_no", F.posexplode(F.from_json("line", "array<array<int>>")).alias("rect_idx", "r"))
     return rows.select("line_no", "rect_idx", *[F.col("r")[i].alias(n) for i, n in enumerate("xywh")])
 
 
 def value_dump(spark: SparkSession, path: str) -> DataFrame:
-    return lines_of(spark, path).select("line_no", F.explode(F.from_json("line", "array<double>")).alias("value"))
+    return numbered_lines(spark, path).select("line_no", F.explode(F.from_json("line", "array<double>")).alias("value"))
 
 
 def metrics_files(spark: SparkSession, path: str) -> DataFrame:
@@ -115,6 +165,67 @@ def curves(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(folder(F.col("_metadata.file_path")).alias("run"), *[F.col(f"`{a}`").cast(kind(a)).alias(b) for a, b in schemas.CURVE.items()])
 
 
+def _table(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Columns of CSV files by the names in their header, as (name, type); lines without any value are left out."""
+    raw = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
+    own = [F.col(f"`{c}`").cast(kind).alias(name) for c, (name, kind) in columns.items()]
+    return raw.select(*own).dropna("all")
+
+
+def final_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(prefix, tp, fp, fn, precision, recall) of final metrics."""
+    counts = {c: (c.lower(), "int") for c in ("TP", "FP", "FN")}
+    return _table(spark, path, {"prefix": ("prefix", "string"), **counts, "precision": ("precision", "double"), "recall": ("recall", "double")})
+
+
+def filter_ablation(spark: SparkSession, path: str, species: tuple[str, ...] = schemas.SPECIES) -> DataFrame:
+    """(variant, species, p, fp, tp) of a table of filter variants; a species for which a variant reports nothing is left out."""
+    kinds = {"p": "double", "FP": "int", "TP": "int"}
+    wide = _table(spark, path, {"_c0": ("variant", "string"), **{f"{s}_{k}": (f"{s}_{k}", kind) for s in species for k, kind in kinds.items()}})
+    each = [F.struct(F.lit(s).alias("species"), *[F.col(f"{s}_{k}").alias(k.lower()) for k in ("p", "FP", "TP")]) for s in species]
+    rows = wide.select("variant", F.explode(F.array(*each)).alias("r")).select("variant", "r.*")
+    return rows.where(F.coalesce("p", F.col("fp").cast("double"), F.col("tp").cast("double")).isNotNull())
+
+
+def mask_ablation(spark: SparkSession, path: str, species: tuple[str, ...] = schemas.SPECIES) -> DataFrame:
+    """(mask, alignment, shift, species, fp, tp) of a table of masks; a mask's name can occur in several rows."""
+    own = {c: (c, "string") for c in ("mask", "alignment", "shift")}
+    wide = _table(spark, path, {**own, **{f"{k} {s}": (f"{s}_{k}", "int") for s in species for k in ("FP", "TP")}})
+    each = [F.struct(F.lit(s).alias("species"), F.col(f"{s}_FP").alias("fp"), F.col(f"{s}_TP").alias("tp")) for s in species]
+    return wide.select(*own, F.explode(F.array(*each)).alias("r")).select(*own, "r.*")
+
+
+def arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(path, shape, data) of files of one array each, their numbers as doubles, row by row."""
+
+    @F.pandas_udf("shape array<int>, data array<double>")
+    def load(content: pd.Series) -> pd.DataFrame:
+        found = [np.load(io.BytesIO(c), allow_pickle=False) for c in content]
+        return pd.DataFrame({"shape": [list(a.shape) for a in found], "data": [a.astype("float64").ravel() for a in found]})
+
+    return spark.read.format("binaryFile").load(path).select("path", load("content").alias("a")).select("path", "a.*")
+
+
+def pictures(spark: SparkSession, path: str, grey: bool = False) -> DataFrame:
+    """(path, height, width, content) of pictures that Spark can decode: blue, green and red bytes row by row, or grey ones. Files that are none are left out."""
+    rows = spark.read.format("image").option("dropInvalid", "true").load(path)
+    rows = rows.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+
+    @F.pandas_udf("binary")
+    def levels(data: pd.Series, channels: pd.Series) -> pd.Series:
+        def one(d: bytes, n: int) -> bytes:
+            x = np.frombuffer(d, np.uint8).reshape(-1, n)
+            if n == 1 and not grey:
+                return np.repeat(x, 3, axis=1).tobytes()
+            if n > 1 and grey:
+                return np.round(x[:, :3] @ np.array(schemas.GREY)).astype(np.uint8).tobytes()
+            return x[:, :3].tobytes()
+
+        return pd.Series([one(d, n) for d, n in zip(data, channels, strict=True)])
+
+    return rows.select("path", "height", "width", levels("data", "channels").alias("content"))
+
+
 def flat_yaml(spark: SparkSession, path: str) -> DataFrame:
     """(path, key, value) of files with a key and a value on each line."""
     rows = lines_of(spark, path).where("line RLIKE '^[^#\\\\s][^:]*:'")

@@ -18,3 +18,6 @@ CURVE = {
     "metrics/precision(B)": "precision", "metrics/recall(B)": "recall", "metrics/mAP50(B)": "map50", "metrics/mAP50-95(B)": "map50_95",
     "val/box_loss": "val_box_loss", "val/cls_loss": "val_cls_loss", "val/dfl_loss": "val_dfl_loss", "lr/pg0": "lr_pg0", "lr/pg1": "lr_pg1", "lr/pg2": "lr_pg2",
 }
+#: The species of ablation tables, and the weights of blue, green and red in a grey level.
+SPECIES = ("BRAIIM", "LIRIBO", "TRIAVA")
+GREY = (0.114, 0.587, 0.299)

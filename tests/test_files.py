@@ -24,9 +24,12 @@ def tree(tmp_path):
 def test_manifest_has_empty_files(spark, tree):
     files = readers.manifest(spark, tree, count_lines=True)
     got = sorted((r.folder, r.stem, r.extension, r.n_lines) for r in files.collect())
-    assert got == [("a", "one", "txt", 2), ("a", "two", "txt", 0), ("b", "one", "jpg", 1), ("b", "three", "txt", 1)]
+    assert got == [("a", "one", "txt", 2), ("a", "two", "txt", 0), ("b", "one", "jpg", 1), ("b", "three", "txt", 1), ("labels", "top", "txt", 1)]
     images = readers.images_in(files)
-    assert sorted((r.stem, r.missing) for r in pair_check(images, files.where("extension = 'txt'"), "stem").collect()) == [("three", "left"), ("two", "left")]
+    assert sorted((r.stem, r.missing) for r in pair_check(images, files.where("extension = 'txt'"), "stem").collect()) == [("three", "left"), ("top", "left"), ("two", "left")]
+    assert [(r.stem, r.length) for r in readers.flat_listing(spark, tree).collect()] == [("top", 1)]
+    assert readers.manifest(spark, tree, recursive=False).count() == 1 and readers.flat_listing(spark, tree + "/a").count() == 2
+    assert readers.lines_by_prefix(spark, tree + "/a", "o").collect() == [(1, 2)] and readers.lines_by_prefix(spark, tree + "/a", "").collect() == [(2, 2)]
 
 
 def test_labels_strict_and_tolerant(spark, tree, tmp_path):
@@ -125,3 +128,66 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     run()
     run()
     assert sorted((r.stem, r.line_no, r.cls) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", 1, 0), ("b", 1, 1), ("b", 2, 2)]
+
+
+def test_result_tables(spark, tmp_path):
+    (tmp_path / "final.csv").write_text("prefix,TP,FP,FN,precision,recall\n\n\nA,3,1,2,0.75,0.6\nB,0,0,1,,0.0\n")
+    got = readers.final_metrics(spark, str(tmp_path / "final.csv")).orderBy("prefix").collect()
+    assert [tuple(r) for r in got] == [("A", 3, 1, 2, 0.75, 0.6), ("B", 0, 0, 1, None, 0.0)]
+    (tmp_path / "filters.csv").write_text(",A_p,A_FP,A_TP,B_p,B_FP,B_TP\nbase,0.5,1,1,0.9,1,9\nlarger,0.6,,,,,\n")
+    got = readers.filter_ablation(spark, str(tmp_path / "filters.csv"), ("A", "B")).orderBy("variant", "species").collect()
+    assert [tuple(r) for r in got] == [("base", "A", 0.5, 1, 1), ("base", "B", 0.9, 1, 9), ("larger", "A", 0.6, None, None)]
+    (tmp_path / "masks.csv").write_text("mask,alignment,shift,FP A,FP B,TP A,TP B\nm,no,no,1,2,3,4\nm,yes,no,5,6,7,8\n")
+    got = readers.mask_ablation(spark, str(tmp_path / "masks.csv"), ("A", "B")).orderBy("fp").collect()
+    assert [tuple(r) for r in got] == [("m", "no", "no", "A", 1, 3), ("m", "no", "no", "B", 2, 4), ("m", "yes", "no", "A", 5, 7), ("m", "yes", "no", "B", 6, 8)]
+
+
+def test_lines_of_a_file_in_pieces(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("\n".join(f"[{i}, {i + 0.5}]" for i in range(5000)) + "\n")
+    (tmp_path / "e.txt").write_text("[7]\n\n[8]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path))
+        lines = sorted((r.path[-5:], r.line_no, r.line) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lines == [("d.txt", i + 1, f"[{i}, {i + 0.5}]") for i in range(5000)] + [("e.txt", 1, "[7]"), ("e.txt", 2, ""), ("e.txt", 3, "[8]")]
+
+
+def test_arrays_and_pictures(spark, tmp_path):
+    import zlib
+
+    rows = spark.createDataFrame([("c", [2, 3], [1.0, 2.0, 3.0, 4.0, 5.0, 6.5]), ("e", [0], [])], "image_id string, shape array<int>, data array<double>")
+    writers.write_files(writers.array_files(rows), str(tmp_path / "arrays"), ".npy")
+    assert np.array_equal(np.load(tmp_path / "arrays" / "c.npy"), [[1, 2, 3], [4, 5, 6.5]])
+    assert sorted((r.path[-5:], r.shape, r.data) for r in readers.arrays(spark, str(tmp_path / "arrays")).collect()) == [("c.npy", [2, 3], [1, 2, 3, 4, 5, 6.5]), ("e.npy", [0], [])]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    pixels_ = b"\0" + bytes([255, 0, 0, 0, 255, 0]) + b"\0" + bytes([0, 0, 255, 10, 10, 10])  # red, green; blue, grey
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels_)) + chunk(b"IEND", b""))
+    (tmp_path / "p" / "b.png").write_bytes(b"no picture")
+    (r,) = readers.pictures(spark, str(tmp_path / "p")).collect()
+    assert (r.height, r.width, list(r.content)) == (2, 2, [0, 0, 255, 0, 255, 0, 255, 0, 0, 10, 10, 10])
+    assert list(readers.pictures(spark, str(tmp_path / "p"), grey=True).first().content) == [76, 150, 29, 10]
+
+
+def test_results_splits_and_new_versions(spark, tmp_path):
+    from boxmill.operators import folds
+
+    box = "image_id long, box_idx long, cls long, x1 long, y1 long, x2 long, y2 long"
+    pred = spark.createDataFrame([(1, 1, 0, 0, 0, 10, 10, 0.9), (1, 2, 1, 50, 50, 60, 60, 0.8), (2, 1, 0, 0, 0, 5, 5, 0.7)], box + ", score double")
+    gt = spark.createDataFrame([(1, 1, 0, 0, 0, 10, 10), (3, 1, 2, 1, 1, 2, 2)], box)
+    lines = writers.results_json(folds.outcomes(folds.per_image(pred, gt), folds.fits_model(0.5, 0.9)))
+    got = {d["filename"]: d for d in map(json.loads, (r.value for r in lines.collect()))}
+    assert got["1.jpg"] == {"filename": "1.jpg", "true_positives": {"boxes": [[0, 0, 10, 10]], "classes": [0]}, "false_positives": {"boxes": [[50, 50, 60, 60]], "classes": [1], "scores": [0.8]}, "false_negatives": {"boxes": [], "classes": []}}
+    assert got["3.jpg"]["false_negatives"] == {"boxes": [[1, 1, 2, 2]], "classes": [2]} and len(got) == 3
+    split = spark.createDataFrame([("gnats", "b", 2), ("gnats", "a", None), ("flies", "c", 0)], "cls string, stem string, n_lines int")
+    assert json.loads(writers.split_json(split).first().value) == {"flies": {"c": 0}, "gnats": {"a": None, "b": 2}}
+    labels = spark.createDataFrame([(1, 1, 0, 0.5, 0.5, 0.1, 0.1), (1, 2, 3, 0.25, 0.5, 0.1, 0.1), (2, 1, 0, 0.5, 0.5, 0.1, 0.1)], "image_id long, box_idx long, cls long, xc double, yc double, w double, h double")
+    names = spark.createDataFrame([(1,), (2,)], "image_id long")
+    version = writers.without_lines(labels, names, spark.createDataFrame([(1, 1), (2, 1), (2, 9)], "image_id long, box_idx long"))
+    writers.write_files(version, str(tmp_path / "v2"))
+    assert (tmp_path / "v2" / "1.txt").read_text() == "3 0.250000 0.500000 0.100000 0.100000\n" and (tmp_path / "v2" / "2.txt").read_text() == ""
+    writers.write_csv(split, str(tmp_path / "csv"))
+    writers.write_csv(split, str(tmp_path / "csv"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 3
