@@ -75,3 +75,22 @@ def test_text_in_several_languages_stays(spark):
     model = corpus_pipeline.lang_id.train(docs.where("doc_id < 100"))
     kept = corpus_pipeline.lang_id.known_languages(docs, model, corpus_pipeline.LEAST_SCORE)
     assert {r.doc_id for r in kept.collect()} == {*range(60), 100}
+
+
+def test_names_that_clash_and_other_columns_of_repeats(spark, tmp_path):
+    spark.createDataFrame([(0, "the item of four words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"w{i}" for i in range(30))
+    names = ["row", "row_", "others", "gone", "_row", "_gone", "_repeat", "leaked"]
+    rows = [(1, long, *"abcdefgh"), (1, long, *"zbcdefgh"), (2, long + " end", *"abcdefgh"), (None, "the item of four words", *"abcdefgh"), (4, "x y", *"abcdefgh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    once = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert once.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.row) for r in once.collect()) == [(0, "a"), (1, "a"), (4, "a")]
+    clean = corpus_pipeline.decontaminate(spark, once, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [1, 4]
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "the item of four words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
