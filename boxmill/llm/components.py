@@ -32,7 +32,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         parent = scratch.save(parent, "roots")
         before, rest = found, left
         if found is None:
-            found = parent.withColumnRenamed("parent", "component")  # the first round has all nodes
+            found = scratch.renamed(parent, "node", "component")  # the first round has all nodes
         else:
             roots = parent.select(F.col("node").alias("component"), "parent")
             found = scratch.save(found.join(roots, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "components")
@@ -40,4 +40,4 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         of_b = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         left = scratch.save(narrowed(left.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
         scratch.drop(before, rest)
-    return found if found is not None else left.toDF("node", "component")
+    return found if found is not None else scratch.renamed(left, "node", "component")

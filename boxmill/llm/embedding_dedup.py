@@ -270,6 +270,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = scratch.save(index.groupBy("leaf", "lo", "hi").applyInArrow(_compare, "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
+    scratch.keep(members, found, comps)
     out = members.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

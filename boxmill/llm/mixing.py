@@ -141,7 +141,9 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     keys = reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _KEYS])
     found = taken.alias("a").join(groups.alias("b"), keys).select(*[f"a.{k}" for k in _KEYS], "n", "in_all")
     found = found.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target")
-    return scratch, sizes, scratch.save(found, "taken")
+    found = scratch.save(found, "taken")
+    scratch.keep(sizes, found)
+    return scratch, sizes, found
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 17, block: int = BLOCK) -> DataFrame:

@@ -325,6 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = rest.join(label, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("component"), F.col("label").isNull().alias("alone"))
         at = scratch.save(at, "at")
     comps = components(reduce(DataFrame.union, links), scratch)
+    scratch.keep(members, comps)
     out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

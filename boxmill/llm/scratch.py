@@ -30,16 +30,27 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.saved: list[DataFrame] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count:03d}-{name}"
+        path = f"{self.base}/{len(self.saved) + 1:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.saved.append(out)
         return out
 
+    def renamed(self, table: DataFrame, *names: str) -> DataFrame:
+        """A table of :meth:`save` with other names for its columns."""
+        out = table.toDF(*names)
+        out._scratch_path = table._scratch_path
+        return out
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables of :meth:`save` but these, which what is returned reads."""
+        kept = {x._scratch_path for x in tables}
+        self.drop(*[x for x in self.saved if x._scratch_path not in kept])
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables of :meth:`save` that nothing lazy reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
