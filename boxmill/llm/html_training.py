@@ -76,8 +76,8 @@ def _main_piece(rnd: random.Random) -> str:
         words[0] = f"<a href='/x'>{words[0]}</a>"
         body = " ".join(words)
     return rnd.choices(
-        [f"<p>{body}</p>", f"<p><b>{body}<br>", f"<h2>{_sentence(rnd, 1, 6)[:-1]}</h2>", f"<ul><li>{_sentence(rnd)}</li><li>{_sentence(rnd, 1, 4)}</li></ul>", f"<blockquote>{body}</blockquote>", f"<table><tr><td>{_sentence(rnd, 1, 3)}</td><td>{_sentence(rnd, 1, 3)}</td></tr></table>", f"<pre>{body}</pre>", f"<figure><figcaption>{_sentence(rnd)}</figcaption></figure>", f"<div>{body}</div>"],
-        [60, 8, 8, 4, 3, 2, 2, 2, 4],
+        [f"<p>{body}</p>", f"<p><b>{body}<br>", f"<h2>{_sentence(rnd, 1, 6)[:-1]}</h2>", f"<ul><li>{_sentence(rnd)}</li><li>{_sentence(rnd, 1, 4)}</li></ul>", f"<blockquote>{body}</blockquote>", f"<table><tr><td>{_sentence(rnd, 1, 3)}</td><td>{_sentence(rnd, 1, 3)}</td></tr></table>", f"<pre>{body}</pre>", f"<figure><figcaption>{_sentence(rnd)}</figcaption></figure>", f"<div>{body}</div>", f"<dl><dt>{_sentence(rnd, 1, 3)[:-1]}</dt><dd>{_sentence(rnd, 1, 8)[:-1]}</dd></dl>"],
+        [60, 8, 8, 4, 3, 2, 2, 2, 4, 3],
     )[0]
 
 
