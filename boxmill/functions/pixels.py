@@ -67,3 +67,13 @@ def crop(content: pd.Series, height: pd.Series, width: pd.Series, x1: pd.Series,
         return np.frombuffer(d, np.uint8).reshape(h, w, 3)[max(b, 0) : max(e, 0), max(a, 0) : max(c, 0)].tobytes()
 
     return pd.Series([cut(*row) for row in zip(content, height, width, x1, y1, x2, y2, strict=True)])
+
+
+@F.pandas_udf(T.BooleanType())
+def is_upright(grey: pd.Series, outline: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """upright() as a column, from grey levels and an outline's mask (0 outside it), a byte for each pixel."""
+    def one(g: bytes, o: bytes, h: int, w: int) -> bool | None:
+        values, inside = (np.frombuffer(x, np.uint8).reshape(h, w) for x in (g, o))
+        return upright(values, inside > 0)
+
+    return pd.Series([None if g is None or o is None else one(g, o, h, w) for g, o, h, w in zip(grey, outline, height, width, strict=True)], dtype="object")

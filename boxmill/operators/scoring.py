@@ -16,7 +16,8 @@ def predict_tiles(tiles: DataFrame, load: Callable[[], Scorer], threshold: float
     """(image_id, box_idx, cls, x1, y1, x2, y2, score) of tiles (image_id, tile_id, tile_x, tile_y, content).
 
     `load` is called once for each task and gives the scorer. Boxes at or under the threshold are dropped where they are
-    made; the rest are moved to the image's coordinates. box_idx is a number within the image, by tile and order.
+    made; the rest are moved to the image's coordinates. box_idx is a number within the image: the tile's in its upper half, the
+    order within the tile in its lower one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,4 +31,4 @@ def predict_tiles(tiles: DataFrame, load: Callable[[], Scorer], threshold: float
             yield pd.DataFrame(rows, columns=["image_id", "tile_id", "k", "cls", "x1", "y1", "x2", "y2", "score"])
 
     made = tiles.select("image_id", "tile_id", "tile_x", "tile_y", "content").mapInPandas(run, "image_id long, tile_id long, k long, cls long, x1 double, y1 double, x2 double, y2 double, score double")
-    return made.withColumn("box_idx", F.col("tile_id") * 100_000 + F.col("k") + 1).select("image_id", "box_idx", "cls", "x1", "y1", "x2", "y2", "score")
+    return made.withColumn("box_idx", F.call_function("shiftleft", F.col("tile_id"), F.lit(32)) + F.col("k") + 1).select("image_id", "box_idx", "cls", "x1", "y1", "x2", "y2", "score")

@@ -48,7 +48,7 @@ def count_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("area_percentiles", f"WITH {sql()}, {_AREAS} SELECT cls, round(quantile_cont(area, 0.05)::DOUBLE, 6) AS p05, round(quantile_cont(area, 0.95)::DOUBLE, 6) AS p95, max(area) AS max FROM areas GROUP BY cls")
 def area_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = statistics.percentiles(_areas(spark, sf_dir), ["cls"], "area", {"p05": 0.05, "p95": 0.95})
-    return found.withColumns({c: F.round(c, 6) for c in ("p05", "p95")})
+    return found.select("cls", *[F.round(c, 6).alias(c) for c in ("p05", "p95")], "max")
 
 
 @query(
@@ -65,8 +65,8 @@ def area_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {sql()}, {_AREAS} SELECT cls, min(area) AS low, round(quantile_cont(area, 0.25)::DOUBLE, 6) AS q1, round(quantile_cont(area, 0.5)::DOUBLE, 6) AS median, round(quantile_cont(area, 0.75)::DOUBLE, 6) AS q3, max(area) AS high FROM areas GROUP BY cls""",
 )
 def boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quartile = lambda p, name: F.round(F.percentile("area", p), 6).alias(name)
-    return _areas(spark, sf_dir).groupBy("cls").agg(F.min("area").alias("low"), quartile(0.25, "q1"), quartile(0.5, "median"), quartile(0.75, "q3"), F.max("area").alias("high"))
+    found = statistics.percentiles(_areas(spark, sf_dir), ["cls"], "area", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return found.select("cls", F.col("min").alias("low"), *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], F.col("max").alias("high"))
 
 
 @query("background_share", f"WITH {sql()} SELECT count(*) AS n_images, round(avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS background_ratio FROM (SELECT p_partkey, count(image_id) AS n FROM part LEFT JOIN gt_boxes ON image_id = p_partkey GROUP BY p_partkey)")
@@ -175,12 +175,10 @@ SELECT *, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 9) END AS "pr
 def species_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule boxes against labels, per species and over all; undefined ratios are null here."""
     ruled = species_filter(spark, sf_dir)
-    as_pred = ruled.select("image_id", "box_idx", F.lit(0).cast("long").alias("cls"), *[F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in {"x1": "x", "y1": "y", "x2": "x + w", "y2": "y + h"}.items()], (-F.col("box_idx")).cast("double").alias("score"))
-    gt = gt_boxes(spark, sf_dir)
-    found = folds.match(as_pred, gt, folds.fits_rules(0.5)).drop("cls")
-    names = ruled.select("image_id", "box_idx", "prefix")
-    of_class = F.expr("CASE cls WHEN 0 THEN 'BRAIIM' WHEN 1 THEN 'LIRIBO' WHEN 2 THEN 'TRIAVA' ELSE 'FRANOC' END")
-    named = found.where("outcome <> 'FN'").join(names, ["image_id", "box_idx"]).unionByName(found.where("outcome = 'FN'").join(gt.select("image_id", "box_idx", of_class.alias("prefix")), ["image_id", "box_idx"]))
+    code = F.expr("CASE prefix WHEN 'BRAIIM' THEN 0 WHEN 'LIRIBO' THEN 1 WHEN 'TRIAVA' THEN 2 ELSE 3 END").cast("long")
+    as_pred = ruled.select("image_id", "box_idx", code.alias("cls"), *[F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in {"x1": "x", "y1": "y", "x2": "x + w", "y2": "y + h"}.items()], (-F.col("box_idx")).cast("double").alias("score"))
+    found = folds.match(as_pred, gt_boxes(spark, sf_dir), folds.fits_rules(0.5))  # whatever the classes
+    named = found.withColumn("prefix", F.expr("CASE cls WHEN 0 THEN 'BRAIIM' WHEN 1 THEN 'LIRIBO' WHEN 2 THEN 'TRIAVA' ELSE 'FRANOC' END"))
     counted = named.rollup("prefix").agg(*[F.count_if(F.col("outcome") == k.upper()).alias(k) for k in ("tp", "fp", "fn")]).withColumn("prefix", F.coalesce("prefix", F.lit("all")))
     share = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double")), 9)
     return counted.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn")})

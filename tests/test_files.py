@@ -102,7 +102,7 @@ def test_scorer_and_windows(spark):
     tiles = tiling.windows(spark.createDataFrame([(1, 1100, 700), (2, 600, 700)], "image_id long, width long, height long")).withColumn("content", F.lit(b"ab"))
     assert [(r.tile_id, r.tile_x, r.tile_y) for r in tiles.orderBy("tile_id").collect()] == [(0, 0, 0), (1, 420, 0)]
     found = scoring.predict_tiles(tiles, lambda: lambda data: [(0, 0, len(data), 5, 1, 0.9), (0, 0, 1, 1, 0, 0.3)], 0.3).orderBy("x1").collect()
-    assert [(r.image_id, r.box_idx, r.x1, r.x2, r.score) for r in found] == [(1, 1, 0.0, 2.0, 0.9), (1, 100001, 420.0, 422.0, 0.9)]
+    assert [(r.image_id, r.box_idx, r.x1, r.x2, r.score) for r in found] == [(1, 1, 0.0, 2.0, 0.9), (1, (1 << 32) + 1, 420.0, 422.0, 0.9)]
 
 
 def test_pixels(spark):
@@ -115,6 +115,8 @@ def test_pixels(spark):
     square = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
     assert np.allclose(pixels.homography(square, square * 2 + 1) @ [5, 5, 1], [11, 11, 1])
     assert pixels.ordered_corners(square[[2, 0, 3, 1]]).tolist() == square.tolist()
+    grey = spark.createDataFrame([(bytearray([0, 99]), bytearray([1, 1]), 2, 1), (bytearray([0, 0]), bytearray([1, 1]), 2, 1), (None, None, 2, 1)], "grey binary, outline binary, height int, width int")
+    assert [r.u for r in grey.select(pixels.is_upright("grey", "outline", "height", "width").alias("u")).collect()] == [True, None, None]
     assert pixels.upright(np.array([[0], [99]]), np.ones((2, 1), bool)) is True and pixels.upright(np.array([[0], [0]]), np.ones((2, 1), bool)) is None
 
 
