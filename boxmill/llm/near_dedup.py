@@ -224,12 +224,13 @@ def _rare_groups(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
                 sizes = np.diff(bounds)
                 first = sizes - (sizes * percent + 99) // 100 + 1
                 owner = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(owner), part.column("component").take(owner), pa.array(first).take(owner), pa.array(sets.view(np.int64))], ["rep", "component", "first", "s"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(owner) for c in ("rep", "component", "own")], pa.array(first).take(owner), pa.array(sets.view(np.int64))], ["rep", "component", "own", "first", "s"])
 
-    shingles = texts.join(members, "rep").mapInArrow(run, "rep long, component long, first long, s long")
+    # A repeated id with different texts has a set for each of them.
+    shingles = texts.join(members, "rep").withColumn("own", F.xxhash64("text")).mapInArrow(run, "rep long, component long, own long, first long, s long")
     often = shingles.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
-    place = F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("often", F.lit(1)), "s"))
-    rare = shingles.join(often, "s", "left").withColumn("place", place).where("place <= first and often > 1").select(F.col("s").alias("key"), "rep", "component")
+    place = F.row_number().over(W.partitionBy("rep", "own").orderBy(F.coalesce("often", F.lit(1)), "s"))
+    rare = shingles.join(often, "s", "left").withColumn("place", place).where("place <= first and often > 1").select(F.col("s").alias("key"), "rep", "component").distinct()
     more = rare.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more")
     return rare.join(more.select("key"), "key", "left_semi")
 
