@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Text bytes handled at once (a longer text is handled alone); bounds a task's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
