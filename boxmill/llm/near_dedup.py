@@ -210,7 +210,7 @@ def _labels(links: list[DataFrame]) -> DataFrame:
     return near.join(near.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
 
 
-def _rare_groups(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _rare_groups(members: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(key, rep, component): the members (rep, component) by shingles that are among the rarest of two of them.
 
     In an order of all shingles by rarity, two sets that are links share one of the first n - ceil(n * percent / 100) + 1 of either: the others
@@ -231,8 +231,10 @@ def _rare_groups(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
     often = shingles.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
     place = F.row_number().over(W.partitionBy("rep", "own").orderBy(F.coalesce("often", F.lit(1)), "s"))
     rare = shingles.join(often, "s", "left").withColumn("place", place).where("place <= first and often > 1").select(F.col("s").alias("key"), "rep", "component").distinct()
+    rare = scratch.save(rare, "rare")
     more = rare.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more")
-    return rare.join(more.select("key"), "key", "left_semi")
+    more = scratch.save(more.select("key"), "shared-rare")  # so that a shingle of very many can be split in the join
+    return rare.join(more, "key", "left_semi")
 
 
 def _left_over(open_: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -244,7 +246,7 @@ def _left_over(open_: DataFrame, sketches: DataFrame, texts: DataFrame, scratch:
     sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
     large = scratch.save(open_.join(sizes.where(F.col("size") > BLOCK), "key", "left_semi").select("rep", "component").distinct(), "large")
     if not large.isEmpty():
-        rare = scratch.save(_rare_groups(large, texts, percent), "rare")
+        rare = scratch.save(_rare_groups(large, texts, scratch, percent), "open-rare")
         open_ = open_.join(sizes.where(F.col("size") <= BLOCK), "key", "left_semi").unionByName(rare, allowMissingColumns=True)
     alike = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("size")]
     once = open_.groupBy("key").agg(*alike).groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size")

@@ -69,7 +69,7 @@ def test_templated_texts_do_not_meet_by_rare_shingles(spark):
     """Five thousand texts, three quarters of each the same: what meets is in proportion to the near-copies, not to the square."""
     docs = templated(random.Random(7), 5000, 90, 30)
     texts = spark.createDataFrame([(i, t) for i, t in docs.items()], "rep long, text string").repartition(8)
-    groups = near_dedup._rare_groups(texts.selectExpr("rep", "rep AS component"), texts, 85).groupBy("key").count().toPandas()
+    groups = near_dedup._rare_groups(texts.selectExpr("rep", "rep AS component"), texts, Scratch(spark, "test"), 85).groupBy("key").count().toPandas()
     assert groups["count"].max() == 2 and len(groups) <= 500 * 20
     assert len(result(spark, list(docs.items()))) == 5500
 
