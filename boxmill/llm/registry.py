@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from boxmill.llm.chat_format import OP5_SQL, op5_chat_format
 from boxmill.llm.decontamination import op10_benchmark_decontamination
 from boxmill.llm.embedding_dedup import op3_embedding_near_dedup
+from boxmill.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from boxmill.llm.html_extract import op8_html_extraction
 from boxmill.llm.lang_id import op4_language_id
 from boxmill.llm.line_dedup import OP6_SQL, op6_line_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op3_embedding_near_dedup": OP3_SQL,
     "op5_chat_format": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
