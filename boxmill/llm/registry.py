@@ -18,6 +18,7 @@ from boxmill.llm.near_dedup import op2_minhash_near_dedup
 from boxmill.llm.oracles import OP2_SQL, OP3_SQL
 from boxmill.llm.token_count import op9_token_counts
 from boxmill.llm.token_packing import op1_token_packing
+from boxmill.llm.turn_repair import OP12_SQL, op12_turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_packing": op1_token_packing,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -39,4 +41,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_turn_repair": OP12_SQL,
 }
