@@ -16,6 +16,7 @@ from boxmill.llm.line_dedup import OP6_SQL, op6_line_dedup
 from boxmill.llm.mixing import op7_source_mixing
 from boxmill.llm.near_dedup import op2_minhash_near_dedup
 from boxmill.llm.oracles import OP2_SQL, OP3_SQL
+from boxmill.llm.secret_scan import op13_secret_scan
 from boxmill.llm.token_count import op9_token_counts
 from boxmill.llm.token_packing import op1_token_packing
 from boxmill.llm.turn_repair import OP12_SQL, op12_turn_repair
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_turn_repair": op12_turn_repair,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
