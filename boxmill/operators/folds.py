@@ -2,8 +2,8 @@
 
 per_image() gathers an image's boxes in one row, the only shuffle there is; all that follows are expressions on that row, by higher-order
 functions without Python workers. So several steps after each other cost no more shuffles than one. Boxes are told apart by
-comparing edges before anything is computed. The work grows with the square of an image's boxes (tens, some thousands at most); for more, cut
-images into tiles first (boxmill.operators.tiling).
+comparing edges before anything is computed. The work grows with the square of an image's boxes (tens, some thousands at most); for more there are
+the same operators in boxmill.operators.crowded.
 """
 
 from __future__ import annotations
@@ -128,14 +128,16 @@ def fits_rules(cover: float) -> Fits:
     return lambda a, b, of_a, of_b: _meet(a, b) & (containment(a, b) >= cover)
 
 
-def remove_overlaps(boxes: DataFrame) -> DataFrame:
+def remove_overlaps(boxes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Of two overlapping boxes of an image the smaller goes, of equal ones the later; touching isn't overlapping.
 
     The first box left meets all after it: a smaller one goes, and a larger one makes the first go and ends its
-    turn. So who stays depends on the order, by box_idx. Input: (image_id, box_idx, x1, y1, x2, y2), and so the output.
+    turn. So who stays depends on the order, by box_idx. Input: (image_id, box_idx, x1, y1, x2, y2), and so the output;
+    with other keys than image_id, boxes meet that are equal in these.
     """
+    keys = keys or ["image_id"]
     item = F.struct("box_idx", *BOX)
-    images = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("boxes"))
+    images = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
     empty = F.slice("boxes", 1, 0)
 
     def turn(acc: Column, _: Column) -> Column:
@@ -154,4 +156,4 @@ def remove_overlaps(boxes: DataFrame) -> DataFrame:
 
     start = F.struct(F.col("boxes").alias("left"), empty.alias("kept"))
     done = F.aggregate("boxes", start, turn)
-    return images.select("image_id", F.explode(done["kept"]).alias("b")).select("image_id", "b.box_idx", *[f"b.{c}" for c in BOX])
+    return images.select(*keys, F.explode(done["kept"]).alias("b")).select(*keys, "b.box_idx", *[f"b.{c}" for c in BOX])

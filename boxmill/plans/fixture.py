@@ -14,6 +14,8 @@ from boxmill.operators import folds
 WIDTH, HEIGHT = 2560, 1600
 #: Moduli of the corners: wide apart, and so near that many boxes overlap.
 SPARSE, DENSE = (2400, 1400), (300, 200)
+#: Large images of a mosaic, and how far apart its pieces are.
+IMAGES, STEP = 100, (400, 300)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,14 @@ def boxes(spark: SparkSession, sf_dir: str, canvas: tuple[int, int] = SPARSE) ->
     )
 
 
+def mosaic(b: DataFrame) -> DataFrame:
+    """Boxes of images put side by side on IMAGES large ones, 64 in a row: so the number of an image's boxes grows with the data."""
+    own, place = F.col("image_id"), F.expr(f"image_id DIV {IMAGES}")
+    moved = {"image_id": own % IMAGES, "box_idx": place * 1000 + F.col("box_idx")}
+    moved |= {c: F.col(c) + place % 64 * STEP[0] for c in ("x1", "x2")} | {c: F.col(c) + F.floor(place / 64) * STEP[1] for c in ("y1", "y2")}
+    return b.withColumns(moved)
+
+
 def _as_gt(b: DataFrame) -> DataFrame:
     return b.withColumns({"x2": F.expr("x1 + w"), "y2": F.expr("y1 + h")})
 
@@ -65,15 +75,19 @@ def images(spark: SparkSession, sf_dir: str, canvas: tuple[int, int] = SPARSE) -
     return both.groupBy("image_id").agg(folds.gathered("pred", F.col("p")), folds.gathered("gt", F.col("g")))
 
 
-def sql(canvas: tuple[int, int] = SPARSE) -> str:
+def sql(canvas: tuple[int, int] = SPARSE, mosaic: bool = False) -> str:
     """The same as common table expressions fx, gt_boxes and pred_boxes."""
+    place = f"image_id // {IMAGES}"
+    pieces = f""", fx AS (
+  SELECT image_id % {IMAGES} AS image_id, {place} * 1000 + box_idx AS box_idx, cls, x1 + {place} % 64 * {STEP[0]} AS x1, y1 + {place} // 64 * {STEP[1]} AS y1, w, h, sc, u FROM pieces
+)"""
     return f"""
-fx AS (
+{'pieces' if mosaic else 'fx'} AS (
   SELECT p AS image_id, row_number() OVER (PARTITION BY p ORDER BY o, l, s) AS box_idx, p % 4 AS cls,
     (o * 37 + l * 101) % {canvas[0]} AS x1, (s * 53 + o * 11) % {canvas[1]} AS y1, 20 + o % 40 AS w, 20 + (s * 3 + l) % 40 AS h,
     (o * 7919 + l * 104729) % 1000 AS sc, (o + l) % 10 AS u
   FROM (SELECT DISTINCT l_partkey AS p, l_orderkey AS o, l_suppkey AS s, CAST(l_linenumber AS BIGINT) AS l FROM lineitem)
-), gt_boxes AS (
+){pieces if mosaic else ''}, gt_boxes AS (
   SELECT image_id, box_idx, cls, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM fx WHERE u <> 9
 ), pred_boxes AS (
   SELECT image_id, box_idx, CASE WHEN sc % 20 = 0 THEN (cls + 1) % 4 ELSE cls END AS cls, x1 + (sc % 13 - 6) AS x1, y1 + (sc % 11 - 5) AS y1,
