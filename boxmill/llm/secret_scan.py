@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import comb, log2
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,9 @@ from boxmill.llm.tables import table
 # Fixed patterns and lengths of the base kinds, in the order in which kinds at the same place are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
+#: Runs as long as they go, so that those which are too short needn't be found first.
+HEX = re.compile(rf"[0-9a-f]{{{HEX_CHARS},}}")
 KINDS = ("assign", "access", "hex", "value")
 
 #: A value beside a word of credentials: quoted, or up to a space or a bracket. Written so that Java's and Python's patterns mean the same by it.
@@ -32,6 +34,8 @@ CONTEXT = (
     r"""(?:"([^"\n]{1,})"|'([^'\n]{1,})'|`([^`\n]{1,})`|([^\s"'`,;<>(){}\[\]]{1,}))"""
 )
 _CONTEXT = re.compile(CONTEXT, re.I | re.A)
+#: One of these is in every match of ASSIGN and of CONTEXT, whatever its case: most texts have none and needn't be searched for them.
+HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 
 #: Values of at least so many bits are secrets. Dictionary words, years, keyboard rows and examples with a digit behind them stay well below.
 GUESS_BITS = 38.0
@@ -159,17 +163,22 @@ class GuessCosts:
         return best[n]
 
 
+def _hinted(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in HINTS)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the fixed patterns, sorted. A match that is too short is dropped, what it covers is not searched again."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS]
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS] if _hinted(text) else []
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_CHARS]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= HEX_CHARS]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
 def context_values(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each value beside a word of credentials; without stops and colons after it, unless it is quoted."""
-    for m in _CONTEXT.finditer(text):
+    for m in _CONTEXT.finditer(text) if _hinted(text) else ():
         start, end = m.span(m.lastindex)
         if m.lastindex == 4:
             while end > start and text[end - 1] in ".:":
@@ -193,9 +202,11 @@ def secret_spans(text: str, costs: GuessCosts, guess_bits: float = GUESS_BITS) -
 
 def _word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n): the words of all texts, without the values beside words of credentials, so that a secret that many copies hold is no word."""
-    text = F.regexp_replace(F.col(text_col), F.lit("(?i)" + CONTEXT), F.lit(" "))
-    word = rf"(?<!\p{{L}})\p{{L}}{{{SHORTEST_WORD},{LONGEST_WORD}}}(?!\p{{L}})"
-    return docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(word), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    text = F.lower(F.col(text_col))
+    hinted = reduce(or_, [F.contains(text, F.lit(h)) for h in HINTS])
+    text = F.when(hinted, F.regexp_replace(text, F.lit(CONTEXT), F.lit(" "))).otherwise(text)
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return words.where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> dict[str, float]:
