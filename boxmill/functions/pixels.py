@@ -12,19 +12,32 @@ from pyspark.sql import types as T
 
 
 def hsv(image: np.ndarray) -> np.ndarray:
-    """Hue 0 to 179, saturation and value 0 to 255, of an unsigned byte picture."""
-    bgr = image.astype(np.float64)
-    b, g, r = bgr[..., 0], bgr[..., 1], bgr[..., 2]
-    v, low = bgr.max(axis=-1), bgr.min(axis=-1)
-    span = v - low
-    safe = np.where(span == 0, 1, span)
-    hue = np.select([span == 0, v == r, v == g], [0, (g - b) / safe, 2 + (b - r) / safe], 4 + (r - g) / safe) * 60 % 360
-    return np.stack([np.round(hue / 2) % 180, np.round(255 * span / np.where(v == 0, 1, v)), v], axis=-1).astype(np.uint8)
+    """Hue 0 to 179, saturation and value 0 to 255, of an unsigned byte picture. Worked out plane by plane, in small whole numbers as far as they go."""
+    b, g, r = (np.ascontiguousarray(image[..., k]).astype(np.int16) for k in range(3))
+    v = np.maximum(np.maximum(b, g), r)
+    span = v - np.minimum(np.minimum(b, g), r)
+    safe = np.maximum(span, 1).astype(np.float64)
+    red, green = v == r, v == g
+    hue = np.where(red, g - b, np.where(green, b - r, r - g)) / safe
+    hue += np.where(red, 0, np.where(green, 2, 4))
+    hue *= 60
+    hue %= 360
+    hue /= 2
+    hue[span == 0] = 0
+    out = np.empty(image.shape, np.uint8)
+    out[..., 0] = np.rint(hue) % 180
+    out[..., 1] = np.rint(255.0 * span / np.maximum(v, 1))
+    out[..., 2] = v
+    return out
 
 
 def in_range(image: np.ndarray, low: tuple[int, int, int], high: tuple[int, int, int]) -> np.ndarray:
     """Whether each pixel's three values are between low and high, both included."""
-    return ((image >= low) & (image <= high)).all(axis=-1)
+    out = np.ones(image.shape[:-1], bool)
+    for k, (a, b) in enumerate(zip(low, high, strict=True)):
+        plane = image[..., k]
+        out &= (plane >= a) & (plane <= b)
+    return out
 
 
 def upright(values: np.ndarray, inside: np.ndarray, dark: int = 50) -> bool | None:

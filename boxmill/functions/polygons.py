@@ -1,4 +1,4 @@
-"""Polygons as arrays of points (x, y): area and the order of four corners, as column expressions."""
+"""Polygons as arrays of points (x, y): area, perimeter and the order of four corners, as column expressions."""
 
 from __future__ import annotations
 
@@ -6,10 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _after(points: Column) -> Column:
+    """The points, each in the place of the one before it."""
+    return F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+
+
+def polygon_perimeter(points: Column) -> Column:
+    """The length of the closed outline."""
+    sides = F.zip_with(points, _after(points), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    return F.aggregate(sides, F.lit(0.0), lambda s, c: s + c)
+
+
 def polygon_area(points: Column) -> Column:
     """Half the absolute sum of cross products along the outline; 0 for less than three points."""
-    after = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
-    cross = F.zip_with(points, after, lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"]).cast("double"))
+    cross = F.zip_with(points, _after(points), lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"]).cast("double"))
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2
 
 

@@ -11,7 +11,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str,
     """Exact percentiles with linear interpolation, one column for each name.
 
     A group's distinct values and their counts meet in one task, whatever the number of rows: right for whole numbers such as
-    areas in pixels; use percentile_approx() for values that rarely repeat.
+    areas in pixels; for values that rarely repeat there is boxmill.operators.ranks.
     """
     found = rows.groupBy(*keys).agg(F.percentile(value, list(shares.values())).alias("q_"), F.min(value).alias("min"), F.max(value).alias("max"))
     return found.select(*keys, *[F.col("q_")[i].alias(name) for i, name in enumerate(shares)], "min", "max")

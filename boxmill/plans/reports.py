@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import line_angle, line_length, line_middle
-from boxmill.functions.polygons import corner_order, polygon_area
-from boxmill.operators import catalogue, folds, metrics, statistics, tiling
+from boxmill.functions.polygons import corner_order, polygon_area, polygon_perimeter
+from boxmill.operators import catalogue, folds, metrics, pictures, statistics, tiling
 from boxmill.plans.detection import _FITS_MODEL, _SCORED, _SCORED_RUNS, _TWO_MODELS, _WALKED, _match, _two_models, images, runs
 from boxmill.plans.fixture import DENSE, HEIGHT, WIDTH, boxes, gt_boxes, sql
 from boxmill.plans.fixture import table as read
@@ -227,6 +227,13 @@ def name_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POINTS = "[{'x': x2, 'y': y2 + 3}, {'x': x1, 'y': y1}, {'x': x1 - 5, 'y': y2}, {'x': x2, 'y': y1 - 2}, {'x': x2 + 9, 'y': y1 + 7}]"
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, box_idx, points): an outline of three to five corners for each box."""
+    point = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    points = F.array(point("x2", "y2 + 3"), point("x1", "y1"), point("x1 - 5", "y2"), point("x2", "y1 - 2"), point("x2 + 9", "y1 + 7"))
+    return gt_boxes(spark, sf_dir).select("image_id", "box_idx", F.slice(points, F.lit(1), F.expr("CAST(3 + box_idx % 3 AS INT)")).alias("points"))
+
+
 @query(
     "four_sided",
     f"""WITH {sql()}, shapes AS (SELECT image_id, box_idx, list_filter({_POINTS}, lambda p, i: i <= 3 + box_idx % 3) AS points FROM gt_boxes),
@@ -239,15 +246,41 @@ FROM areas""",
 )
 def four_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of three to five corners: their areas, whether they are four-sided as an alignment needs, and corners of those that are in order."""
-    point = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
-    points = F.array(point("x2", "y2 + 3"), point("x1", "y1"), point("x1 - 5", "y2"), point("x2", "y1 - 2"), point("x2 + 9", "y1 + 7"))
-    shapes = gt_boxes(spark, sf_dir).select("image_id", "box_idx", F.slice(points, F.lit(1), F.expr("CAST(3 + box_idx % 3 AS INT)")).alias("points"))
+    shapes = _shapes(spark, sf_dir)
     four = F.size("points") == 4
     ordered = shapes.withColumn("corners", F.when(four, corner_order(F.col("points"))))
     n = F.size("points").cast("long").alias("n_corners")
     return ordered.select("image_id", "box_idx", n, four.alias("usable"), polygon_area(F.col("points")).alias("area"), F.col("corners")[0]["x"].alias("top_left_x"), F.col("corners")[3]["y"].alias("bottom_left_y"))
 
 
+@query(
+    "perimeters",
+    f"""WITH {sql()}, shapes AS (SELECT image_id, box_idx, list_filter({_POINTS}, lambda p, i: i <= 3 + box_idx % 3) AS points FROM gt_boxes),
+turned AS (SELECT *, points[2:] || points[1:1] AS after FROM shapes)
+SELECT image_id, box_idx, round(list_sum(list_transform(points, lambda p, i: sqrt(((after[i].x - p.x) * (after[i].x - p.x) + (after[i].y - p.y) * (after[i].y - p.y))::DOUBLE))), 6) AS perimeter FROM turned""",
+)
+def perimeters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir).select("image_id", "box_idx", F.round(polygon_perimeter(F.col("points")), 6).alias("perimeter"))
+
+
+#: Boxes drawn as pixels run together where nothing is between them, corner to corner too.
+_PAINTED = (450, 300)
+
+
+@query(
+    "painted_parts",
+    f"""WITH RECURSIVE {sql(_PAINTED)}, near AS (
+  SELECT a.image_id, a.box_idx AS a, b.box_idx AS b FROM gt_boxes a JOIN gt_boxes b ON a.image_id = b.image_id AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2
+), reach AS (SELECT image_id, a, b FROM near UNION SELECT r.image_id, r.a, n.b FROM reach r JOIN near n ON n.image_id = r.image_id AND n.a = r.b
+), part AS (SELECT image_id, a AS box_idx, min(b) AS part FROM reach GROUP BY ALL)
+SELECT image_id, min(x1) AS x, min(y1) AS y, max(x2) - min(x1) AS w, max(y2) - min(y1) AS h FROM gt_boxes JOIN part USING (image_id, box_idx) GROUP BY image_id, part""",
+)
+def painted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes painted as dark pixels on yellow, and found again as contours: the bounding boxes of what runs together."""
+    drawn = pictures.painted_boxes(gt_boxes(spark, sf_dir, _PAINTED), _PAINTED[0] + 60, _PAINTED[1] + 60)
+    return pictures.contours(drawn).select("image_id", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h")])
+
+
 @query(
     "tile_rectangles",
     f"""WITH {sql()}, {_TILED}

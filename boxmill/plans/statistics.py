@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import ratio
-from boxmill.operators import folds, rules, statistics, tiling
+from boxmill.operators import folds, ranks, rules, statistics, tiling
 from boxmill.plans.fixture import DENSE, boxes, gt_boxes, pred_boxes, sql
 from boxmill.plans.fixture import table as read
 from boxmill.plans.registry import query
@@ -69,6 +69,18 @@ def boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cls", F.col("min").alias("low"), *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], F.col("max").alias("high"))
 
 
+@query(
+    "price_percentiles",
+    """SELECT l_returnflag, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.999), 6) AS p999, min(v) AS min, max(v) AS max
+FROM (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) / 7 * (1 - CAST(l_discount AS DOUBLE)) AS v FROM lineitem) GROUP BY l_returnflag""",
+)
+def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of values that rarely repeat: found by ranks."""
+    v = F.col("l_extendedprice").cast("double") / 7 * (1 - F.col("l_discount").cast("double"))
+    found = ranks.exact_percentiles(read(spark, sf_dir, "lineitem").select("l_returnflag", v.alias("v")), ["l_returnflag"], "v", {"p01": 0.01, "p50": 0.5, "p999": 0.999})
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p01", "p50", "p999")], "min", "max")
+
+
 @query("background_share", f"WITH {sql()} SELECT count(*) AS n_images, round(avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS background_ratio FROM (SELECT p_partkey, count(image_id) AS n FROM part LEFT JOIN gt_boxes ON image_id = p_partkey GROUP BY p_partkey)")
 def background_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images without a box, those that no label mentions included."""
