@@ -120,8 +120,9 @@ def painted_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
         return pd.Series([one(items) for items in corners], dtype="object")
 
     rows = boxes.groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("corners"))
-    # The boxes are few bytes, what is painted is not: as many tasks as the session has for a shuffle, and not as few as the boxes' size asks for.
-    rows = rows.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    # The boxes are few bytes, what is painted is not: as many tasks as the session has for a shuffle, and not as few as the boxes' size asks for. By a hash, since
+    # Spark drops a repartition by the column that the rows are dealt out by already.
+    rows = rows.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("image_id"))
     return rows.select("image_id", paint("corners").alias("content"), F.lit(height).alias("height"), F.lit(width).alias("width"))
 
 
