@@ -86,3 +86,25 @@ def crop_entries(crops: DataFrame, results: DataFrame, names: dict[int, str]) ->
     found = parsed.join(results, "stem").select("filename", "stem", "box_index", F.get("entries", F.col("box_index")).alias("e")).where("e IS NOT NULL")
     class_name = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("e.cls").cast("int")], F.format_string("Unknown(%d)", F.col("e.cls")))
     return found.select("filename", "stem", "box_index", class_name.alias("class_name"), *[f"e.{c}" for c in ("x1", "y1", "x2", "y2")])
+
+
+def reviewed_key(name: Column) -> Column:
+    """What a reviewed crop's name begins with: the picture's class and number; null for other names."""
+    found = F.regexp_extract(name, r"^([^_]+_\d+)", 1)
+    return F.when(found != "", found)
+
+
+def without_reviewed(pictures: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """The pictures (stem, ...) that no reviewed crop (name) was cut from."""
+    keys = reviewed.select(reviewed_key(F.col("name")).alias("stem")).where("stem IS NOT NULL").distinct()
+    return pictures.join(keys, "stem", "left_anti")
+
+
+def aligned(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """Rows of sibling sets side by side, by their key and not by their places: the key, and each set's other columns under the set's name as a struct. A set
+    without the key has null; a key that a set has twice gives two rows."""
+    out = None
+    for name, rows in sets.items():
+        own = rows.select(key, F.struct(*[F.col(c) for c in rows.columns if c != key]).alias(name))
+        out = own if out is None else out.join(own, key, "full_outer")
+    return out

@@ -54,17 +54,22 @@ def elapsed(curves: DataFrame, run: str, epoch: str, clock: str) -> DataFrame:
 
 def dataset_report(pictures: DataFrame, labelled: DataFrame, group: str, n: str) -> DataFrame:
     """For each group: its pictures, its labelled ones and their share in percent, instances, their mean for a labelled picture, and how many all pictures would
-    have at that mean. `labelled` has a row with n instances for each labelled picture."""
+    have at that mean. `labelled` has a row with n instances for each labelled picture; a group without one has zeros and no mean."""
     files = pictures.groupBy(group).agg(F.count("*").alias("image_files"))
     found = labelled.groupBy(group).agg(F.count("*").alias("label_files"), F.sum(n).alias("instances"))
-    mean = F.col("instances").cast("double") / F.col("label_files")
-    rows = files.join(found, group)
+    mean = F.try_divide(F.col("instances").cast("double"), F.col("label_files"))
+    rows = files.join(found, group, "left").fillna(0, ["label_files", "instances"])
     return rows.select(
         group, "image_files", "label_files", F.round(F.lit(100.0) * F.col("label_files") / F.col("image_files"), 6).alias("percent_labelled"), "instances",
         F.round(mean, 6).alias("mean_instances"), F.round(mean * F.col("image_files"), 6).alias("estimated_instances"),
     )
 
 
+def dataset_totals(report: DataFrame) -> DataFrame:
+    """One row: the sums of a dataset_report()'s pictures, labelled ones and instances."""
+    return report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("image_files", "label_files", "instances")])
+
+
 def side_by_side(sets: dict[str, DataFrame], group: str) -> DataFrame:
     """Counts of the rows of each set by group, a column for each set; null where a set lacks the group."""
     counted = [rows.groupBy(group).agg(F.count("*").alias(name)) for name, rows in sets.items()]

@@ -12,7 +12,7 @@ from boxmill.functions.boxes import line_angle, line_length, line_middle
 from boxmill.functions.polygons import corner_order, polygon_area, polygon_perimeter
 from boxmill.operators import catalogue, folds, metrics, pictures, statistics, tiling
 from boxmill.plans.detection import _FITS_MODEL, _SCORED, _SCORED_RUNS, _TWO_MODELS, _WALKED, _match, _two_models, images, runs
-from boxmill.plans.fixture import DENSE, HEIGHT, WIDTH, boxes, gt_boxes, sql
+from boxmill.plans.fixture import DENSE, HEIGHT, WIDTH, boxes, gt_boxes, pred_boxes, sql
 from boxmill.plans.fixture import table as read
 from boxmill.plans.geometry import _TILED
 from boxmill.plans.registry import query
@@ -96,6 +96,43 @@ def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.dataset_report(pictures, per, "cls", "n")
 
 
+@query(
+    "dataset_totals",
+    f"""WITH {sql()} SELECT (SELECT count(*) FROM part) AS image_files, count(DISTINCT (cls, image_id)) AS label_files, count(*) AS instances FROM gt_boxes""",
+)
+def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.dataset_totals(dataset_report(spark, sf_dir))
+
+
+@query(
+    "aligned_sets",
+    f"""WITH {sql()}, labels AS (SELECT image_id, count(*) AS n FROM gt_boxes GROUP BY image_id), found AS (SELECT image_id, max(score) AS best FROM pred_boxes WHERE score > 0.9 GROUP BY image_id)
+SELECT p_partkey AS image_id, p_name AS title, n AS n_labels, best FROM part LEFT JOIN labels ON labels.image_id = p_partkey LEFT JOIN found ON found.image_id = p_partkey""",
+)
+def aligned_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures' titles, numbers of labels and best scores, aligned by the picture."""
+    sets = {
+        "titles": read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), "p_name"),
+        "labels": gt_boxes(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("n")),
+        "found": pred_boxes(spark, sf_dir).where("score > 0.9").groupBy("image_id").agg(F.max("score").alias("best")),
+    }
+    rows = catalogue.aligned(sets, "image_id")
+    return rows.where("titles IS NOT NULL").select("image_id", F.col("titles.p_name").alias("title"), F.col("labels.n").alias("n_labels"), F.col("found.best").alias("best"))
+
+
+@query(
+    "unreviewed",
+    r"""WITH crops AS (SELECT p_brand || '_' || l_partkey || '_' || l_linenumber || '.jpg' AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity > 40)
+SELECT p_brand || '_' || p_partkey AS stem, p_size FROM part WHERE p_brand || '_' || p_partkey NOT IN (SELECT regexp_extract(name, '^([^_]+_\d+)', 1) FROM crops)""",
+)
+def unreviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures that no crop of the reviewed folders comes from, by what the crops' names begin with."""
+    part = read(spark, sf_dir, "part")
+    lines = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"), "l_linenumber")
+    crops = lines.join(part.select("p_partkey", "p_brand"), "p_partkey").select(F.concat("p_brand", F.lit("_"), "p_partkey", F.lit("_"), "l_linenumber", F.lit(".jpg")).alias("name"))
+    return catalogue.without_reviewed(part.select(F.concat("p_brand", F.lit("_"), "p_partkey").alias("stem"), "p_size"), crops)
+
+
 @query("instances_in_order", f"WITH {sql()}, {_PER_IMAGE} SELECT cls, row_number() OVER (PARTITION BY cls ORDER BY image_id) AS place, image_id, n FROM per")
 def instances_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of each class: the instances of its labelled images in order of their names, here numbers."""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
+import os
 import struct
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from boxmill.operators.ordering import placed
 from boxmill.sources import schemas
+from boxmill.sources.shared import written
 
 
 def stem(path: Column) -> Column:
@@ -29,38 +33,81 @@ def folder(path: Column) -> Column:
 _FOUND = "path string, length long"
 
 
-def _listed(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    """(path, length) of the files below root. Its folders are listed by tasks, one each; where no task can read the file system, by the driver."""
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    files, folders = [], []
-    for status in fs.listStatus(top):
-        (folders if status.isDirectory() else files).append((status.getPath().toString(), status.getLen()))
-    here = spark.createDataFrame(files, _FOUND)
-    if not recursive or not folders:
-        return here
-    try:
-        pafs.FileSystem.from_uri(folders[0][0])
-    except (pa.ArrowException, OSError, ValueError):
-        return spark.createDataFrame([(x.getPath().toString(), x.getLen()) for x in _walked(fs.listFiles(top, True))], _FOUND)
+#: Names that a listing holds at once, and folders that a task lists at least, so that many small ones are few tasks.
+NAMES, MOST_TASKS = 10_000, 1000
+_ENTRY = "path string, length long, is_folder boolean"
+
+
+def _entries(folder_: str) -> Iterator[tuple[str, int, bool]]:
+    """What is directly in a folder, as the file system gives it. Local folders are read name by name; links to folders are left out."""
+    if folder_.startswith("file:"):
+        with os.scandir("/" + folder_[5:].lstrip("/")) as found:
+            for x in found:
+                if x.is_dir(follow_symlinks=False):
+                    yield "file:" + x.path, 0, True
+                elif x.is_file():
+                    yield "file:" + x.path, x.stat().st_size, False
+        return
+    system, base = pafs.FileSystem.from_uri(folder_)
+    uri = folder_[: len(folder_) - len(base)]
+    for x in system.get_file_info(pafs.FileSelector(base)):
+        yield uri + x.path, x.size or 0, x.type == pafs.FileType.Directory
+
+
+def _pieces(entries: Iterator[tuple[str, int, bool]]) -> Iterator[pa.RecordBatch]:
+    while piece := list(itertools.islice(entries, NAMES)):
+        path, length, is_folder = zip(*piece)
+        yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(length, pa.int64()), pa.array(is_folder, pa.bool_())], ["path", "length", "is_folder"])
+
+
+def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder_ in batch.column(0).to_pylist():
+            yield from _pieces(_entries(folder_))
 
-    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for folder_ in batch.column(0).to_pylist():
-                system, base = pafs.FileSystem.from_uri(folder_)
-                found = [x for x in system.get_file_info(pafs.FileSelector(base, recursive=True)) if x.is_file]
-                uri = folder_[: len(folder_) - len(base)]
-                yield pa.RecordBatch.from_arrays([pa.array([uri + x.path for x in found], pa.string()), pa.array([x.size for x in found], pa.int64())], ["path", "length"])
 
-    # The order of names is kept apart from the tasks: folders are dealt out evenly.
-    dealt = spark.createDataFrame([(x,) for x, _ in folders], "folder string").repartition(min(len(folders), 1000))
-    return here.unionByName(dealt.mapInArrow(below, _FOUND))
+def _walked(spark: SparkSession, fs, top, recursive: bool) -> DataFrame:
+    """(path, length) by the driver, for file systems that only Spark can read; names are written in pieces."""
+    found, out = (fs.listFiles(top, True) if recursive else fs.listStatusIterator(top)), None
 
+    def names() -> Iterator[tuple[str, int, bool]]:
+        while found.hasNext():
+            x = found.next()
+            yield x.getPath().toString(), x.getLen(), x.isDirectory()
 
-def _walked(found) -> Iterator:
-    while found.hasNext():
-        yield found.next()
+    for piece in _pieces(names()):
+        piece = written(spark.createDataFrame(pa.Table.from_batches([piece])), "listing").where("NOT is_folder").drop("is_folder")
+        out = piece if out is None else out.union(piece)
+    return spark.createDataFrame([], _FOUND) if out is None else out
+
+
+def _listed(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """(path, length) of the files below root, or of those directly in it.
+
+    Folders are listed by tasks, level by level: what a level's folders hold is written in pieces, and its folders are the next level. So neither the driver nor a task
+    holds the names, whatever a folder has. Where the tasks can't read the file system, the driver lists it, in pieces too, and a warning says so.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.resolvePath(top) if fs.exists(top) else top
+    start = top.toString()
+    if not start.startswith("file:"):
+        try:
+            pafs.FileSystem.from_uri(start)
+        except (pa.ArrowException, OSError, ValueError):
+            warnings.warn(f"tasks can't list {start}: the driver does, which takes time for many files", stacklevel=3)
+            return _walked(spark, fs, top, recursive)
+    level, files = spark.createDataFrame([(start,)], "folder string"), None
+    while True:
+        found = written(level.mapInArrow(_below, _ENTRY), "listing")
+        here = found.where("NOT is_folder").drop("is_folder")
+        files = here if files is None else files.union(here)
+        folders = found.where("is_folder").select(F.col("path").alias("folder"))
+        n = folders.count() if recursive else 0
+        if not n:
+            return files
+        # By a hash of the name, so that a parent's folders are dealt out evenly.
+        level = folders.repartition(min(n, MOST_TASKS), F.xxhash64("folder"))
 
 
 def manifest(spark: SparkSession, root: str, count_lines: bool = False, recursive: bool = True) -> DataFrame:
@@ -88,6 +135,14 @@ def lines_by_prefix(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
 
 
+def set_files(spark: SparkSession, path: str, split: str | None = None, cls: str | None = None) -> DataFrame:
+    """The files of sets written by writers.write_sets(), of one split or class alone if it is named: then only its folders are read, and no others listed."""
+    files = spark.read.schema("stem string, path string, split string, cls string").parquet(path)
+    for name, value in (("split", split), ("cls", cls)):
+        files = files if value is None else files.where(F.col(name) == value)
+    return files
+
+
 def images_in(files: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     return files.where(F.col("extension").isin(*extensions))
 

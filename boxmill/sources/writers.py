@@ -105,6 +105,19 @@ def split_json(files: DataFrame) -> DataFrame:
     return per_class.agg(F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_sets(files: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """Files (split, cls, stem, path) of sets as a table with a folder for each split and class, in place of what is there.
+
+    A class is dealt out to as many files as it has `per_file` rows, so a large class is the work of many tasks and a small one is one file.
+    """
+    sizes = files.groupBy("split", "cls").agg(F.ceil(F.count("*") / per_file).alias("n_"))
+    same = F.col("a.split").eqNullSafe(F.col("b.split")) & F.col("a.cls").eqNullSafe(F.col("b.cls"))
+    rows = files.select("split", "cls", "stem", "path").alias("a").join(sizes.alias("b"), same).select("a.*", F.pmod(F.xxhash64("stem", "path"), F.col("n_")).alias("deal_"))
+    dealt = rows.repartition("split", "cls", "deal_").drop("deal_")
+    # Only the partitions that are written are replaced in Spark's dynamic mode; here all are.
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("split", "cls").parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """In place of what is there, with a header."""
     rows.write.mode("overwrite").option("header", "true").csv(path)

@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 
 import numpy as np
@@ -193,3 +194,35 @@ def test_results_splits_and_new_versions(spark, tmp_path):
     writers.write_csv(split, str(tmp_path / "csv"))
     writers.write_csv(split, str(tmp_path / "csv"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 3
+
+
+def test_one_folder_of_a_hundred_thousand_files_and_a_deep_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "NAMES", 7_000)
+    flat, deep = tmp_path / "flat", tmp_path / "deep"
+    flat.mkdir()
+    for k in range(100_000):
+        (flat / f"{k}.txt").touch()
+    here = deep
+    for k in range(6):
+        for j in range(3):
+            (here / f"side {j}").mkdir(parents=True)
+            (here / f"side {j}" / f"é{k}.txt").write_text("x" * k)
+        here = here / "side 1"
+    os.symlink(deep, here / "loop")
+    found = readers.manifest(spark, str(flat))
+    assert found.count() == 100_000 and found.select("stem").distinct().count() == 100_000
+    got = readers.manifest(spark, str(deep)).collect()
+    assert sorted((r.stem, r.length) for r in got) == sorted((f"é{k}", k) for k in range(6) for _ in range(3))
+    assert readers.manifest(spark, str(deep), recursive=False).count() == 0
+
+
+def test_sets_are_read_by_folder(spark, tmp_path):
+    rows = [(split, f"class {c}", f"{k}", f"/p/{split}/{c}/{k}.jpg") for split in ("train", "val") for c in range(3) for k in range(40 if c else 90)]
+    writers.write_sets(spark.createDataFrame(rows, "split string, cls string, stem string, path string"), f"{tmp_path}/sets", per_file=30)
+    found = readers.set_files(spark, f"{tmp_path}/sets", split="val", cls="class 0")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "split" in filters and "cls" in filters and "DataFilters: []" in plan
+    assert sorted(r.stem for r in found.collect()) == sorted(r[2] for r in rows if r[:2] == ("val", "class 0"))
+    assert readers.set_files(spark, f"{tmp_path}/sets").count() == len(rows)
+    assert len(list((tmp_path / "sets" / "split=train" / "cls=class 0").glob("*.parquet"))) in (2, 3)
