@@ -228,10 +228,13 @@ def _rare_groups(members: DataFrame, texts: DataFrame, scratch: Scratch, percent
 
     # A repeated id with different texts has a set for each of them.
     shingles = texts.join(members, "rep").withColumn("own", F.xxhash64("text")).mapInArrow(run, "rep long, component long, own long, first long, s long")
-    often = shingles.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    # Both are written: texts are hashed once, and a join of two tables can split a shingle that all members of a template have.
+    shingles = scratch.save(shingles, "shingles")
+    often = scratch.save(shingles.groupBy("s").agg(F.count("*").alias("often")).where("often > 1"), "often")
     place = F.row_number().over(W.partitionBy("rep", "own").orderBy(F.coalesce("often", F.lit(1)), "s"))
     rare = shingles.join(often, "s", "left").withColumn("place", place).where("place <= first and often > 1").select(F.col("s").alias("key"), "rep", "component").distinct()
     rare = scratch.save(rare, "rare")
+    scratch.drop(shingles, often)
     more = rare.groupBy("key").agg((F.min("component") != F.max("component")).alias("more")).where("more")
     more = scratch.save(more.select("key"), "shared-rare")  # so that a shingle of very many can be split in the join
     return rare.join(more, "key", "left_semi")
