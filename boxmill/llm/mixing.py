@@ -17,6 +17,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL, MOST = 1.5, 2.0
 #: Documents rounded together; the leftovers of as many blocks meet in the next level of the tree.
 BLOCK = 256
+#: Bits of the map of repeated rows, and rows that meet under one key when their copies are dealt.
+SIEVE_BITS, CHUNK = 1 << 23, 8192
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -103,24 +105,30 @@ def _shares(groups: DataFrame, targets: DataFrame, scratch: Scratch, seed: int,
 def _dealt(rows: DataFrame, taken: DataFrame, scratch: Scratch) -> DataFrame:
     """rows with the columns of their group in `taken`, and `copies`: the group's in_all copies dealt to its n rows as evenly as they go.
 
-    Equal rows are the same for all purposes, so any numbering of them serves. Only groups whose copies don't go evenly are numbered: within what one
-    task wrote, then by the sums of what the tasks before it wrote. So no task holds a group, however many rows it has.
+    Equal rows are the same for all purposes, so any numbering of them serves. A bitmap of bounded size, of the hashed keys of groups of several rows, tells which rows can be of
+    such a group; these are numbered as they are written, and cut into chunks of CHUNK rows by their numbers. A group meets its
+    numbers of copies by chunk, where each chunk gets the last row number that takes one more; rows then meet their chunk. So
+    no key that rows are dealt out by has more than CHUNK of them, however often a row is repeated, and rows that aren't are not written.
     """
     keys = lambda more=(): reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*_KEYS, *more]])
     of_group = ["n", "source_size", "target", "in_all"]
-    joined = lambda t: rows.alias("a").join(t.alias("b"), keys()).select("a.*", *of_group)
     left_over, each = F.col("in_all") % F.col("n"), F.floor(F.col("in_all") / F.col("n")).cast("long")
-    out = joined(taken.where(left_over == 0)).withColumn("copies", each)
-    odd = scratch.save(taken.where(left_over > 0), "odd")
-    if odd.isEmpty():
-        return out
-    uneven = scratch.save(joined(odd).withColumn("chunk", F.spark_partition_id()), "uneven")
-    sizes = uneven.groupBy(*_KEYS, "chunk").agg(F.count("*").alias("held"))
+    place = F.pmod(F.xxhash64(*_KEYS), F.lit(SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    sieve = scratch.save(taken.where("n > 1").groupBy(F.floor(place / 64).alias("word_")).agg(F.bit_or(bit).alias("bits_")), "sieve")
+    if sieve.isEmpty():
+        return rows.alias("a").join(taken.alias("b"), keys()).select("a.*", *of_group).withColumn("copies", each)
+    found = rows.join(F.broadcast(sieve), F.floor(place / 64) == F.col("word_"), "left")
+    found = found.withColumn("may_", F.coalesce(F.col("bits_").bitwiseAND(bit) != 0, F.lit(False))).drop("word_", "bits_")
+    once = found.where("NOT may_").drop("may_").alias("a").join(taken.alias("b"), keys()).select("a.*", *of_group).withColumn("copies", each)
+    held = scratch.save(found.where("may_").drop("may_").withColumn("at", F.monotonically_increasing_id()), "repeated").withColumn("chunk", F.floor(F.col("at") / CHUNK))
+    chunks = held.groupBy(*_KEYS, "chunk").agg(F.count("*").alias("held"), F.array_sort(F.collect_list("at")).alias("ats"))
     before = F.coalesce(F.sum("held").over(W.partitionBy(*_KEYS).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*_KEYS, "chunk", before.alias("before"))
-    number = F.col("before") + F.row_number().over(W.partitionBy(*_KEYS, "chunk").orderBy("in_all"))
-    numbered = uneven.alias("a").join(starts.alias("b"), keys(["chunk"])).select("a.*", "before")
-    return out.unionByName(numbered.withColumn("copies", each + (number <= left_over).cast("long")).drop("chunk", "before"))
+    chunks = chunks.withColumn("before", before).alias("a").join(taken.alias("b"), keys()).select("a.*", *of_group)
+    more = F.least(F.greatest(left_over - F.col("before"), F.lit(0)), F.col("held")).cast("int")
+    chunks = chunks.select(*_KEYS, "chunk", *of_group, F.when(more > 0, F.element_at("ats", F.greatest(more, F.lit(1)))).otherwise(-1).alias("upto"))
+    several = held.alias("a").join(scratch.save(chunks, "chunks").alias("b"), keys(["chunk"])).select("a.*", *of_group, "upto")
+    return once.unionByName(several.withColumn("copies", each + (F.col("at") <= F.col("upto")).cast("long")).drop("at", "chunk", "upto"))
 
 
 def _keyed(id_col: str, text_col: str, source_col: str) -> list[Column]:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from boxmill.llm import mixing
 from boxmill.llm.mixing import copies, mixed, source_targets
 
 
@@ -102,3 +103,22 @@ def test_names_that_clash_and_a_very_long_text(spark):
     assert sorted((r.doc_id, r.size, r.copies) for r in copies(docs).collect())[-1][1] == 5
     total = sum(len(r[1].split()) for r in rows)
     assert abs(words_of(out.collect()) - 1.5 * total) <= 200_000
+
+
+def test_a_row_repeated_in_large_numbers_is_many_tasks(spark):
+    """200,000 equal rows among others, with joins by shuffle alone: no task of the result has much more than the others."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hot = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("x").alias("source"))
+        rest = spark.range(1000).select((F.col("id") + 100).alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("source"))
+        got = copies(hot.union(rest).repartition(16)).select("doc_id", "copies", "size", "source", "target", F.spark_partition_id().alias("task")).where("doc_id = 7")
+        by_task = sorted(r["count"] for r in got.groupBy("task").count().collect())
+        assert sum(by_task) == 200_000 and len(by_task) > 8 and by_task[-1] <= 4 * mixing.CHUNK
+        taken = {r.copies: r["count"] for r in got.groupBy("copies").count().collect()}
+        assert len(taken) <= 2 and max(taken) - min(taken) <= 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
