@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -26,8 +25,11 @@ CLASS_RATIO = 1.25
 #: Longer items are embedded in parts of up to so many words. If edits are no more than a share of the item's words, they are no
 #: more than that share in one of its parts.
 PART_WORDS = 40
-#: Words of items that are looked for in one pass over the documents; bounds what is broadcast.
-BLOCK_WORDS = 2_000_000
+#: Words of items, and parts of them, that are looked for in one pass over the documents. Both bound the index, which the driver makes and every worker holds: 80 keys
+#: of 12 bytes for each part.
+BLOCK_WORDS, BLOCK_PARTS = 2_000_000, 50_000
+#: Parts that are embedded at once when the index is made.
+TABLE_SLICE = 4096
 
 #: Bytes between words: ASCII but letters and digits, and the lead bytes of Latin-1 signs. _PUNCTUATION adds the rest.
 _BETWEEN = np.ones(256, bool)
@@ -169,11 +171,15 @@ class ItemIndex:
 
     def _table(self, c: int, members: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of the class's parts, and the parts."""
-        joined = np.concatenate([self.parts[i] for i in members])
-        ends = np.cumsum([len(self.parts[i]) for i in members])
-        starts = ends - [len(self.parts[i]) for i in members]
-        ((_, keys),) = self.keys(joined, starts, ends, [c])
-        owner = np.tile(np.array(members), len(keys))
+        some = []
+        for at in range(0, len(members), TABLE_SLICE):
+            own = members[at : at + TABLE_SLICE]
+            joined = np.concatenate([self.parts[i] for i in own])
+            ends = np.cumsum([len(self.parts[i]) for i in own])
+            starts = ends - [len(self.parts[i]) for i in own]
+            some += [keys for _, keys in self.keys(joined, starts, ends, [c])]
+        keys = np.concatenate(some, axis=1)
+        owner = np.tile(np.array(members, np.int32), len(keys))
         keys = keys.ravel()
         order = np.argsort(keys, kind="stable")
         return keys[order], owner[order]
@@ -252,39 +258,34 @@ def nearest(pattern: np.ndarray, region: np.ndarray, at: int) -> tuple[int, int]
     return int(cost[end]), at + end
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and texts of items, so many at a time as have block_words words, one item at least."""
-    ids, texts, held = [], [], 0
+def _blocks(items: DataFrame, block_words: int, block_parts: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of items, so many at a time as have block_words words or block_parts parts, one item at least. Signs may part words too, so characters that are none
+    of a word's count as ends of words."""
+    ids, texts, held, parts = [], [], 0, 0
     for row in items.toLocalIterator():
+        n = 1 + sum(not c.isalnum() for c in row.t)
         ids.append(row.item_id)
         texts.append(row.t)
-        held += 1 + row.t.count(" ")
-        if held >= block_words:
+        held, parts = held + n, parts + math.ceil(n / PART_WORDS)
+        if held >= block_words or parts >= block_parts:
             yield ids, texts
-            ids, texts, held = [], [], 0
+            ids, texts, held, parts = [], [], 0, 0
     if ids:
         yield ids, texts
 
 
-#: The index that a worker built last, by its block's name.
-_built: dict[str, ItemIndex] = {}
+def index_of(ids: list[int], texts: list[str], max_edits: float = MAX_EDITS) -> ItemIndex:
+    """The index of a block of (lower-cased) items; those without words are in nothing."""
+    own, first = normal_words(pa.array(texts, pa.string()))
+    some = np.flatnonzero(np.diff(first))
+    return ItemIndex([ids[i] for i in some], [own[first[i] : first[i + 1]] for i in some], max_edits)
 
 
-def _index_of(name: str, ids: list[int], texts: list[str], max_edits: float) -> ItemIndex:
-    """The index of a block, built once by every worker that needs it."""
-    if name not in _built:
-        _built.clear()
-        own, first = normal_words(pa.array(texts, pa.string()))
-        some = np.flatnonzero(np.diff(first))  # items without words are in nothing
-        _built[name] = ItemIndex([ids[i] for i in some], [own[first[i] : first[i + 1]] for i in some], max_edits)
-    return _built[name]
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, block_words: int = BLOCK_WORDS, block_parts: int = BLOCK_PARTS) -> DataFrame:
     """(doc_id, item_id, edits, item_words, end_word): the documents that hold an item within max_edits * its words.
 
-    Words are compared without case and signs. Items are a query set, looked for in all documents block by block: a block's texts of
-    about block_words words are broadcast, whatever the number of items, and let go when its leaks are written; the tasks build the index. In a document only windows that
+    Words are compared without case and signs. Items are a query set, looked for in all documents block by block: the index of a block of about
+    block_words words and block_parts parts at most is made once, broadcast, whatever the number of items, and let go when its leaks are written. In a document only windows that
     share a run of words with a part of an item, which every window near enough does, are embedded; where windows and parts
     agree in one of WALKS * SAMPLES samples, the item is a candidate, and its least edit distance is computed in full.
     A narrow map without shuffle, so a passage of every document is no hot key.
@@ -299,13 +300,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     known = known.where("item_id is not null and t is not null").distinct().orderBy("item_id", "t")
     schema = "doc_id long, item_id long, edits long, item_words long, end_word long"
     found = []
-    for ids, texts in _blocks(known, block_words):
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, ids, texts, max_edits))
+    for ids, texts in _blocks(known, block_words, block_parts):
+        shared = spark.sparkContext.broadcast(index_of(ids, texts, max_edits))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "t"):
-                    ix, doc_ids = _index_of(*shared.value), part.column("doc_id")
+                    ix, doc_ids = shared.value, part.column("doc_id")
                     hits = list(ix.hits(*normal_words(part.column("t"))))
                     if hits:
                         text, item, edits, end = map(np.array, zip(*hits, strict=True))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from boxmill.llm import decontamination
 from boxmill.llm.decontamination import ItemIndex, allowed, find_leaks, normal_words, shared_run, without_leaks
 
 
@@ -96,3 +97,24 @@ def test_long_items_with_all_edits():
 
 def test_items_of_one_and_two_words():
     assert found_of_planted([1] * 300, 1, 2) == 1 and found_of_planted([2] * 100, 1, 2) == 1
+
+
+def test_an_index_is_bounded_by_its_parts_and_made_in_slices(monkeypatch):
+    rnd = random.Random(30)
+    texts = [" ".join(f"w{rnd.randrange(9000)}" for _ in range(rnd.choice([5, 9, 40, 130]))) for _ in range(600)]
+    whole = decontamination.index_of(list(range(600)), texts)
+    keys = sum(k.nbytes + o.nbytes for k, o in whole.tables.values())
+    assert keys == len(whole.parts) * decontamination.WALKS * decontamination.SAMPLES * 12
+    monkeypatch.setattr(decontamination, "TABLE_SLICE", 7)
+    sliced = decontamination.index_of(list(range(600)), texts)
+    for c, (known, owner) in whole.tables.items():
+        assert (sliced.tables[c][0] == known).all() and (sliced.tables[c][1] == owner).all()
+
+
+def test_blocks_by_words_and_by_parts(spark):
+    items = spark.createDataFrame([(k, "a b c d e f") for k in range(10)] + [(10, "w " * 500)], "item_id long, t string").orderBy("item_id")
+    sizes = lambda **most: [len(ids) for ids, _ in decontamination._blocks(items, **most)]
+    assert sizes(block_words=10**6, block_parts=4) == [4, 4, 3] and sizes(block_words=12, block_parts=10**6) == [2, 2, 2, 2, 2, 1]
+    docs = spark.createDataFrame([(1, "x a b c d e f y"), (2, "none of it")], "doc_id long, text string")
+    found = find_leaks(docs, items.withColumnRenamed("t", "text"), block_parts=3).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, k) for k in range(10)]
