@@ -23,11 +23,13 @@ ALPHA = 0.5
 SWITCH = 8.0
 #: A language uses a script if it has at least this share of its letters in it.
 SCRIPT_SHARE = 0.005
-#: Bytes of text whose words are decoded together.
-GROUP_BYTES = 4 << 20
+#: Bytes of text whose words are decoded together, with FEW languages; with more of them fewer, as each word has a number for each.
+GROUP_BYTES, FEW = 4 << 20, 8
+#: Numbers of letters and languages that are added up at once.
+CELLS = 1 << 21
 UNKNOWN = "und"
-#: The driver and every worker hold BUCKETS numbers for each language, 1 GB for so many.
-MOST_LANGUAGES = 4096
+#: The driver and every worker hold BUCKETS numbers of 4 bytes for each language (64 MB for so many, some copies of that in the driver for a moment), a worker that counts of 8.
+MOST_LANGUAGES = 256
 #: First and last code points of scripts. Letters outside are of script 0.
 SCRIPTS = [
     ("Latin", 0x0041, 0x024F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x0370, 0x03FF), ("Greek", 0x1F00, 0x1FFF),
@@ -101,51 +103,80 @@ class Model:
     uses: np.ndarray  # scripts x languages
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts all trigrams of all rows with a lang. The counts are summed by Spark; the driver gets BUCKETS numbers
-    and N_SCRIPTS for each language at most, and refuses more than MOST_LANGUAGES of them: such a column holds no languages. Without rows with a lang the
-    model has none. Rows without text or lang teach nothing, repeated ones teach again; other columns don't matter."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, cell, n): what a task counts; the first BUCKETS cells are trigrams, the rest are letters by script."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for part in slices(batch, "t"):
+            w = split_words(part.column("t"))
+            langs, code = np.unique(np.asarray(part.column("lang").to_pylist(), dtype=object), return_inverse=True)
+            word_lang = np.repeat(code, np.diff(w.first))
+            # Only the cells that are there, since a slice may have a text of every language.
+            cells, n = np.unique(np.repeat(word_lang, w.lengths) * BUCKETS + w.bucket, return_counts=True)
+            used = np.bincount(word_lang * N_SCRIPTS + w.script, w.lengths, len(langs) * N_SCRIPTS).reshape(-1, N_SCRIPTS)
+            cuts = np.searchsorted(cells, np.arange(len(langs) + 1) * BUCKETS)
+            for i, lang in enumerate(langs):
+                own = sums.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS, np.int64))
+                own[cells[cuts[i] : cuts[i + 1]] - i * BUCKETS] += n[cuts[i] : cuts[i + 1]]
+                own[BUCKETS:] += used[i].astype(np.int64)
+    for lang, n in sums.items():
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], ["lang", "cell", "n"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, log_p, uses) as binary, from a row with all cells of each language."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sums = np.zeros(BUCKETS + N_SCRIPTS)
+            found = batch.column("cells")[k].values
+            sums[found.field("cell").to_numpy()] = found.field("n").to_numpy()
+            grams, scripts = sums[:BUCKETS] + ALPHA, sums[BUCKETS:]
+            log_p, uses = np.log(grams / grams.sum()).astype(np.float32), scripts >= SCRIPT_SHARE * max(scripts.sum(), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(k, 1), pa.array([log_p.tobytes()], pa.binary()), pa.array([uses.tobytes()], pa.binary())], ["lang", "log_p", "uses"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for part in slices(batch, "t"):
-                w = split_words(part.column("t"))
-                langs, code = np.unique(np.asarray(part.column("lang").to_pylist(), dtype=object), return_inverse=True)
-                word_lang = np.repeat(code, np.diff(w.first))
-                cells = np.bincount(np.repeat(word_lang, w.lengths) * BUCKETS + w.bucket, minlength=len(langs) * BUCKETS).reshape(-1, BUCKETS)
-                used = np.bincount(word_lang * N_SCRIPTS + w.script, w.lengths, len(langs) * N_SCRIPTS).reshape(-1, N_SCRIPTS)
-                for i, lang in enumerate(langs):
-                    sums[lang] = sums.get(lang, 0) + np.concatenate([cells[i], used[i].astype(np.int64)])
-        for lang, n in sums.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], ["lang", "cell", "n"])
 
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts all trigrams of all rows with a lang. The counts are summed by Spark, and a language's numbers are made of them by a task; the driver gets BUCKETS numbers of 4 bytes
+    for each language, and refuses more than MOST_LANGUAGES of them: such a column holds no languages. Without rows with a lang the
+    model has none. Rows without text or lang teach nothing, repeated ones teach again; other columns don't matter."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null")
     if (distinct := rows.select("lang").distinct().count()) > MOST_LANGUAGES:
         raise ValueError(f"{distinct} values of {lang_col}, more than {MOST_LANGUAGES}")
-    counts = rows.mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(counts["lang"].to_pylist()))
-    sums = np.zeros((len(langs), BUCKETS + N_SCRIPTS))
-    sums[np.searchsorted(langs, counts["lang"].to_pylist()) if langs else [], counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    grams, scripts = sums[:, :BUCKETS] + ALPHA, sums[:, BUCKETS:]
-    log_p = np.log(grams / grams.sum(axis=1, keepdims=True)) if langs else grams
-    uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    return Model(langs, np.ascontiguousarray(log_p.T, np.float32), np.ascontiguousarray(uses.T))
+    counts = rows.mapInArrow(_summed, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    found = whole.mapInArrow(_packed, "lang string, log_p binary, uses binary").toArrow().sort_by("lang")
+    langs = found["lang"].to_pylist()
+    log_p, uses = np.empty((BUCKETS, len(langs)), np.float32), np.empty((N_SCRIPTS, len(langs)), bool)
+    for k in range(len(langs)):
+        log_p[:, k] = np.frombuffer(found["log_p"][k].as_buffer(), np.float32)
+        uses[:, k] = np.frombuffer(found["uses"][k].as_buffer(), bool)
+    return Model(langs, log_p, uses)
 
 
 def scores(w: Words, model: Model) -> np.ndarray:
     """Of each word for each language, relative to the best: 0 or less. Languages that don't use a word's script are out,
     unless none does; such a word is equal for all."""
+    s = np.zeros((len(w.starts), len(model.langs)), np.float32)
     if not len(w.starts) or not model.langs:
-        return np.zeros((len(w.starts), len(model.langs)), np.float32)
-    s = np.add.reduceat(model.log_p[w.bucket], w.starts, axis=0)
+        return s
+    # Words by their first letters, so many that their letters' numbers are CELLS at most, or one word.
+    step, at = max(1, CELLS // len(model.langs)), 0
+    while at < len(w.starts):
+        to = max(at + 1, int(np.searchsorted(w.starts, w.starts[at] + step)))
+        low, high = w.starts[at], w.starts[to] if to < len(w.starts) else len(w.bucket)
+        s[at:to] = np.add.reduceat(model.log_p[w.bucket[low:high]], w.starts[at:to] - low, axis=0)
+        at = to
     s[~model.uses[w.script]] = -1e30
     s -= s.max(axis=1, keepdims=True)
     s[~model.uses[w.script].any(axis=1)] = 0
     return s
 
 
+def group_bytes(model: Model) -> int:
+    return max(1, GROUP_BYTES * FEW // max(FEW, len(model.langs)))
+
+
 def viterbi(emit: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word, all texts step by step together; the longest texts go first, so those
     with a word left are a prefix."""
@@ -229,13 +260,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
     out_type = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_spans", pa.int64()), ("spans", span_type)])
 
+    most = group_bytes(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
         for batch in batches:
             for part in slices(batch, "t"):
                 group.append(part)
                 size += part.column("t").nbytes
-                if size >= GROUP_BYTES:
+                if size >= most:
                     yield label(group)
                     group, size = [], 0
         if group:
@@ -257,7 +290,7 @@ def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, GROUP_BYTES):
+            for part in slices(batch, text_col, group_bytes(shared.value)):
                 m = shared.value
                 w, labels = decode((x.column(text_col) for x in slices(part, text_col)), m, SWITCH)
                 if not len(labels):

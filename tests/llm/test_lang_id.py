@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,20 @@ def test_scores_scripts_and_shares_against_a_loop(spark):
         _, path = plain_viterbi(np.array(emit), lang_id.SWITCH)
         share = [sum(len(w) for w, k, u in zip(words, path, usable, strict=True) if k == lang and u) / sum(map(len, words)) for lang in range(len(model.langs))]
         assert got[i].lang_pred == model.langs[int(np.argmax(share))] and abs(got[i].score - max(share)) < 1e-6
+
+
+def test_as_many_languages_as_there_may_be(spark, monkeypatch):
+    """A row of each of 256 languages: the driver gets 256 KB for each, and blocks of letters give the same scores."""
+    rnd = random.Random(40)
+    rows = [(k, words(rnd, [f"{a}{chr(97 + k % 26)}" for a in rnd.sample("bcdfghklmnprstvw", 4)], 60), f"l{k:03d}") for k in range(lang_id.MOST_LANGUAGES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = train(docs)
+    assert model.langs == [r[2] for r in rows] and model.log_p.nbytes == 256 * lang_id.BUCKETS * 4
+    assert np.allclose(np.exp(model.log_p.astype(float)).sum(axis=0), 1, atol=1e-3)
+    w = lang_id.split_words(pa.array([r[1] for r in rows[:50]]))
+    whole = lang_id.scores(w, model)
+    monkeypatch.setattr(lang_id, "CELLS", 256 * 40)
+    assert (lang_id.scores(w, model) == whole).all()
+    assert lang_id.group_bytes(model) == lang_id.GROUP_BYTES * lang_id.FEW // 256
+    found = identify(docs, model, spans=False).join(docs, "doc_id").select((F.col("lang_pred") == F.col("lang")).alias("right")).collect()
+    assert sum(r.right for r in found) > 240
