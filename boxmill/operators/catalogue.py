@@ -25,8 +25,8 @@ def duplicates(rows: DataFrame, key: str, content: Column) -> DataFrame:
 
 def renumber(rows: DataFrame, group: str, time: str, tie: str) -> DataFrame:
     """Numbers each group's rows from 1 in order of time: adds number and new_name. Rows without a time are left out. What is
-    ordered in one task is a group's rows of a day."""
-    numbered = placed(rows.where(F.col(time).isNotNull()), [group], F.to_date(time), time, tie)
+    ordered in one task is a group's rows of an hour, or of a day where the time has no more."""
+    numbered = placed(rows.where(F.col(time).isNotNull()), [group], F.date_trunc("hour", time), time, tie)
     numbered = numbered.withColumn("number", F.col("place").cast("int")).drop("place", "in_group")
     return numbered.withColumn("new_name", F.format_string("%s_%04d", F.col(group), F.col("number")))
 

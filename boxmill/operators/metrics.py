@@ -37,8 +37,9 @@ def best(rows: DataFrame, keys: list[str], value: Column, ties: list[str]) -> Da
 
 def canvas_pages(boxes: DataFrame, per_page: int = 100, per_row: int = 10) -> DataFrame:
     """Places crops of each class on pages in rows, best score first: the cell, its row's height, its column's width and where
-    the row begins. Input: (image_id, fp_idx, cls, score, w, h), scores from 0 to 1; what is ordered in one task is a class's thousandth of them."""
-    by_score = placed(boxes, ["cls"], F.floor(F.col("score") * -1000), F.col("score").desc(), "image_id", "fp_idx")
+    the row begins. Input: (image_id, fp_idx, cls, score, w, h), scores from 0 to 1; what is ordered in one task is a class's thousandth of them.
+    The boxes, which folds may have made, are worked out once and written."""
+    by_score = placed(boxes, ["cls"], F.floor(F.col("score") * -1000), F.col("score").desc(), "image_id", "fp_idx", once=True)
     rows = by_score.withColumn("place", F.col("place") - 1).drop("in_group")
     rows = rows.withColumns({"page": F.floor(F.col("place") / per_page), "prow": F.floor(F.col("place") % per_page / per_row), "pcol": F.col("place") % per_row})
     # A page is a row of at most per_page cells.

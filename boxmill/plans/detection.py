@@ -10,6 +10,7 @@ from boxmill.functions.boxes import corners, iou, ratio
 from boxmill.operators import crowded, folds, metrics, tiling
 from boxmill.plans.fixture import DENSE, gt_boxes, images, mosaic, pred_boxes, sql
 from boxmill.plans.registry import query
+from boxmill.sources.shared import written
 
 NMS_IOU, CONTAINED = 0.4, 0.5
 MATCH_IOU, MATCH_COVER, RULE_COVER = 0.5, 0.9, 0.5
@@ -233,20 +234,28 @@ _TWO_MODELS = f"""{_match('pred_boxes', _FITS_MODEL)}, fp_a AS (
 )"""
 
 
-def _two_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, a, b): the false positives of two models by image, as arrays of (cls, score, x1, y1, x2, y2) in order of their places; from one evaluation, without a further shuffle."""
     fp = folds.outcomes(images(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER)).where("outcome = 'FP'")
-    a = fp.select("image_id", F.col("place").alias("fp_idx"), "cls", "score", "x1", "y1", "x2", "y2")
-    b = fp.where("box_idx % 3 <> 0").withColumn("s", F.expr("(CAST(1000 * score AS BIGINT) * 7 % 1000) / 1000.0D"))
-    place = (F.row_number().over(W.partitionBy("image_id").orderBy(F.col("s").desc(), "box_idx")) - 1).cast("long")
-    b = b.withColumn("fp_idx", place).select("image_id", "fp_idx", "cls", F.col("s").alias("score"), (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2")
-    return a, b
+    s = F.expr("(CAST(1000 * score AS BIGINT) * 7 % 1000) / 1000.0D")
+    first = F.struct("place", "cls", "score", "x1", "y1", "x2", "y2")
+    other = F.when(F.col("box_idx") % 3 != 0, F.struct((-s).alias("rank"), "box_idx", "cls", s.alias("score"), (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2"))
+    lists = fp.groupBy("image_id").agg(folds.gathered("a", first), folds.gathered("b", other))
+    bare = lambda c: F.transform(c, lambda x: F.struct(*[x[f].alias(f) for f in ("cls", "score", *folds.BOX)])).alias(c)
+    return lists.select("image_id", bare("a"), bare("b"))
+
+
+def _listed(models: DataFrame, which: str) -> DataFrame:
+    """The rows of one model's list, with their places."""
+    return models.select("image_id", F.posexplode(which).alias("fp_idx", "x")).select("image_id", F.col("fp_idx").cast("long").alias("fp_idx"), "x.*")
 
 
 @query("fp_common", f"WITH RECURSIVE {sql()}, {_TWO_MODELS} SELECT a.image_id, a.fp_idx, a.score AS score_x, b.score AS score_y FROM fp_a a JOIN fp_b b ON a.image_id = b.image_id AND a.fp_idx = b.fp_idx")
 def fp_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined by place in the lists, as the comparison is defined; fp_common_boxes joins by geometry."""
-    a, b = _two_models(spark, sf_dir)
-    return a.alias("a").join(b.alias("b"), ["image_id", "fp_idx"]).select("image_id", "fp_idx", F.col("a.score").alias("score_x"), F.col("b.score").alias("score_y"))
+    both = F.filter(F.arrays_zip("a", "b"), lambda z: z["a"].isNotNull() & z["b"].isNotNull())
+    rows = _two_models(spark, sf_dir).select("image_id", F.posexplode(both).alias("fp_idx", "z"))
+    return rows.select("image_id", F.col("fp_idx").cast("long").alias("fp_idx"), F.col("z.a.score").alias("score_x"), F.col("z.b.score").alias("score_y"))
 
 
 @query(
@@ -254,7 +263,8 @@ def fp_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH RECURSIVE {sql()}, {_TWO_MODELS} SELECT a.image_id, a.fp_idx, b.fp_idx AS other_idx, round({_iou('a', 'b')}, 9) AS iou FROM fp_a a JOIN fp_b b ON a.image_id = b.image_id AND a.cls = b.cls WHERE {_iou('a', 'b')} >= 0.5",
 )
 def fp_common_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two_models(spark, sf_dir)
+    models = written(_two_models(spark, sf_dir), "models")
+    a, b = (_listed(models, which) for which in "ab")
     pairs = tiling.meeting_pairs(a, b, ["image_id", "cls"]).withColumn("iou", iou(corners("a."), corners("b."))).where("iou >= 0.5")
     return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.fp_idx").alias("fp_idx"), F.col("b.fp_idx").alias("other_idx"), F.round("iou", 9).alias("iou"))
 
@@ -266,17 +276,16 @@ SELECT 'first' AS model, count(*) AS n FROM fp_a a WHERE NOT EXISTS (SELECT 1 FR
 UNION ALL SELECT 'second', count(*) FROM fp_b b WHERE NOT EXISTS (SELECT 1 FROM fp_a a WHERE a.image_id = b.image_id AND a.fp_idx = b.fp_idx)""",
 )
 def fp_only_in_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two_models(spark, sf_dir)
-    key = ["image_id", "fp_idx"]
-    both = a.select(*key, F.lit(True).alias("first")).join(b.select(*key, F.lit(True).alias("second")), key, "full_outer")
-    counts = both.agg(F.count_if(F.col("second").isNull()).alias("first"), F.count_if(F.col("first").isNull()).alias("second"))
+    """Lists are aligned by place, so what the longer one has more is in it alone."""
+    more = F.size("a") - F.size("b")
+    counts = _two_models(spark, sf_dir).agg(*[F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).alias(name) for name, n in (("first", more), ("second", -more))])
     return counts.unpivot([], ["first", "second"], "model", "n")
 
 
 @query("fp_share", f"WITH RECURSIVE {sql()}, {_TWO_MODELS} SELECT cls, count(*) AS n, CAST(count(*) FILTER (WHERE score > 0.6) AS BIGINT) AS n_high, round((count(*) FILTER (WHERE score > 0.6))::DOUBLE / count(*), 9) AS share FROM fp_a GROUP BY cls")
 def fp_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     high = F.count_if(F.col("score") > 0.6)
-    return _two_models(spark, sf_dir)[0].groupBy("cls").agg(F.count("*").alias("n"), high.alias("n_high"), F.round(ratio(high, F.count("*")), 9).alias("share"))
+    return _listed(_two_models(spark, sf_dir), "a").groupBy("cls").agg(F.count("*").alias("n"), high.alias("n_high"), F.round(ratio(high, F.count("*")), 9).alias("share"))
 
 
 @query(
@@ -292,4 +301,4 @@ def fp_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.cls, c.page, c.prow, c.pcol, image_id, fp_idx, row_height, col_width, y FROM cells c JOIN row_sizes USING (cls, page, prow)""",
 )
 def fp_canvas_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.canvas_pages(_two_models(spark, sf_dir)[0].withColumns({"w": F.expr("x2 - x1"), "h": F.expr("y2 - y1")}))
+    return metrics.canvas_pages(_listed(_two_models(spark, sf_dir), "a").withColumns({"w": F.expr("x2 - x1"), "h": F.expr("y2 - y1")}))

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from boxmill.functions.boxes import line_angle, line_length, line_middle
 from boxmill.functions.polygons import corner_order, polygon_area, polygon_perimeter
 from boxmill.operators import catalogue, folds, metrics, pictures, statistics, tiling
-from boxmill.plans.detection import _FITS_MODEL, _SCORED, _SCORED_RUNS, _TWO_MODELS, _WALKED, _match, _two_models, images, runs
+from boxmill.plans.detection import _FITS_MODEL, _SCORED, _SCORED_RUNS, _TWO_MODELS, _WALKED, _listed, _match, _two_models, images, runs
 from boxmill.plans.fixture import DENSE, HEIGHT, WIDTH, boxes, gt_boxes, pred_boxes, sql
 from boxmill.plans.fixture import table as read
 from boxmill.plans.geometry import _TILED
 from boxmill.plans.registry import query
+from boxmill.sources.shared import written
 
 #: The classes' names and the short forms of words in column names.
 CLASS_NAMES = {0: "FungusGnats", 1: "LeafMinerFlies", 2: "Thrips", 3: "WhiteFlies"}
@@ -71,7 +72,7 @@ SELECT name, train, eval, value FROM (SELECT *, row_number() OVER (PARTITION BY
 )
 def best_per_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest value of each column of scores, of the classes and over classes, and the run that has it."""
-    found = runs(spark, sf_dir)
+    found = written(runs(spark, sf_dir), "runs")  # a row for each run and class, read twice
     name = F.create_map(*[F.lit(x) for kv in CLASS_NAMES.items() for x in kv])[F.col("cls").cast("int")]
     every = found.select("train", "eval", name.alias("of"), *_SCORES).unionByName(_micro(found).select("train", "eval", F.lit("micro").alias("of"), *_SCORES))
     long = every.unpivot(["train", "eval", "of"], _SCORES, "metric", "value").withColumn("name", F.concat_ws("_", "of", "metric"))
@@ -155,7 +156,7 @@ SELECT filename, stem, box_index, {_NAMED.replace('cls', 'e.cls')} AS class_name
 )
 def crop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed crops, by file name, with their entries in the results; other files are left out, and so are crops of pictures that the results don't have."""
-    fp = _two_models(spark, sf_dir)[0]
+    fp = written(_listed(_two_models(spark, sf_dir), "a"), "crops")
     entry = F.struct("fp_idx", "x1", "y1", "x2", "y2", "cls")
     results = fp.groupBy(F.col("image_id").cast("string").alias("stem")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     kind = F.when(F.col("fp_idx") % 7 == 5, ".png").otherwise(".jpg")
