@@ -166,10 +166,16 @@ def leaves(vectors: DataFrame, scratch: Scratch, first: int) -> DataFrame:
 def forest(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, leaf, size): the leaves of as many trees as each vector needs.
 
-    What a vector's path through a tree says about a partner at the threshold is multiplied over its splits; vectors whose
+    Labels and dimensions of at most LEAF vectors are a leaf as they are, without a projection.     What a vector's path through a tree says about a partner at the threshold is multiplied over its splits; vectors whose
     partners may still be missed with more than 1 - RECALL go into as many further trees as it takes at that rate, until it is so.
     """
-    open_, found, first = vectors.withColumns({"missed": F.lit(1.0), "trees": F.lit(1)}), [], 0
+    sizes = scratch.save(vectors.groupBy("label", "dim").agg(F.count("*").alias("size")), "sizes")
+    small = vectors.join(sizes.where(F.col("size") <= LEAF), ["label", "dim"]).select("rep", F.xxhash64("label", "dim", F.lit("whole")).alias("leaf"), "size")
+    many = sizes.where(F.col("size") > LEAF).select("label", "dim")
+    if many.isEmpty():
+        return small
+    vectors = vectors.join(many, ["label", "dim"], "left_semi")
+    open_, found, first = vectors.withColumns({"missed": F.lit(1.0), "trees": F.lit(1)}), [small], 0
     while True:
         held = scratch.save(leaves(open_, scratch, first), "held")
         found.append(held.select("rep", "leaf", "size"))
