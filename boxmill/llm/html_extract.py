@@ -205,7 +205,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     The model is fitted on labelled pages on the driver, a bounded set that grows with nothing, unless one is given.
     text is the main blocks in page order, two newlines between, each with its references decoded and white space as
     single spaces. Null and empty pages, and pages without main text, have the empty text. Unclosed elements, comments and
-    scripts end with the page. Repeated rows are extracted each.
+    scripts end with the page. Repeated rows are extracted each, null ids and urls stay null; other columns don't matter, whatever their names. An empty table
+    gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_field())
 
