@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from boxmill.functions.boxes import area, containment, corners, iou
 from boxmill.operators import folds
 from boxmill.operators.tiling import meeting_pairs
-from boxmill.sources.shared import written
+from boxmill.sources.shared import discarded, written
 
 #: Side of the squares of pixels whose pairs are joined up first.
 BLOCK = 4096
@@ -66,16 +66,19 @@ def parts(edges: DataFrame) -> DataFrame:
     while not ties.isEmpty():
         both = ties.select("image_id", F.col("a").alias("root"), F.col("b").alias("other")).union(ties.select("image_id", "b", "a"))
         up = both.groupBy("image_id", "root").agg(F.min("other").alias("other")).select("image_id", "root", F.least("root", "other").alias("up"))
-        up = written(up, "parts-up")
-        twice = up.select("image_id", F.col("root").alias("up"), F.col("up").alias("top"))
-        up = written(up.join(twice, ["image_id", "up"], "left").select("image_id", "root", F.coalesce("top", "up").alias("up")), "parts-up")
+        once = written(up, "parts-up")
+        twice = once.select("image_id", F.col("root").alias("up"), F.col("up").alias("top"))
+        up = written(once.join(twice, ["image_id", "up"], "left").select("image_id", "root", F.coalesce("top", "up").alias("up")), "parts-up")
         end = lambda c: up.select("image_id", F.col("root").alias(c), F.col("up").alias(f"top_{c}"))  # noqa: B023, E731
+        old = [once, ties]
         if found is None:
             found = up
         else:
+            old += [found, up]
             found = written(found.join(up.toDF("image_id", "up", "top"), ["image_id", "up"], "left").select("image_id", "root", F.coalesce("top", "up").alias("up")), "parts-found")
         moved = ties.join(end("a"), ["image_id", "a"]).join(end("b"), ["image_id", "b"]).select("image_id", F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b"))
         ties = written(moved.where("a < b").distinct(), "parts-ties")
+        discarded(*old)
     if found is None:
         return node
     return node.join(found.withColumnRenamed("root", "part"), ["image_id", "part"], "left").select("image_id", "node", F.coalesce("up", "part").alias("part"))

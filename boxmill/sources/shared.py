@@ -26,4 +26,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read again: a lost executor costs the tasks after it and no more. It stays there until the folder is cleaned."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes what written() wrote, where nothing that is still to be computed reads it."""
+    for table in tables:
+        target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_path)
+        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
