@@ -93,4 +93,11 @@ def test_names_that_clash_and_other_columns_of_repeats(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, "the item of four words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3m")
+    try:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+        assert spark.conf.get(name) == "3m"
+    finally:
+        spark.conf.set(name, before)
