@@ -23,7 +23,8 @@ YELLOW = ((20, 100, 100), (30, 255, 255))
 CHUNK = 1 << 16
 #: Bytes that a task of the first level holds before it gives them on.
 HELD = 1 << 26
-
+#: Bytes of painted pictures that a task gives on at once.
+PAINTED = 1 << 24
 
 
 def _fields(**types: T.DataType) -> T.StructType:
@@ -40,7 +41,15 @@ def _picture(content: bytes, height: int, width: int) -> np.ndarray:
 
 
 def yellow(picture: np.ndarray) -> np.ndarray:
-    return in_range(hsv(picture), *YELLOW)
+    """Whether each pixel is yellow. Pixels like the one before have its answer, so that flat areas cost little."""
+    pixels = picture.reshape(-1, 3)
+    new = pixels[1:] != pixels[:-1]
+    starts = np.flatnonzero(new[:, 0] | new[:, 1] | new[:, 2]) + 1
+    if 4 * len(starts) >= len(pixels):
+        return in_range(hsv(picture), *YELLOW)
+    starts = np.append(0, starts)
+    found = in_range(hsv(pixels[starts]), *YELLOW)
+    return np.repeat(found, np.diff(np.append(starts, len(pixels)))).reshape(picture.shape[:-1])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -78,14 +87,18 @@ def simplified_polygon(polygon: pd.Series, epsilon: pd.Series) -> pd.Series:
     return pd.Series([one(p, e) for p, e in zip(polygon, epsilon, strict=True)], dtype="object")
 
 
+def _parts(picture: np.ndarray) -> outlines.Parts:
+    """The outermost parts of what is not yellow, with the brightness of their pixels."""
+    return outlines.parts(~yellow(picture), np.maximum(np.maximum(picture[..., 0], picture[..., 1]), picture[..., 2]))
+
+
 @F.udtf(returnType=_CONTOUR)
 class ContourRows:
     """Rows for the outermost parts of what is not yellow in a picture, from the bottom up, as boxmill.operators.rules takes them."""
 
     def eval(self, content: bytes, height: int, width: int):
         if content is not None:
-            picture = _picture(content, height, width)
-            found = outlines.parts(~yellow(picture), np.maximum(np.maximum(picture[..., 0], picture[..., 1]), picture[..., 2]))
+            found = _parts(_picture(content, height, width))
             for k in range(len(found.area)):
                 yield k, int(found.x[k]), int(found.y[k]), int(found.w[k]), int(found.h[k]), float(found.mean[k]), float(found.area[k])
 
@@ -106,24 +119,62 @@ def contours(pictures: DataFrame) -> DataFrame:
     return pictures.lateralJoin(found).drop("content")
 
 
+def _corners_by_image(boxes: DataFrame) -> DataFrame:
+    """(image_id, corners): the boxes of each image as an array."""
+    rows = boxes.groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("corners"))
+    # The boxes are few bytes, what is painted is not: as many tasks as the session has for a shuffle, and not as few as the boxes' size asks for. By a hash, since
+    # Spark drops a repartition by the column that the rows are dealt out by already.
+    return rows.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("image_id"))
+
+
+def _painted(batch: pa.RecordBatch, height: int, width: int) -> Iterator[np.ndarray]:
+    """The pictures of a batch of _corners_by_image(), one at a time."""
+    lists = batch.column("corners")
+    x1, y1, x2, y2 = (np.maximum(lists.values.field(c).to_numpy(zero_copy_only=False), 0).tolist() for c in ("x1", "y1", "x2", "y2"))
+    cuts = lists.offsets.to_pylist()
+    for first, last in zip(cuts, cuts[1:]):
+        picture = np.full((height, width, 3), (0, 255, 255), np.uint8)
+        for k in range(first, last):
+            picture[y1[k] : y2[k], x1[k] : x2[k]] = 0
+        yield picture
+
+
+def _drawn(width: int, height: int):
+    """The pictures of batches of _corners_by_image() as batches (image_id, content) of PAINTED bytes at most, or of one picture."""
+    most = max(1, PAINTED // max(1, height * width * 3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                some = batch.slice(at, most)
+                yield pa.RecordBatch.from_arrays([some.column("image_id"), pa.array([p.tobytes() for p in _painted(some, height, width)], pa.binary())], ["image_id", "content"])
+
+    return run
+
+
 def painted_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """(image_id, content, height, width): yellow pictures of that size with the boxes (image_id, x1, y1, x2, y2) painted dark; what lies outside is cut off."""
+    rows = _corners_by_image(boxes)
+    drawn = rows.mapInArrow(_drawn(width, height), T.StructType([rows.schema["image_id"], T.StructField("content", T.BinaryType())]))
+    return drawn.select("image_id", "content", F.lit(height).alias("height"), F.lit(width).alias("width"))
 
-    @F.pandas_udf(T.BinaryType())
-    def paint(corners: pd.Series) -> pd.Series:
-        def one(items: np.ndarray) -> bytes:
-            picture = np.full((height, width, 3), (0, 255, 255), np.uint8)
-            for b in items:
-                picture[max(b["y1"], 0) : max(b["y2"], 0), max(b["x1"], 0) : max(b["x2"], 0)] = 0
-            return picture.tobytes()
 
-        return pd.Series([one(items) for items in corners], dtype="object")
+def painted_contours(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """contours() of painted_boxes(), as (image_id, box_idx, x, y, w, h, brightness, contour_area): each picture is painted and searched in its task before the next one,
+    so that no picture is handed on and a task holds one of them."""
+    rows = _corners_by_image(boxes)
+    names = [f.name for f in _CONTOUR]
 
-    rows = boxes.groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("corners"))
-    # The boxes are few bytes, what is painted is not: as many tasks as the session has for a shuffle, and not as few as the boxes' size asks for. By a hash, since
-    # Spark drops a repartition by the column that the rows are dealt out by already.
-    rows = rows.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("image_id"))
-    return rows.select("image_id", paint("corners").alias("content"), F.lit(height).alias("height"), F.lit(width).alias("width"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_parts(p) for p in _painted(batch, height, width)]
+            counts = np.array([len(f.area) for f in found], np.int64)
+            number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            whole = [number, *(np.concatenate([getattr(f, c) for f in found]) for c in ("x", "y", "w", "h", "mean", "area"))]
+            arrays = [pa.array(v, t) for v, t in zip(whole, [pa.int32()] * 5 + [pa.float64()] * 2)]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(np.repeat(np.arange(len(counts)), counts))), *arrays], ["image_id", *names])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["image_id"], *_CONTOUR]))
 
 
 def pixel_tiles(pictures: DataFrame, size: int = 640, stride: int = 440, fill: int = 114, whole: bool = True) -> DataFrame:

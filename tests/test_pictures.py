@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxmill.functions import outlines, rasters
-from boxmill.functions.pixels import homography
+from boxmill.functions.pixels import homography, hsv, in_range
 from boxmill.functions.polygons import polygon_area, polygon_perimeter
 from boxmill.operators import pictures, rules
 
@@ -261,3 +261,28 @@ def test_grid_is_taken_out(spark):
     assert (np.frombuffer(clean.content, np.uint8).reshape(120, 160)[58:66, 40:130] == 0).all()
     seen = spark.createDataFrame([(sheet().tobytes(),)], "content binary").select(pictures.yellow_mask("content", F.lit(120), F.lit(160)).alias("m")).first().m
     assert (np.frombuffer(seen, np.uint8).reshape(120, 160)[20:100, 30:140] == 255).all() and sum(seen) == 255 * 80 * 110
+
+
+def test_painted_pictures_are_never_held_together(spark, monkeypatch):
+    """Batches of painted pictures are bounded by bytes, whatever Spark hands over at once; contours need none of them handed on and are those of the pictures."""
+    rnd = random.Random(4)
+    rows = [(i, *(v for a in (rnd.randint(-10, 55), rnd.randint(-10, 25)) for v in (a, a + rnd.randint(0, 20)))) for i in range(40) for _ in range(i % 5 + 1)]
+    boxes = spark.createDataFrame([(i, x1, y1, x2, y2) for i, x1, x2, y1, y2 in rows], "image_id long, x1 long, y1 long, x2 long, y2 long")
+    monkeypatch.setattr(pictures, "PAINTED", 3 * 30 * 60 * 3)
+    whole = pictures._corners_by_image(boxes).toArrow().combine_chunks().to_batches()
+    sizes = [b.num_rows for b in pictures._drawn(60, 30)(iter(whole))]
+    assert max(sizes) == 3 and sum(sizes) == 40
+    drawn = pictures.painted_boxes(boxes, 60, 30)
+    columns = ["image_id", "box_idx", "x", "y", "w", "h", "brightness", "contour_area"]
+    want = sorted(tuple(r) for r in pictures.contours(drawn).select(*columns).collect())
+    found = pictures.painted_contours(boxes, 60, 30)
+    assert found.columns == columns and len(want) > 40 and sorted(tuple(r) for r in found.collect()) == want
+    assert pictures.painted_contours(boxes.limit(0), 60, 30).count() == pictures.painted_boxes(boxes.limit(0), 60, 30).count() == 0
+
+
+def test_yellow_of_flat_and_of_noisy_pictures():
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, (20, 30, 3)).astype(np.uint8)
+    flat = np.kron(rng.integers(0, 2, (4, 5, 1)), np.ones((6, 8, 1))).astype(np.uint8) * np.array([0, 220, 230], np.uint8)
+    for picture in (noise, flat, flat[:1, :1], flat[:0]):
+        assert (pictures.yellow(picture) == in_range(hsv(picture), *pictures.YELLOW)).all()
