@@ -98,7 +98,7 @@ def match_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("match_iop", f"WITH RECURSIVE {sql()}, {_match('pred_boxes', _FITS_RULES)} SELECT * FROM outcomes")
 def match_iop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.match(pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir), folds.fits_rules(RULE_COVER))
+    return folds.outcomes(images(spark, sf_dir), folds.fits_rules(RULE_COVER)).select("image_id", "cls", "box_idx", "outcome")
 
 
 #: The list that is left, walked by its first box: of what overlaps it the smaller goes, and a larger one ends its turn.

@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__
+from boxmill.plans import fixture
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["detection_metrics", "fp_common", "fp_only_in_one", "fp_share"])
+@pytest.mark.parametrize("name", ["detection_metrics", "match_iop", "fp_common", "fp_only_in_one", "fp_share"])
 def test_one_reading_of_the_boxes(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
@@ -16,3 +17,11 @@ def test_one_reading_of_the_boxes(spark, name):
 def test_pages_are_placed_over_what_was_written(spark):
     plan = __spark_entry__.queries()["fp_canvas_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "placed-" in plan
+
+
+@pytest.mark.parametrize("name", ["conf_filter", "offsets", "corners_to_yolo", "overlap_remove"])
+def test_tasks_that_deal_boxes_are_bounded_by_rows(spark, name, monkeypatch):
+    """The number of tasks grows with the table, and not with a setting alone."""
+    monkeypatch.setattr(fixture, "ROWS", 100)
+    out = __spark_entry__.queries()[name](spark, SF)
+    assert out.rdd.getNumPartitions() >= fixture.table(spark, SF, "lineitem").count() // 100
