@@ -29,6 +29,11 @@ def _meet(a: Corners, b: Corners) -> Column:
     return (a.x1 < b.x2) & (b.x1 < a.x2) & (a.y1 < b.y2) & (b.y1 < a.y2)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once, however often it is used in lambda functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def prediction() -> Column:
     """A row's prediction as an element that sorts by score, best first, and box_idx."""
     return F.struct((-F.col("score")).alias("rank"), "box_idx", "cls", *BOX, "score")
@@ -136,24 +141,33 @@ def remove_overlaps(boxes: DataFrame, keys: list[str] | None = None) -> DataFram
     with other keys than image_id, boxes meet that are equal in these.
     """
     keys = keys or ["image_id"]
+    return without_overlaps(boxes, keys).select(*keys, F.explode("kept").alias("b")).select(*keys, "b.box_idx", *[f"b.{c}" for c in BOX])
+
+
+def without_overlaps(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, kept): the number of an image's boxes, and an array of those that remove_overlaps() keeps."""
     item = F.struct("box_idx", *BOX)
     images = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
     empty = F.slice("boxes", 1, 0)
 
-    def turn(acc: Column, _: Column) -> Column:
-        head, tail = F.get(acc["left"], F.lit(0)), F.slice(acc["left"], 2, F.greatest(F.size(acc["left"]), F.lit(1)))
+    def hits(head: Column, b: Column) -> Column:
+        return _meet(_corners(head), _corners(b)) & (intersection(_corners(head), _corners(b)) > 0)
+
+    def beaten(acc: Column, head: Column, tail: Column) -> Column:
+        """What a head that overlaps something leaves: from the first larger box on all stays, before it what doesn't overlap."""
+        larger = F.transform(tail, lambda b: hits(head, b) & (area(_corners(b)) > area(_corners(head))))
+        rest = lambda end: F.filter(tail, lambda b, i: ((end > 0) & (i + 1 >= end)) | ~hits(head, b))
+        return _bound(F.array_position(larger, True), lambda end: F.struct(rest(end).alias("left"), F.when(end > 0, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(head))).alias("kept")))
 
-        def meet(t: Column, b: Column) -> Column:
-            hit = t["alive"] & _meet(_corners(head), _corners(b)) & (intersection(_corners(head), _corners(b)) > 0)
-            loses = hit & (area(_corners(head)) >= area(_corners(b)))
-            rest = F.when(loses, t["rest"]).otherwise(F.concat(t["rest"], F.array(b)))
-            return F.struct((t["alive"] & (~hit | loses)).alias("alive"), rest.alias("rest"))
+    def turn(acc: Column, _: Column) -> Column:
+        def met(x: Column) -> Column:
+            head, tail = x["head"], x["tail"]
+            alone = F.struct(tail.alias("left"), F.concat(acc["kept"], F.array(head)).alias("kept"))
+            return F.when(F.exists(tail, lambda b: hits(head, b)), beaten(acc, head, tail)).otherwise(alone)
 
-        end = F.aggregate(tail, F.struct(F.lit(True).alias("alive"), empty.alias("rest")), meet)
-        kept = F.when(end["alive"], F.concat(acc["kept"], F.array(head))).otherwise(acc["kept"])
-        after = F.struct(end["rest"].alias("left"), kept.alias("kept"))
-        return F.when(F.size(acc["left"]) == 0, acc).otherwise(after)
+        first = F.struct(F.get(acc["left"], F.lit(0)).alias("head"), F.slice(acc["left"], 2, F.greatest(F.size(acc["left"]), F.lit(1))).alias("tail"))
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(_bound(first, met))
 
     start = F.struct(F.col("boxes").alias("left"), empty.alias("kept"))
     done = F.aggregate("boxes", start, turn)
-    return images.select(*keys, F.explode(done["kept"]).alias("b")).select(*keys, "b.box_idx", *[f"b.{c}" for c in BOX])
+    return images.select(*keys, F.size("boxes").cast("long").alias("n"), done["kept"].alias("kept"))

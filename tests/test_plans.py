@@ -8,7 +8,7 @@ from boxmill.plans import fixture
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["detection_metrics", "match_iop", "fp_common", "fp_only_in_one", "fp_share"])
+@pytest.mark.parametrize("name", ["detection_metrics", "match_iop", "overlaps_removed", "fp_common", "fp_only_in_one", "fp_share"])
 def test_one_reading_of_the_boxes(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
