@@ -60,8 +60,11 @@ def parts(edges: DataFrame) -> DataFrame:
     """
     near = edges.where("image_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").repartition("image_id", "block_x", "block_y").select(*[F.col(c).cast("long") for c in ("image_id", "a", "b")])
     local = written(near.mapInArrow(_joined_up, "image_id long, node long, root long"), "parts-local")
-    node = local.groupBy("image_id", "node").agg(F.min("root").alias("part"))
-    ties = local.join(node, ["image_id", "node"]).select("image_id", F.col("part").alias("a"), F.col("root").alias("b")).where("a < b").distinct()
+    # Written once: what follows reads it again.
+    node = written(local.groupBy("image_id", "node").agg(F.min("root").alias("part"), F.max("root").alias("most")), "parts-node")
+    torn = node.where("part < most").drop("most")
+    node = node.drop("most")
+    ties = local.join(torn, ["image_id", "node"]).select("image_id", F.col("part").alias("a"), F.col("root").alias("b")).where("a < b").distinct()
     ties, found = written(ties, "parts-ties"), None
     while not ties.isEmpty():
         both = ties.select("image_id", F.col("a").alias("root"), F.col("b").alias("other")).union(ties.select("image_id", "b", "a"))
@@ -94,10 +97,16 @@ def _own_pairs(boxes: DataFrame, cell: int) -> DataFrame:
     return meeting_pairs(boxes, boxes, ["image_id"], cell).where("a.box_idx < b.box_idx")
 
 
+#: What rows of one part have in common after _placed().
+PART = ["image_id", "part", "alone"]
+
+
 def _placed(rows: DataFrame, found: DataFrame, node: str = "box_idx") -> DataFrame:
-    """rows with the part of each; null for those that nothing else decides about."""
+    """rows with `part` and `alone`. What nothing else decides about is a part of its own, named by its node, which is in no other part; a row without an image or a
+    node is alone by a number of its own. So all rows are folded in one pass and none is worked out twice."""
     of = found.select(F.col("image_id").alias("image_"), "node", "part")
-    return rows.join(of, (F.col("image_id") == F.col("image_")) & (F.expr(node) == F.col("node")), "left").drop("image_", "node")
+    placed = rows.join(of, (F.col("image_id") == F.col("image_")) & (F.expr(node) == F.col("node")), "left").withColumn("part", F.coalesce("part", F.expr(node)))
+    return placed.withColumn("alone", F.when(F.col("image_id").isNull() | F.expr(node).isNull(), F.monotonically_increasing_id())).drop("image_", "node")
 
 
 def suppress(pred: DataFrame, threshold: float, cell: int = 256) -> DataFrame:
@@ -106,9 +115,8 @@ def suppress(pred: DataFrame, threshold: float, cell: int = 256) -> DataFrame:
     pred = pred.select(*columns)
     rivals = _own_pairs(pred, cell).where(iou(corners("a."), corners("b.")) > threshold)
     placed = _placed(pred, parts(_edges(rivals, "a.box_idx", "b.box_idx")))
-    held = placed.where("part IS NOT NULL").groupBy("image_id", "part").agg(folds.gathered("pred", folds.prediction()))
-    kept = held.select("image_id", F.explode(folds.suppressed(F.col("pred"), threshold)).alias("b")).select("image_id", *[f"b.{c}" for c in columns[1:]])
-    return placed.where("part IS NULL").select(*columns).union(kept)
+    held = placed.groupBy(*PART).agg(folds.gathered("pred", folds.prediction()))
+    return held.select("image_id", F.explode(folds.suppressed(F.col("pred"), threshold)).alias("b")).select("image_id", *[f"b.{c}" for c in columns[1:]])
 
 
 def suppress_contained(pred: DataFrame, threshold: float, cell: int = 256) -> DataFrame:
@@ -126,18 +134,14 @@ def match(pred: DataFrame, gt: DataFrame, fits: folds.Fits, cell: int = 256) ->
     pairs = meeting_pairs(pred, gt, ["image_id"], cell).where(fits(corners("a."), corners("b."), F.col("a.cls"), F.col("b.cls")))
     # Predictions are the even nodes, boxes of gt the odd ones.
     found = parts(_edges(pairs, "2 * a.box_idx", "2 * b.box_idx + 1"))
-    p = _placed(pred.withColumn("p", folds.prediction()), found, "2 * box_idx")
-    g = _placed(gt.withColumn("g", folds.labelled()), found, "2 * box_idx + 1")
-    row = ["image_id", "cls", "box_idx"]
-    alone = p.where("part IS NULL").select(*row, F.lit("FP").alias("outcome")).union(g.where("part IS NULL").select(*row, F.lit("FN")))
-    both = p.where("part IS NOT NULL").select("image_id", "part", "p").unionByName(g.where("part IS NOT NULL").select("image_id", "part", "g"), allowMissingColumns=True)
-    held = both.groupBy("image_id", "part").agg(folds.gathered("pred", F.col("p")), folds.gathered("gt", F.col("g")))
-    return folds.outcomes(held, fits).select(*row, "outcome").union(alone)
+    both = pred.select("image_id", F.expr("2 * box_idx").alias("own"), folds.prediction().alias("p"))
+    both = both.unionByName(gt.select("image_id", F.expr("2 * box_idx + 1").alias("own"), folds.labelled().alias("g")), allowMissingColumns=True)
+    held = _placed(both, found, "own").groupBy(*PART).agg(folds.gathered("pred", F.col("p")), folds.gathered("gt", F.col("g")))
+    return folds.outcomes(held, fits).select("image_id", "cls", "box_idx", "outcome")
 
 
 def remove_overlaps(boxes: DataFrame, cell: int = 256) -> DataFrame:
-    """folds.remove_overlaps() for images with any number of boxes: only boxes that overlap something are folded."""
+    """folds.remove_overlaps() for images with any number of boxes: the same rows."""
     boxes = boxes.select("image_id", "box_idx", *folds.BOX)
     placed = _placed(boxes, parts(_edges(_own_pairs(boxes, cell), "a.box_idx", "b.box_idx")))
-    held = folds.remove_overlaps(placed.where("part IS NOT NULL"), ["image_id", "part"])
-    return placed.where("part IS NULL").drop("part").union(held.drop("part"))
+    return folds.remove_overlaps(placed, PART).drop("part", "alone")

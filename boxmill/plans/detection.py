@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import corners, iou, ratio
 from boxmill.operators import crowded, folds, metrics, tiling
-from boxmill.plans.fixture import DENSE, gt_boxes, images, mosaic, pred_boxes, sql
+from boxmill.plans.fixture import DENSE, gt_boxes, images, mosaics, pred_boxes, sql
 from boxmill.plans.registry import query
 from boxmill.sources.shared import written
 
@@ -121,23 +121,22 @@ def overlap_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nms_crowded", f"WITH RECURSIVE {sql(DENSE, mosaic=True)}, {_nms('pred_boxes')} SELECT * FROM nms")
 def nms_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppression on a hundred images, whose boxes grow in number with the data."""
-    return crowded.suppress(mosaic(pred_boxes(spark, sf_dir, DENSE)), NMS_IOU)
+    return crowded.suppress(mosaics(spark, sf_dir)[0], NMS_IOU)
 
 
 @query("match_crowded", f"WITH RECURSIVE {sql(DENSE, mosaic=True)}, {_match('pred_boxes', _FITS_MODEL)} SELECT * FROM outcomes")
 def match_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, gt = (mosaic(b(spark, sf_dir, DENSE)) for b in (pred_boxes, gt_boxes))
-    return crowded.match(pred, gt, folds.fits_model(MATCH_IOU, MATCH_COVER))
+    return crowded.match(*mosaics(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER))
 
 
 @query("overlap_crowded", f"WITH RECURSIVE {sql(DENSE, mosaic=True)}, {_WALKED} SELECT image_id, box_idx, x1, y1, x2, y2 FROM gt_boxes JOIN (SELECT image_id, unnest(kept) AS box_idx FROM walked WHERE len(todo) = 0) USING (image_id, box_idx)")
 def overlap_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crowded.remove_overlaps(mosaic(gt_boxes(spark, sf_dir, DENSE)))
+    return crowded.remove_overlaps(mosaics(spark, sf_dir)[1])
 
 
 @query("contained_crowded", f"WITH {sql(DENSE, mosaic=True)}, {_contained('pred_boxes')} SELECT * FROM contained")
 def contained_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crowded.suppress_contained(mosaic(pred_boxes(spark, sf_dir, DENSE)), CONTAINED)
+    return crowded.suppress_contained(mosaics(spark, sf_dir)[0], CONTAINED)
 
 
 _EVALUATED = f"{sql()}, {_nms('pred_boxes')}, {_contained('nms')}, {_match('contained', _FITS_MODEL)}"

@@ -101,3 +101,12 @@ def test_one_image_of_a_hundred_thousand_boxes(spark):
     got = sorted(r.box_idx for r in crowded.suppress(pred, 0.4).select("box_idx").collect())
     assert got == plain_suppress(b, score, 0.4)
     assert time.time() - began < 120
+
+
+def test_rows_without_an_image_stay_and_nothing_is_worked_out_twice(spark, frames):
+    pred, gt = (spark.createDataFrame([(None, 1, 0, 0, 0, 9, 9, *more), (None, 2, 0, 0, 0, 9, 9, *more), (7, 3, 0, 0, 0, 9, 9, *more)], schema) for schema, more in ((PRED, (0.5,)), (GT, ())))
+    assert sorted(r.box_idx for r in crowded.suppress(pred, 0.4).collect()) == sorted(r.box_idx for r in crowded.remove_overlaps(gt).collect()) == [1, 2, 3]
+    got = sorted((r.image_id or 0, r.box_idx, r.outcome) for r in crowded.match(pred, gt, folds.fits_rules(0.5)).collect())
+    assert got == [(0, 1, "FN"), (0, 1, "FP"), (0, 2, "FN"), (0, 2, "FP"), (7, 3, "TP")]
+    plan = crowded.match(*frames, folds.fits_rules(0.5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parts-node") == 1 and plan.count("Join") == 1
