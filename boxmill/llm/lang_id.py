@@ -278,28 +278,31 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long, spans array<struct<start:long,end:long,lang:string>>")
 
 
+def with_unknown(model: Model) -> Model:
+    """model with one more language, the last: of all scripts, all trigrams equally likely. What no language explains better than that is in it, in letters that languages use too."""
+    log_p = np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
+    return Model([*model.langs, UNKNOWN], np.hstack([model.log_p, log_p]), np.hstack([model.uses, np.ones((N_SCRIPTS, 1), bool)]))
+
+
 def known_languages(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of whose letters at least the share `least` is in languages that the model knows, all of them together.
 
-    Works on the rows where they are: texts are not shuffled to be joined with what was found about them. A model without languages
-    rejects nothing: all rows stay. Null texts and texts without letters go; repeated rows stay or go together, and ids are not looked at.
+    A language has to explain the words, not their script alone: with_unknown() is what they are held against. Works on the rows where they are: texts are not shuffled to be joined with
+    what was found about them. A model without languages rejects nothing: all rows stay. Null texts and texts without letters go; repeated rows stay or go together, and ids are not looked at.
     """
     if not model.langs:
         return docs
-    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    shared, schema, unknown = docs.sparkSession.sparkContext.broadcast(with_unknown(model)), docs.schema, len(model.langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, group_bytes(shared.value)):
-                m = shared.value
-                w, labels = decode((x.column(text_col) for x in slices(part, text_col)), m, SWITCH)
+                w, labels = decode((x.column(text_col) for x in slices(part, text_col)), shared.value, SWITCH)
                 if not len(labels):
                     continue
                 count = part.num_rows
                 text_of = np.repeat(np.arange(count), np.diff(w.first))
-                usable = w.lengths * m.uses[w.script].any(axis=1)
-                letters = np.bincount(text_of * len(m.langs) + labels, usable, count * len(m.langs)).reshape(count, -1)
-                share = letters.sum(axis=1) / np.maximum(np.bincount(text_of, w.lengths, count), 1)
+                share = np.bincount(text_of, w.lengths * (labels < unknown), count) / np.maximum(np.bincount(text_of, w.lengths, count), 1)
                 yield part.filter(pa.array((share >= least) & (share > 0)))
 
     return docs.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ def _bounded(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents without letters, and those that no known languages explain for the most part; none if no document says its language.
+    """Leaves out documents without letters, and those that no known languages explain for the most part, be it by script or by words; none if no document says its language.
 
     Null and empty texts have no letters and go; texts are judged whole, however long; repeated rows go or stay together, ids and other columns aren't looked at. An empty table stays one.
     """

@@ -101,3 +101,15 @@ def test_empty_documents(spark, tmp_path):
         assert spark.conf.get(name) == "3m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_letters_at_random_go(spark):
+    """In a script that languages use: what decides is whether words are a language's."""
+    rnd = random.Random(15)
+    syllables = {"aa": ["ba", "ko", "ti", "re"], "bb": ["sch", "ung", "ei", "ro"]}
+    text = lambda lang, n: " ".join("".join(rnd.choices(syllables[lang], k=rnd.randint(2, 6))) for _ in range(n))
+    noise = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(4, 12))) for _ in range(n))
+    rows = [(i, text(lang, 60), lang) for i in range(40) for lang in [["aa", "bb"][i % 2]]]
+    rows += [(100, noise(40), None), (101, text("aa", 20) + " " + noise(40), None), (102, text("bb", 60) + " " + noise(20), None), (103, text("aa", 1), None), (104, text("aa", 30) + " " + text("bb", 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {*range(40), 102, 103, 104}
