@@ -4,7 +4,7 @@ Two boxes are joined in the graph if one can decide about the other: overlap ove
 of different parts meet, so the parts' results together are the image's. The pairs come from grid cells, the parts from union-find inside tasks and some rounds over what
 is left between them; so no task gets an image, and the work is that of the pairs plus the square of each part's boxes, instead of the square of the image's.
 For usual images (up to some thousands of boxes) boxmill.operators.folds does with one shuffle. box_idx has to tell an image's boxes of a kind apart; a row without an
-image meets nothing and stays as it is.
+image meets nothing and stays as it is. Pairs are joined in `tasks` tasks where that is given, otherwise in as many as the session's settings say.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col("a.image_id").alias("image_id"), F.expr(a).cast("long").alias("a"), F.expr(b).cast("long").alias("b"), block("x1"), block("y1"))
 
 
-def _own_pairs(boxes: DataFrame, cell: int) -> DataFrame:
-    return meeting_pairs(boxes, boxes, ["image_id"], cell).where("a.box_idx < b.box_idx")
+def _own_pairs(boxes: DataFrame, cell: int, tasks: int | None) -> DataFrame:
+    return meeting_pairs(boxes, boxes, ["image_id"], cell, tasks).where("a.box_idx < b.box_idx")
 
 
 #: What rows of one part have in common after _placed().
@@ -109,29 +109,32 @@ def _placed(rows: DataFrame, found: DataFrame, node: str = "box_idx") -> DataFra
     return placed.withColumn("alone", F.when(F.col("image_id").isNull() | F.expr(node).isNull(), F.monotonically_increasing_id())).drop("image_", "node")
 
 
-def suppress(pred: DataFrame, threshold: float, cell: int = 256) -> DataFrame:
+def suppress(pred: DataFrame, threshold: float, cell: int = 256, tasks: int | None = None) -> DataFrame:
     """folds.suppress() for images with any number of boxes: the same rows."""
     columns = ["image_id", "box_idx", "cls", *folds.BOX, "score"]
     pred = pred.select(*columns)
-    rivals = _own_pairs(pred, cell).where(iou(corners("a."), corners("b.")) > threshold)
+    rivals = _own_pairs(pred, cell, tasks).where(iou(corners("a."), corners("b.")) > threshold)
     placed = _placed(pred, parts(_edges(rivals, "a.box_idx", "b.box_idx")))
     held = placed.groupBy(*PART).agg(folds.gathered("pred", folds.prediction()))
     return held.select("image_id", F.explode(folds.suppressed(F.col("pred"), threshold)).alias("b")).select("image_id", *[f"b.{c}" for c in columns[1:]])
 
 
-def suppress_contained(pred: DataFrame, threshold: float, cell: int = 256) -> DataFrame:
+def suppress_contained(pred: DataFrame, threshold: float, cell: int = 256, tasks: int | None = None) -> DataFrame:
     """folds.suppress_contained() for images with any number of boxes: no order matters here, so the pairs alone tell what goes."""
     columns = ["image_id", "box_idx", "cls", *folds.BOX, "score"]
     pred = pred.select(*columns)
     covered = (F.col("b.score") >= F.col("a.score")) & (containment(corners("a."), corners("b.")) >= threshold)
-    gone = meeting_pairs(pred, pred, ["image_id"], cell).where("a.box_idx <> b.box_idx").where(covered).select(F.col("a.image_id").alias("image_id"), F.col("a.box_idx").alias("box_idx")).distinct()
-    return pred.where(area(corners()) != 0).join(gone, ["image_id", "box_idx"], "left_anti").select(*columns)
+    pairs = meeting_pairs(pred, pred, ["image_id"], cell, tasks).where("a.box_idx <> b.box_idx").where(covered)
+    gone, pred = pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.box_idx").alias("box_idx")), pred.where(area(corners()) != 0)
+    if tasks:
+        gone, pred = (rows.repartition(tasks, "image_id", "box_idx") for rows in (gone, pred))
+    return pred.join(gone.distinct(), ["image_id", "box_idx"], "left_anti").select(*columns)
 
 
-def match(pred: DataFrame, gt: DataFrame, fits: folds.Fits, cell: int = 256) -> DataFrame:
+def match(pred: DataFrame, gt: DataFrame, fits: folds.Fits, cell: int = 256, tasks: int | None = None) -> DataFrame:
     """folds.match() for images with any number of boxes: (image_id, cls, box_idx, outcome)."""
     pred, gt = pred.select("image_id", "box_idx", "cls", *folds.BOX, "score"), gt.select("image_id", "box_idx", "cls", *folds.BOX)
-    pairs = meeting_pairs(pred, gt, ["image_id"], cell).where(fits(corners("a."), corners("b."), F.col("a.cls"), F.col("b.cls")))
+    pairs = meeting_pairs(pred, gt, ["image_id"], cell, tasks).where(fits(corners("a."), corners("b."), F.col("a.cls"), F.col("b.cls")))
     # Predictions are the even nodes, boxes of gt the odd ones.
     found = parts(_edges(pairs, "2 * a.box_idx", "2 * b.box_idx + 1"))
     both = pred.select("image_id", F.expr("2 * box_idx").alias("own"), folds.prediction().alias("p"))
@@ -140,8 +143,8 @@ def match(pred: DataFrame, gt: DataFrame, fits: folds.Fits, cell: int = 256) ->
     return folds.outcomes(held, fits).select("image_id", "cls", "box_idx", "outcome")
 
 
-def remove_overlaps(boxes: DataFrame, cell: int = 256) -> DataFrame:
+def remove_overlaps(boxes: DataFrame, cell: int = 256, tasks: int | None = None) -> DataFrame:
     """folds.remove_overlaps() for images with any number of boxes: the same rows."""
     boxes = boxes.select("image_id", "box_idx", *folds.BOX)
-    placed = _placed(boxes, parts(_edges(_own_pairs(boxes, cell), "a.box_idx", "b.box_idx")))
+    placed = _placed(boxes, parts(_edges(_own_pairs(boxes, cell, tasks), "a.box_idx", "b.box_idx")))
     return folds.remove_overlaps(placed, PART).drop("part", "alone")

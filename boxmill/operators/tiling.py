@@ -66,18 +66,21 @@ def tile_rectangles(boxes: DataFrame, tile: int = TILE) -> DataFrame:
     return boxes.withColumns(r._asdict()).where("w > 0 AND h > 0")
 
 
-def meeting_pairs(a: DataFrame, b: DataFrame, keys: list[str], cell: int = 256) -> DataFrame:
+def meeting_pairs(a: DataFrame, b: DataFrame, keys: list[str], cell: int = 256, tasks: int | None = None) -> DataFrame:
     """Columns of `a` and `b` under these aliases, for all pairs with equal keys whose boxes (x1, y1, x2, y2) have area in common.
 
     Boxes are written out once for each cell of a grid that they touch and joined on keys and cell, so what meets on one join key are the boxes around one
-    place, not all of an image. A pair is counted in the first cell that both touch, the one of the larger x1 and y1.
+    place, not all of an image. A pair is counted in the first cell that both touch, the one of the larger x1 and y1. With `tasks` the join has so many, and as many as the
+    session's settings say without.
     """
     def dealt(rows: DataFrame) -> DataFrame:
         first, last = (lambda c: F.floor(F.col(c) / cell)), (lambda c: F.ceil(F.col(c) / cell) - 1)
         touched = lambda low, high: F.when(F.col(low) < F.col(high), F.sequence(first(low), last(high)))
-        return rows.withColumn("cell_y", F.explode(touched("y1", "y2"))).withColumn("cell_x", F.explode(touched("x1", "x2")))
+        rows = rows.withColumn("cell_y", F.explode(touched("y1", "y2"))).withColumn("cell_x", F.explode(touched("x1", "x2")))
+        return rows.repartition(tasks, *place) if tasks else rows
 
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "cell_x", "cell_y"]]
+    place = [*keys, "cell_x", "cell_y"]
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in place]
     pairs = dealt(a).alias("a").join(dealt(b).alias("b"), same)
     ax, bx = corners("a."), corners("b.")
     counted = (F.floor(F.greatest(ax.x1, bx.x1) / cell) == F.col("a.cell_x")) & (F.floor(F.greatest(ax.y1, bx.y1) / cell) == F.col("a.cell_y"))

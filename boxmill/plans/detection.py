@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import corners, iou, ratio
 from boxmill.operators import crowded, folds, metrics, tiling
-from boxmill.plans.fixture import DENSE, gt_boxes, images, mosaics, pred_boxes, sql
+from boxmill.plans.fixture import DENSE, gt_boxes, images, mosaics, pred_boxes, sql, tasks
 from boxmill.plans.registry import query
 from boxmill.sources.shared import written
 
@@ -121,22 +121,22 @@ def overlap_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nms_crowded", f"WITH RECURSIVE {sql(DENSE, mosaic=True)}, {_nms('pred_boxes')} SELECT * FROM nms")
 def nms_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppression on a hundred images, whose boxes grow in number with the data."""
-    return crowded.suppress(mosaics(spark, sf_dir)[0], NMS_IOU)
+    return crowded.suppress(mosaics(spark, sf_dir)[0], NMS_IOU, tasks=tasks(spark, sf_dir))
 
 
 @query("match_crowded", f"WITH RECURSIVE {sql(DENSE, mosaic=True)}, {_match('pred_boxes', _FITS_MODEL)} SELECT * FROM outcomes")
 def match_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crowded.match(*mosaics(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER))
+    return crowded.match(*mosaics(spark, sf_dir), folds.fits_model(MATCH_IOU, MATCH_COVER), tasks=tasks(spark, sf_dir))
 
 
 @query("overlap_crowded", f"WITH RECURSIVE {sql(DENSE, mosaic=True)}, {_WALKED} SELECT image_id, box_idx, x1, y1, x2, y2 FROM gt_boxes JOIN (SELECT image_id, unnest(kept) AS box_idx FROM walked WHERE len(todo) = 0) USING (image_id, box_idx)")
 def overlap_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crowded.remove_overlaps(mosaics(spark, sf_dir)[1])
+    return crowded.remove_overlaps(mosaics(spark, sf_dir)[1], tasks=tasks(spark, sf_dir))
 
 
 @query("contained_crowded", f"WITH {sql(DENSE, mosaic=True)}, {_contained('pred_boxes')} SELECT * FROM contained")
 def contained_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crowded.suppress_contained(mosaics(spark, sf_dir)[0], CONTAINED)
+    return crowded.suppress_contained(mosaics(spark, sf_dir)[0], CONTAINED, tasks=tasks(spark, sf_dir))
 
 
 _EVALUATED = f"{sql()}, {_nms('pred_boxes')}, {_contained('nms')}, {_match('contained', _FITS_MODEL)}"
@@ -264,7 +264,7 @@ def fp_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fp_common_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = written(_two_models(spark, sf_dir), "models")
     a, b = (_listed(models, which) for which in "ab")
-    pairs = tiling.meeting_pairs(a, b, ["image_id", "cls"]).withColumn("iou", iou(corners("a."), corners("b."))).where("iou >= 0.5")
+    pairs = tiling.meeting_pairs(a, b, ["image_id", "cls"], tasks=tasks(spark, sf_dir)).withColumn("iou", iou(corners("a."), corners("b."))).where("iou >= 0.5")
     return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.fp_idx").alias("fp_idx"), F.col("b.fp_idx").alias("other_idx"), F.round("iou", 9).alias("iou"))
 
 

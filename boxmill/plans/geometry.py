@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions import boxes as B
 from boxmill.operators import tiling
-from boxmill.plans.fixture import HEIGHT, WIDTH, boxes, gt_boxes, pred_boxes, sql
+from boxmill.plans.fixture import HEIGHT, WIDTH, boxes, gt_boxes, pred_boxes, sql, tasks
 from boxmill.plans.fixture import table as read
 from boxmill.plans.registry import query
 
@@ -158,7 +158,7 @@ _SIDES = "preds AS MATERIALIZED (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM pred_
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.meeting_pairs(pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir), ["image_id"])
+    return tiling.meeting_pairs(pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir), ["image_id"], tasks=tasks(spark, sf_dir))
 
 
 @query("pairwise_iou", f"WITH {sql()}, {_SIDES}, {_PAIRS} SELECT image_id, pred_idx, gt_idx, round(inter::DOUBLE / (area_p + area_g - inter), 9) AS iou FROM inters")

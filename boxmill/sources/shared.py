@@ -31,6 +31,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def tasks_for(rows: DataFrame, most: int) -> int:
+    """How many tasks `most` rows each make; at least one for each core. Rows are counted, which takes the files' footers where a table is read as it is."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+
+
 def discarded(*tables: DataFrame) -> None:
     """Deletes what written() wrote, where nothing that is still to be computed reads it."""
     for table in tables:

@@ -31,3 +31,13 @@ def test_rule_boxes_and_labels_come_from_one_reading(spark):
     """As for the models' boxes: the lines are dealt by image once, and nothing by image is shuffled again."""
     plan = __spark_entry__.queries()["species_metrics"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(image_id") == 0
+
+
+@pytest.mark.parametrize("name", ["containment_ratio", "pairwise_iou", "overlap_pairs", "fp_common_boxes", "contained_crowded"])
+def test_tasks_that_join_boxes_are_bounded_by_rows(spark, name, monkeypatch):
+    """Boxes that meet and boxes that go are joined in a number of tasks that grows with the table, and no join takes the session's number."""
+    monkeypatch.setattr(fixture, "ROWS", 100)
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    n = fixture.tasks(spark, SF)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ("cell_x" in line or name == "contained_crowded")]
+    assert n > 50 and len(dealt) > 1 and all(f", {n}), " in line for line in dealt)
