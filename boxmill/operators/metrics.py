@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from boxmill.functions.boxes import ratio
 from boxmill.operators.ordering import placed
+from boxmill.sources.shared import tasks_for, written
+
+#: Boxes that a task puts on pages, so that what it holds doesn't grow with the table.
+ROWS = 1 << 18
 
 
 def counts(outcomes: DataFrame, *keys: str, total: int | None = None) -> DataFrame:
@@ -39,11 +43,13 @@ def canvas_pages(boxes: DataFrame, per_page: int = 100, per_row: int = 10) -> Da
     """Places crops of each class on pages in rows, best score first: the cell, its row's height, its column's width and where
     the row begins. Input: (image_id, fp_idx, cls, score, w, h), scores from 0 to 1; what is ordered in one task is a class's thousandth of them.
     The boxes, which folds may have made, are worked out once and written."""
-    by_score = placed(boxes, ["cls"], F.floor(F.col("score") * -1000), F.col("score").desc(), "image_id", "fp_idx", once=True)
+    boxes = written(boxes, "placed")
+    n = tasks_for(boxes, ROWS)
+    by_score = placed(boxes, ["cls"], F.floor(F.col("score") * -1000), F.col("score").desc(), "image_id", "fp_idx", tasks=n)
     rows = by_score.withColumn("place", F.col("place") - 1).drop("in_group")
     rows = rows.withColumns({"page": F.floor(F.col("place") / per_page), "prow": F.floor(F.col("place") % per_page / per_row), "pcol": F.col("place") % per_row})
     # A page is a row of at most per_page cells.
-    pages = rows.groupBy("cls", "page").agg(F.collect_list(F.struct("prow", "pcol", "image_id", "fp_idx", "h", "w")).alias("cells"))
+    pages = rows.repartition(n, "cls", "page").groupBy("cls", "page").agg(F.collect_list(F.struct("prow", "pcol", "image_id", "fp_idx", "h", "w")).alias("cells"))
     largest = lambda n, line, side: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_max(F.transform(F.filter("cells", lambda c: c[line] == i), lambda c: c[side])))
     pages = pages.withColumns({"tall": largest(per_page // per_row, "prow", "h"), "wide": largest(per_row, "pcol", "w")})
     cells = pages.select("cls", "page", "tall", "wide", F.explode("cells").alias("c")).select("cls", "page", "c.prow", "c.pcol", "c.image_id", "c.fp_idx", "tall", "wide")

@@ -8,18 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxmill.sources.shared import written
 
-
-def placed(rows: DataFrame, group: list[str], bucket: Column, *order: Column | str, once: bool = False) -> DataFrame:
+def placed(rows: DataFrame, group: list[str], bucket: Column, *order: Column | str, tasks: int | None = None) -> DataFrame:
     """rows with `place`, counted from 1 in each group by `order`, and `in_group`, the group's number of rows.
 
     `bucket` is a coarse part of the order: rows of a smaller bucket come before those of a larger one. Rows are counted by group and bucket first, sums
     over those counts say where a bucket begins, and only a bucket's rows are ordered together; so the tasks are as many as there are buckets, however few the
-    groups are. Nulls are a group, and a bucket that comes first. The rows are read twice: with `once` they are written to the shared folder first, for rows that are dear to make.
+    groups are. Nulls are a group, and a bucket that comes first. The rows are read twice, so those that are dear to make should be written first. With `tasks` they are ordered in so many, and
+    in as many as the session's settings say without.
     """
     rows = rows.withColumn("bucket_", bucket)
-    rows = written(rows, "placed") if once else rows
     keys = [*group, "bucket_"]
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("held_"))
     before = W.partitionBy(*group).orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
@@ -30,5 +28,6 @@ def placed(rows: DataFrame, group: list[str], bucket: Column, *order: Column | s
     )
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys])
     own = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    out = rows.withColumn("own_", own).join(starts, same).withColumn("place", F.col("before_") + F.col("own_"))
+    dealt = rows.repartition(tasks, *keys) if tasks else rows
+    out = dealt.withColumn("own_", own).join(starts, same).withColumn("place", F.col("before_") + F.col("own_"))
     return out.drop("own_", "bucket_", "before_", *[f"{k}_of" for k in keys])

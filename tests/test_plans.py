@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__
+from boxmill.operators import metrics
 from boxmill.plans import fixture
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,11 @@ def test_tasks_that_join_boxes_are_bounded_by_rows(spark, name, monkeypatch):
     n = fixture.tasks(spark, SF)
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ("cell_x" in line or name == "contained_crowded")]
     assert n > 50 and len(dealt) > 1 and all(f", {n}), " in line for line in dealt)
+
+
+def test_tasks_that_fill_pages_are_bounded_by_rows(spark, monkeypatch):
+    """Places and pages, not the counts by class and score, which don't grow."""
+    monkeypatch.setattr(metrics, "ROWS", 10)
+    plan = __spark_entry__.queries()["fp_canvas_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 2 and all(int(line.split("), REPARTITION_BY_NUM")[0].rsplit(" ", 1)[1]) > 20 for line in dealt)
