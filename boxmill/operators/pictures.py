@@ -177,6 +177,43 @@ def painted_contours(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["image_id"], *_CONTOUR]))
 
 
+def _boxes_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """outlines.boxes_together() of boxes sorted by image; an image that goes on in the next batch waits for it."""
+    def found(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(some).combine_chunks()
+        ids, *corners = (rows.column(c).combine_chunks() for c in ("image_id", "x1", "y1", "x2", "y2"))
+        values = ids.to_numpy(zero_copy_only=False)
+        image = np.cumsum(np.append(0, values[1:] != values[:-1]))
+        at, *box = outlines.boxes_together(image, *(c.to_numpy().astype(np.int64) for c in corners))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *map(pa.array, box)], ["image_id", "x", "y", "w", "h"])
+
+    held, before = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column("image_id").to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(values != values[-1])
+        start = int(others[-1]) + 1 if len(others) else 0
+        if start or (held and values[-1] != before):
+            yield found([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+        before = values[-1]
+    if held:
+        yield found(held)
+
+
+def painted_parts(boxes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(image_id, x, y, w, h): the bounding boxes of what boxes (image_id, x1, y1, x2, y2; whole numbers) run together to when they are painted, corner to corner too.
+
+    As painted_contours(), but worked out from the corners; a part that lies in another one's gap is a row of its own, and nothing is cut off. Boxes without an image or a corner don't count. A task
+    holds a batch of boxes and those of one image. Images are dealt to `tasks` tasks where that is given, otherwise to as many as the session's settings say.
+    """
+    rows = boxes.select("image_id", "x1", "y1", "x2", "y2").dropna()
+    rows = (rows.repartition(tasks, "image_id") if tasks else rows.repartition("image_id")).sortWithinPartitions("image_id")
+    return rows.mapInArrow(_boxes_together, T.StructType([rows.schema["image_id"], *_fields(**dict.fromkeys(("x", "y", "w", "h"), T.LongType()))]))
+
+
 def pixel_tiles(pictures: DataFrame, size: int = 640, stride: int = 440, fill: int = 114, whole: bool = True) -> DataFrame:
     """Adds tile_id, tile_x, tile_y and tile (raw bytes) to pictures (content, height, width, ...), whose content goes.
 

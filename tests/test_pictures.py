@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from boxmill.functions import outlines, rasters
 from boxmill.functions.pixels import homography, hsv, in_range
 from boxmill.functions.polygons import polygon_area, polygon_perimeter
 from boxmill.operators import pictures, rules
+from boxmill.plans.registry import QUERIES
 
 
 def flood(mask, eight):
@@ -280,6 +282,73 @@ def test_painted_pictures_are_never_held_together(spark, monkeypatch):
     assert pictures.painted_contours(boxes.limit(0), 60, 30).count() == pictures.painted_boxes(boxes.limit(0), 60, 30).count() == 0
 
 
+def boxes_run_together(boxes):
+    """Bounding boxes (x, y, w, h) of the components of boxes whose closed rectangles meet."""
+    met = lambda a, b: a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+    left, found = [b for b in boxes if any(met(b, other) for other in boxes)], []
+    while left:
+        part, left = left[:1], left[1:]
+        for box in part:
+            part += [b for b in left if met(box, b)]
+            left = [b for b in left if not met(box, b)]
+        x1, y1, x2, y2 = (f(c) for f, c in zip((min, min, max, max), zip(*part)))
+        found.append((x1, y1, x2 - x1, y2 - y1))
+    return sorted(found)
+
+
+#: Four bars around a gap with a box in it, a box that touches a corner, one that touches nothing.
+RING = [(0, 0, 50, 10), (0, 40, 50, 50), (0, 10, 10, 40), (40, 10, 50, 40), (20, 20, 30, 30), (50, 50, 55, 55), (60, 0, 65, 5)]
+RING_PARTS = [(0, 0, 55, 55), (20, 20, 10, 10), (60, 0, 5, 5)]
+
+
+def test_a_part_in_the_gap_of_another_counts(spark):
+    rows = [(image, *b) for image in (None, 7, 8) for b in RING] + [(9, None, 0, 5, 5)]
+    boxes = spark.createDataFrame(rows, "image_id long, x1 long, y1 long, x2 long, y2 long")
+    for tasks in (None, 3):
+        assert sorted(tuple(r) for r in pictures.painted_parts(boxes, tasks).collect()) == [(image, *p) for image in (7, 8) for p in RING_PARTS]
+    assert pictures.painted_parts(boxes.limit(0)).count() == 0
+
+
+def test_painted_parts_of_a_table_with_a_ring(spark, tmp_path):
+    """The query, whose SQL counts what another part encloses, on lines whose boxes make such a ring."""
+    lines = [(28, 5, 69, 4), (28, 5, 42, 4), (7, 5, 170, 7), (1, 5, 92, 1), (0, 5, 268, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["painted_parts"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(5, 66, 65, 93, 99), (5, 101, 104, 20, 25)]
+
+
+@pytest.mark.parametrize("size, most, pairs", [(12, 40, 1 << 20), (60, 40, 7), (400, 400, 50), (30, 3, 1 << 20)])
+def test_boxes_together(monkeypatch, size, most, pairs):
+    """Few and crowded boxes, also turned inside out, in blocks of some pairs."""
+    monkeypatch.setattr(outlines, "PAIRS", pairs)
+    rnd, rows, want = random.Random(size), [], []
+    for image in range(30):
+        least = -2 if image % 2 else 1
+        own = [(x, y, x + rnd.randint(least, 9), y + rnd.randint(least, 9)) for x, y in ((rnd.randint(-5, size), rnd.randint(-5, size)) for _ in range(rnd.randint(1, most)))]
+        rows += [(image, *b) for b in own]
+        want += [(image, *p) for p in boxes_run_together(own)]
+    image, *corners = np.array(rows).T
+    at, *box = outlines.boxes_together(image, *corners)
+    assert sorted(zip(image[at].tolist(), *(c.tolist() for c in box))) == want
+    assert all(len(c) == 0 for c in outlines.boxes_together(image[:0], *(c[:0] for c in corners)))
+
+
+def test_images_over_many_batches():
+    """An image that goes on in the next batches, images that end with their batch: each is found once, and no more than one waits."""
+    rnd = random.Random(3)
+    rows = [(i, x, y, x + 8, y + 8) for i in range(40) for x, y in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(10 if i < 20 else rnd.randint(1, 35)))]
+    want = sorted((i, *p) for i in range(40) for p in boxes_run_together([b[1:] for b in rows if b[0] == i]))
+    table = pa.table([list(c) for c in zip(*rows)], ["image_id", "x1", "y1", "x2", "y2"])
+    for size in (1, 10, 17, 10**4):
+        read = []
+        batches = (read.append(b.num_rows) or b for b in [table.to_batches()[0].slice(0, 0), *table.to_batches(size)])
+        got = []
+        for out in pictures._boxes_together(batches):
+            got += list(zip(*out.to_pydict().values()))
+            assert sum(read) - sum(r[0] <= out["image_id"][-1].as_py() for r in rows) <= size
+        assert sorted(got) == want
+
+
 def test_yellow_of_flat_and_of_noisy_pictures():
     rng = np.random.default_rng(5)
     noise = rng.integers(0, 256, (20, 30, 3)).astype(np.uint8)
