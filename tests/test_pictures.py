@@ -1,6 +1,7 @@
 """Outlines, filters and maps of pictures against naive versions, and the tables made of them."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -319,7 +320,7 @@ def test_painted_parts_of_a_table_with_a_ring(spark, tmp_path):
 
 @pytest.mark.parametrize("size, most, pairs", [(12, 40, 1 << 20), (60, 40, 7), (400, 400, 50), (30, 3, 1 << 20)])
 def test_boxes_together(monkeypatch, size, most, pairs):
-    """Few and crowded boxes, also turned inside out, in blocks of some pairs."""
+    """Few and crowded boxes, also turned inside out, in blocks of some pairs; images that are painted and such that aren't."""
     monkeypatch.setattr(outlines, "PAIRS", pairs)
     rnd, rows, want = random.Random(size), [], []
     for image in range(30):
@@ -349,6 +350,16 @@ def test_images_over_many_batches():
         assert sorted(got) == want
 
 
+def test_a_crowded_image_is_not_compared_pair_by_pair():
+    """10^5 boxes of one small picture: painted, as their pairs would be some 10^9."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 450, 100_000), rng.integers(0, 300, 100_000)
+    w, h = rng.integers(20, 60, (2, 100_000))
+    began = time.time()
+    at, *box = outlines.boxes_together(np.zeros(100_000, int), x, y, x + w, y + h)
+    assert time.time() - began < 5 and [int(c[0]) for c in box] == [x.min(), y.min(), (x + w).max() - x.min(), (y + h).max() - y.min()] and len(at) == 1
+
+
 def test_yellow_of_flat_and_of_noisy_pictures():
     rng = np.random.default_rng(5)
     noise = rng.integers(0, 256, (20, 30, 3)).astype(np.uint8)
